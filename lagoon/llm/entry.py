@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from lagoon.llm import near_dedup
+from lagoon.llm import fingerprint, near_dedup
 from lagoon.llm.common import table
 
 
+def op3_fingerprint(spark, sf_dir):
+    return fingerprint.edited_report(table(spark, sf_dir, "documents"))
+
+
 def op7_near_dedup(spark, sf_dir):
     return near_dedup.report(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
 QUERIES = {
+    "op3_fingerprint": op3_fingerprint,
     "op7_near_dedup": op7_near_dedup,
 }
 
