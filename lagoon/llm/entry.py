@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from lagoon.llm import fingerprint, near_dedup
+from lagoon.llm import fingerprint, line_dedup, near_dedup, quality_rules
 from lagoon.llm.common import table
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprint(spark, sf_dir):
     return fingerprint.edited_report(table(spark, sf_dir, "documents"))
 
@@ -14,9 +18,17 @@ def op7_near_dedup(spark, sf_dir):
     return near_dedup.report(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_fingerprint": op3_fingerprint,
     "op7_near_dedup": op7_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_line_dedup": line_dedup.REPORT_SQL,
+}
