@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagoon.llm import fingerprint, line_dedup, near_dedup, quality_rules
+from lagoon.llm import fingerprint, license_scan, line_dedup, near_dedup, quality_rules
 from lagoon.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op7_near_dedup(spark, sf_dir):
     return near_dedup.report(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op8_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_fingerprint": op3_fingerprint,
     "op7_near_dedup": op7_near_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
 }
 
