@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagoon.llm import fingerprint, license_scan, line_dedup, near_dedup, quality_rules
+from lagoon.llm import fingerprint, language_id, license_scan, line_dedup, near_dedup, quality_model, quality_rules
 from lagoon.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op3_fingerprint(spark, sf_dir):
     return fingerprint.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_model(spark, sf_dir):
+    return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_near_dedup(spark, sf_dir):
     return near_dedup.report(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -26,12 +30,18 @@ def op9_quality_rules(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_fingerprint": op3_fingerprint,
+    "op6_quality_model": op6_quality_model,
     "op7_near_dedup": op7_near_dedup,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE: dict[str, str] = {
