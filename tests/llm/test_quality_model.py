@@ -55,7 +55,7 @@ def test_statistics_do_not_depend_on_batches():
     assert together.shape == (len(texts), len(Q.FEATURES)) and np.isfinite(together).all()
     assert np.allclose(together, np.concatenate([stats(*K.from_strings([t])) for t in texts]))
     f = dict(zip(Q.FEATURES, together[3], strict=True))
-    assert abs(f["shout_words"] - 1 / 6) < 1e-6 and abs(f["share_break"]) < 1e-6 and f["tagged_words"] >= 2 / 6
+    assert abs(f["shout_words"] - 1 / 5) < 1e-6 and abs(f["share_break"]) < 1e-6 and f["tagged_words"] >= 2 / 5
 
 
 def test_held_out_quality_and_edges(spark):
