@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from lagoon.llm import fingerprint, language_id, license_scan, line_dedup, near_dedup, quality_model, quality_rules
+from lagoon.llm import fingerprint, language_id, license_scan, line_dedup, near_dedup, packing, quality_model, quality_rules
 from lagoon.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -14,6 +20,10 @@ def op3_fingerprint(spark, sf_dir):
     return fingerprint.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op6_quality_model(spark, sf_dir):
     return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +47,7 @@ def op10_language_id(spark, sf_dir):
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op3_fingerprint": op3_fingerprint,
+    "op4_packing": op4_packing,
     "op6_quality_model": op6_quality_model,
     "op7_near_dedup": op7_near_dedup,
     "op8_license_scan": op8_license_scan,
