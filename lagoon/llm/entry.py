@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lagoon.llm import fingerprint, language_id, license_scan, line_dedup, near_dedup, packing, quality_model, quality_rules
+from lagoon.llm import fingerprint, language_id, license_scan, line_dedup, near_dedup, packing, pieces, quality_model, quality_rules, warc
 from lagoon.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op2_pieces(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), alpha=1.0, verify=True)
+
+
 def op3_fingerprint(spark, sf_dir):
     return fingerprint.edited_report(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_warc(spark, sf_dir):
+    return warc.report(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_model(spark, sf_dir):
     return quality_model.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,8 +54,10 @@ def op10_language_id(spark, sf_dir):
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_pieces": op2_pieces,
     "op3_fingerprint": op3_fingerprint,
     "op4_packing": op4_packing,
+    "op5_warc": op5_warc,
     "op6_quality_model": op6_quality_model,
     "op7_near_dedup": op7_near_dedup,
     "op8_license_scan": op8_license_scan,
@@ -57,4 +67,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.REPORT_SQL,
+    "op5_warc": warc.REPORT_SQL,
 }
