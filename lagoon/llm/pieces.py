@@ -17,18 +17,18 @@ Decoding turns pieces to bytes, ``▁`` to spaces, and drops the space that was
 ``▁`` in the text itself is written in byte pieces, so decoding always gives the text back.
 
 Defined cases: null texts have null ids; empty texts have no ids; rows of null key share one seed;
-equal rows have equal ids. Work arrays are made for about ``K.CHUNK`` bytes of text at a time (a
+equal rows have equal ids. Work arrays are made for about ``4 * K.CHUNK`` bytes of text at a time (a
 longer text takes as many as it needs).
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +36,7 @@ from lagoon.llm import textkernel as K
 
 U64 = np.uint64
 SPACE = "▁"
-_UNIT = regex.compile(" *[^ ]+| +")
+_UNIT = re.compile(" *[^ ]+| +")
 _STEP = U64(0x9FB21C651E98DF25)
 
 
@@ -91,10 +91,12 @@ class Lattice:
                 raise ValueError("two pieces have one hash")
             found[h] = i
             self.longest = max(self.longest, len(self.names[i]))
-        keys = np.array(sorted(found), dtype=U64)
-        self.keys, self.piece = keys, np.array([found[int(k)] for k in keys], dtype=np.int64)
+        keys = np.array(list(found), dtype=U64)
+        keys, piece = K.mix(keys), np.array(list(found.values()), dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.piece = keys[order], piece[order]
         # a coarse index by the top bits narrows each search
-        self.top = np.searchsorted(keys >> U64(48), np.arange(2**16 + 1, dtype=U64))
+        self.top = np.searchsorted(self.keys >> U64(48), np.arange(2**16 + 1, dtype=U64))
 
     @classmethod
     def of(cls, path: str, alpha: float) -> Lattice:
@@ -122,7 +124,7 @@ class Lattice:
         first = np.concatenate([[0], np.cumsum(size)])
         unit = np.repeat(np.arange(len(size)), size)
         end = first[1:][unit]
-        node = np.arange(len(cp)) + unit
+        node = (np.arange(len(cp)) + unit).astype(np.int32)
         at = np.arange(len(cp))
         h = np.zeros(len(cp), dtype=U64)
         src, dst, piece = [], [], []
@@ -133,7 +135,7 @@ class Lattice:
                 break
             h = h * U64(0xD1342543DE82EF95) + cp[at + n - 1].astype(U64) + U64(1)
             h ^= h >> U64(29)
-            k = self._find(h)
+            k = self._find(K.mix(h))
             if n == 1:
                 lone = (k < 0) | (self.piece[k] < 0)
                 src.append(node[at[lone]])
@@ -155,23 +157,25 @@ class Lattice:
         first = np.concatenate([[0], np.cumsum(size + 1)])
         nodes = int(first[-1])
         place = np.arange(nodes) - np.repeat(first[:-1], size + 1)
-        order = np.lexsort((dst, place[dst]))
+        order = np.argsort(dst, kind="stable")
         src, dst, piece, weight = src[order], dst[order], piece[order], weight[order]
+        at = place[dst]
+        far = int(size.max(initial=0))
+        turn = np.argsort(at.astype(np.uint16) if far < 2**16 else at, kind="stable")  # short keys: a radix sort
+        turns = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=far + 1)[1:])])
         alpha = np.zeros(nodes)
         chance = np.empty(len(src))
-        turns = np.searchsorted(place[dst], np.arange(1, int(size.max(initial=0)) + 2))
         for a, b in zip(turns[:-1].tolist(), turns[1:].tolist(), strict=True):
-            v = alpha[src[a:b]] + weight[a:b]
-            d = dst[a:b]
+            here = turn[a:b]
+            v = alpha[src[here]] + weight[here]
+            d = dst[here]
             heads = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
             top = np.maximum.reduceat(v, heads)
             wide = np.diff(np.append(heads, b - a))
             e = np.exp(v - np.repeat(top, wide))
             total = np.add.reduceat(e, heads)
             alpha[d[heads]] = top + np.log(total)
-            chance[a:b] = e / np.repeat(total, wide)
-        order = np.argsort(dst, kind="stable")
-        src, dst, piece, chance = src[order], dst[order], piece[order], chance[order]
+            chance[here] = e / np.repeat(total, wide)
         run = np.cumsum(chance)
         head = np.concatenate([[True], dst[1:] != dst[:-1]])
         before = np.maximum.accumulate(np.where(head, run - chance, 0))
@@ -184,14 +188,15 @@ class Lattice:
         """(ids of all texts, begin of each text's)."""
         number: dict[str, int] = {}
         units, counts = [], []
+        put = number.setdefault
         for t in texts:
             found = _UNIT.findall(" " + t) if t else []
             counts.append(len(found))
-            units += [number.setdefault(u, len(number)) for u in found]
+            units.append(np.array([put(u, len(number)) for u in found], dtype=np.int64))
         row_begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        if not units:
+        if not number:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
-        unit = np.array(units, dtype=np.int64)
+        unit = np.concatenate(units)
         size = np.fromiter(map(len, number), dtype=np.int64, count=len(number))
         raw = np.frombuffer("".join(number).encode("utf-32-le"), dtype=np.uint32)
         # a "▁" of the text is no space: a code point that no piece has, turned back for its bytes
@@ -250,7 +255,7 @@ def row_seed(seed: int, key) -> int:
 def _encode_batch(lattice: Lattice, seed: int, keys: list, column) -> list[tuple[int, int, list, np.ndarray, np.ndarray]]:
     """(first row, row after the last, texts, ids, begin) of bounded slices."""
     _, offsets = K.buffers(column)
-    for a, b in K.slices(offsets, 2 * K.CHUNK):
+    for a, b in K.slices(offsets, 4 * K.CHUNK):
         texts = column.slice(a, b - a).to_pylist()
         seeds = np.array([row_seed(seed, k) for k in keys[a:b]], dtype=U64)
         ids, begin = lattice.sample([t or "" for t in texts], seeds)
