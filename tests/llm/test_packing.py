@@ -86,11 +86,12 @@ def texts():
 def test_ids_are_the_tokenizers(monkeypatch):
     t = Tokenizer.from_file(PATH)
     encoder = P.Encoder(PATH)
-    assert encoder.plain
+    assert encoder.ranks is not None
     monkeypatch.setattr(P, "_KEPT", 700)
-    monkeypatch.setattr(P, "_RUN", 50)
     for x in texts():
-        assert np.frombuffer(encoder.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+        for run in (50, 100_000):  # long texts in runs, others by ranks
+            monkeypatch.setattr(P, "_RUN", run)
+            assert np.frombuffer(encoder.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
 def test_pack(spark):
