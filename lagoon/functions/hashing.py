@@ -28,9 +28,9 @@ def check_hash(obj: dict) -> bool:
 
 
 def hash_text_series(keys: list[Column], x: Column, digits: int = 6) -> Column:
-    """SHA-256 of keys and rounded samples written as text; the same in any SQL engine."""
-    shown = F.transform(x, lambda v: F.format_number(F.round(v, digits), f"0.{'0' * digits}"))
-    return F.sha2(F.concat_ws("|", *keys, F.concat_ws(",", shown)), 256)
+    """SHA-256 of keys and samples written as whole units of the last digit; the same in any SQL."""
+    units = F.transform(x, lambda v: F.round(v * 10**digits).cast("long").cast("string"))
+    return F.sha2(F.concat_ws("|", *keys, F.concat_ws(",", units)), 256)
 
 
 @F.pandas_udf("string")

@@ -30,4 +30,4 @@ def days_of_year(year: Column) -> Column:
 
 def hour_number(time: Column, origin: str) -> Column:
     """Whole hours since ``origin``."""
-    return F.timestamp_diff("HOUR", F.expr(f"timestamp_ntz'{origin}'"), F.date_trunc("HOUR", time).cast("timestamp_ntz")).cast("int")
+    return F.timestamp_diff("HOUR", F.expr(f"timestamp_ntz'{origin}'"), time).cast("int")
