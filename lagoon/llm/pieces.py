@@ -9,15 +9,15 @@ a row's segmentation is reproducible whatever its partition, batch or retry.
 
 No piece has a ``▁`` after another character, so every path passes the place before each run of
 spaces, and words (with the spaces before them) are filtered and sampled apart. Each distinct word of
-a batch is filtered once, all words at the same place at once; all occurrences are sampled a step at a
-time in numpy. Weights come from the model: log-probabilities if its scores are that, or, where scores
+a batch is filtered once, all words at the same place at once; a worker keeps the words it met first.
+All occurrences are sampled a step at a time in numpy. Weights come from the model: log-probabilities if its scores are that, or, where scores
 are merge ranks (byte-pair models), a Zipf law of the rank.
 
 Decoding turns pieces to bytes, ``▁`` to spaces, and drops the space that was put before the text. A
 ``▁`` in the text itself is written in byte pieces, so decoding always gives the text back.
 
 Defined cases: null texts have null ids; empty texts have no ids; rows of null key share one seed;
-equal rows have equal ids. Work arrays are made for about ``4 * K.CHUNK`` bytes of text at a time (a
+equal rows have equal ids. Work arrays are made for about ``3 * K.CHUNK`` bytes of text at a time (a
 longer text takes as many as it needs).
 """
 
@@ -26,6 +26,8 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,30 @@ from lagoon.llm import textkernel as K
 U64 = np.uint64
 SPACE = "▁"
 _UNIT = re.compile(" *[^ ]+| +")
+KNOWN = 150_000  # units that a worker keeps filtered
 _STEP = U64(0x9FB21C651E98DF25)
 
 
+class Filtered(NamedTuple):
+    """Lattices of units after forward filtering: edges by target node, with running chances."""
+
+    chance: np.ndarray
+    piece: np.ndarray
+    src: np.ndarray
+    lead: np.ndarray  # first edge of each node
+    first: np.ndarray  # first node of each unit, and the number of nodes
+
+    def then(self, other: Filtered) -> Filtered:
+        if not len(self.chance):
+            return other
+        nodes, edges = self.first[-1], len(self.chance)
+        return Filtered(
+            np.concatenate([self.chance, other.chance]), np.concatenate([self.piece, other.piece]),
+            np.concatenate([self.src, other.src + np.int32(nodes)]), np.concatenate([self.lead, other.lead + np.int32(edges)]),
+            np.concatenate([self.first[:-1], other.first + nodes]),
+        )
+
+
 class Lattice:
     """A model's pieces as tables; made once a worker."""
 
@@ -96,6 +119,8 @@ class Lattice:
         order = np.argsort(keys)
         self.keys, self.piece = keys[order], piece[order]
         # a coarse index by the top bits narrows each search
+        self.known: dict[str, int] = {}
+        self.filtered = Filtered(np.zeros(0), *[np.zeros(0, np.int32)] * 3, np.zeros(1, np.int64))
         self.top = np.searchsorted(self.keys >> U64(48), np.arange(2**16 + 1, dtype=U64))
 
     @classmethod
@@ -151,8 +176,8 @@ class Lattice:
         weight = np.where(piece >= 0, self.log[np.maximum(piece, 0)], self.byte_log * _utf8_length(-1 - np.minimum(piece, -1)))
         return src, dst, piece, weight
 
-    def filter(self, cp: np.ndarray, size: np.ndarray):
-        """Forward filtering: (rising keys of edges, their pieces and sources, first node of units)."""
+    def filter(self, cp: np.ndarray, size: np.ndarray) -> Filtered:
+        """Forward filtering of units. Nothing in a unit's part depends on the other units."""
         src, dst, piece, weight = self.edges(cp, size)
         first = np.concatenate([[0], np.cumsum(size + 1)])
         nodes = int(first[-1])
@@ -176,17 +201,18 @@ class Lattice:
             total = np.add.reduceat(e, heads)
             alpha[d[heads]] = top + np.log(total)
             chance[here] = e / np.repeat(total, wide)
-        run = np.cumsum(chance)
-        head = np.concatenate([[True], dst[1:] != dst[:-1]])
-        before = np.maximum.accumulate(np.where(head, run - chance, 0))
-        key = dst + np.minimum(run - before, 1.0)
-        last = np.append(head[1:], True)
-        key[last] = dst[last] + 1.0
-        return key, piece, src, first
+        many = np.bincount(dst, minlength=nodes)
+        lead = np.concatenate([[0], np.cumsum(many)[:-1]])
+        rank = np.arange(len(dst)) - lead[dst]
+        for r in range(1, int(many.max(initial=0))):  # running sums within a node's edges
+            k = np.flatnonzero(rank == r)
+            chance[k] += chance[k - 1]
+        chance[(lead + many - 1)[many > 0]] = 1.0
+        return Filtered(chance, piece.astype(np.int32), src.astype(np.int32), lead.astype(np.int32), first)
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, begin of each text's)."""
-        number: dict[str, int] = {}
+        number = self.known.copy()
         units, counts = [], []
         put = number.setdefault
         for t in texts:
@@ -194,28 +220,38 @@ class Lattice:
             counts.append(len(found))
             units.append(np.array([put(u, len(number)) for u in found], dtype=np.int64))
         row_begin = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-        if not number:
+        if not row_begin[-1]:
             return np.zeros(0, np.int64), np.zeros(len(texts) + 1, np.int64)
         unit = np.concatenate(units)
-        size = np.fromiter(map(len, number), dtype=np.int64, count=len(number))
-        raw = np.frombuffer("".join(number).encode("utf-32-le"), dtype=np.uint32)
-        # a "▁" of the text is no space: a code point that no piece has, turned back for its bytes
-        cp = np.where(raw == 32, ord(SPACE), np.where(raw == ord(SPACE), 1 << 30, raw)).astype(np.int64)
-        key, piece, src, first = self.filter(cp, size)
+        new = list(islice(number, len(self.known), None))
+        f = self.filtered
+        if new:
+            size = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
+            raw = np.frombuffer("".join(new).encode("utf-32-le"), dtype=np.uint32)
+            # a "▁" of the text is no space: a code point that no piece has, turned back for its bytes
+            cp = np.where(raw == 32, ord(SPACE), np.where(raw == ord(SPACE), 1 << 30, raw)).astype(np.int64)
+            f = f.then(self.filter(cp, size))
+            if len(number) <= KNOWN:  # units met first are kept filtered; later ones are filtered anew
+                self.known, self.filtered = number, f
         row = np.repeat(np.arange(len(texts)), counts)
         base = K.mix(seeds[row] + (np.arange(len(unit)) - row_begin[row]).astype(U64) * _STEP)
-        node = first[unit] + size[unit]
-        stop = first[unit]
+        stop = f.first[unit]
+        node = f.first[unit + 1] - 1
         live = np.arange(len(unit))
         steps, taken = [], np.zeros(len(unit), dtype=np.int64)
         k = 0
         while len(live):
             u = (K.mix(base[live] + U64(k)) >> U64(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(key, node[live] + u, side="right")
-            steps.append((live, piece[e]))
+            e = f.lead[node[live]].astype(np.int64)
+            more = np.flatnonzero(u >= f.chance[e])
+            while len(more):
+                e[more] += 1
+                more = more[u[more] >= f.chance[e[more]]]
+            steps.append((live, f.piece[e]))
             taken[live] += 1
-            node[live] = src[e]
-            live = live[src[e] > stop[live]]
+            at = f.src[e]
+            node[live] = at
+            live = live[at > stop[live]]
             k += 1
         tail = np.cumsum(taken)
         path = np.empty(int(tail[-1]), dtype=np.int64)
@@ -255,7 +291,7 @@ def row_seed(seed: int, key) -> int:
 def _encode_batch(lattice: Lattice, seed: int, keys: list, column) -> list[tuple[int, int, list, np.ndarray, np.ndarray]]:
     """(first row, row after the last, texts, ids, begin) of bounded slices."""
     _, offsets = K.buffers(column)
-    for a, b in K.slices(offsets, 4 * K.CHUNK):
+    for a, b in K.slices(offsets, 3 * K.CHUNK):
         texts = column.slice(a, b - a).to_pylist()
         seeds = np.array([row_seed(seed, k) for k in keys[a:b]], dtype=U64)
         ids, begin = lattice.sample([t or "" for t in texts], seeds)

@@ -73,3 +73,14 @@ def test_lossless_reproducible_and_independent_of_partitions(spark):
     back = {r.doc_id: r.text for r in P.decode(spark.createDataFrame(once), PATH).collect()}
     assert back == dict(rows)
     assert P.encode(df.limit(0), PATH).count() == 0
+
+
+def test_kept_words_do_not_change_draws(monkeypatch):
+    rows = [t for t in texts() if t]
+    seeds = np.array([P.row_seed(2, k) for k in range(len(rows))], dtype=np.uint64)
+    whole = P.Lattice(PATH, 0.5).sample(rows, seeds)
+    monkeypatch.setattr(P, "KNOWN", 40)
+    lattice = P.Lattice(PATH, 0.5)
+    for k, t in enumerate(rows):
+        ids, _ = lattice.sample([t], seeds[k : k + 1])
+        assert ids.tolist() == whole[0][whole[1][k] : whole[1][k + 1]].tolist()
