@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lagoon.kernels import geodesic
 
@@ -16,7 +17,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return 2 * RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def geodesic_km(lat1: pd.Series, lon1: pd.Series, lat2: pd.Series, lon2: pd.Series) -> pd.Series:
     """Kilometres on the WGS84 ellipsoid."""
     return pd.Series(geodesic.distance(lat1, lon1, lat2, lon2) / 1000)

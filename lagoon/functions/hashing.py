@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical(obj, ignore: tuple[str, ...] = ("sha256_hash", "sha256_hash_metadata")) -> str:
@@ -33,7 +34,7 @@ def hash_text_series(keys: list[Column], x: Column, digits: int = 6) -> Column:
     return F.sha2(F.concat_ws("|", *keys, F.concat_ws(",", units)), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def hash_bytes(x: pd.Series) -> pd.Series:
     """SHA-256 of a series' little-endian doubles."""
     return x.map(lambda v: None if v is None else hashlib.sha256(np.asarray(v, "<f8").tobytes()).hexdigest())

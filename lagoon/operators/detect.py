@@ -70,10 +70,12 @@ def coincidence_trigger(values: DataFrame, element: str, time: str, value: str,
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
         on = rows.groupBy("_e").applyInPandas(follow, f"_e {kinds['_e']}, _t {kinds['_t']}")
     hits = on.groupBy("_t").agg(F.countDistinct("_e").alias("_n")).where(F.col("_n") >= coincidence)
-    # islands: one row per run, which is what the last, global numbering handles
-    w = Window.orderBy("_t")
-    marked = hits.withColumn("_g", F.sum(F.when(F.col("_t") - F.lag("_t").over(w) == step, 0).otherwise(1)).over(w))
-    runs = marked.groupBy("_g").agg(F.min("_t").alias("a"), F.max("_t").alias("b")).where(F.col("b") - F.col("a") + step >= min_steps * step)
+    # a run begins where the step before is no hit and ends where the next is none: two anti-joins on
+    # the step; only the runs' ends, not their steps, are then put in one order and numbered
+    t = hits.select("_t")
+    begins = t.join(t.select((F.col("_t") + step).alias("_t")), "_t", "left_anti").select(F.col("_t").alias("a"), F.row_number().over(Window.orderBy("_t")).alias("_g"))
+    stops = t.join(t.select((F.col("_t") - step).alias("_t")), "_t", "left_anti").select(F.col("_t").alias("b"), F.row_number().over(Window.orderBy("_t")).alias("_g"))
+    runs = begins.join(stops, "_g").where(F.col("b") - F.col("a") + step >= min_steps * step)
     runs = runs.select((F.col("a") - extend * step).alias("a"), (F.col("b") + extend * step).alias("b"))
     reach = F.max("b").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
     joined = runs.withColumn("_new", F.when(F.col("a") <= reach + step, 0).otherwise(1))

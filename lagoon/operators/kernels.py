@@ -40,25 +40,36 @@ def stacked(fn: Callable, columns: list[pd.Series], scalars: list[pd.Series]) ->
     return pd.Series(out)
 
 
+def _opaque(run, returns: str):
+    """A kernel that Catalyst neither repeats nor moves into filters and lambdas, as it could a cheap
+    expression: kernels are the costly part of a plan and run once where they stand."""
+    return F.pandas_udf(run, returns).asNondeterministic()
+
+
+# Kernels name their series twice: a column that is read twice stays a projection of its own, so that
+# native steps before a kernel are evaluated once and are not folded into the kernel's arguments.
+# Equal arguments travel to Python once. A kernel's input must be a column, not a longer expression.
+
+
 def unary(fn: Callable, x: Column, returns: str = "array<double>") -> Column:
-    def run(a: pd.Series) -> pd.Series:
+    def run(a: pd.Series, _: pd.Series) -> pd.Series:
         return stacked(fn, [a], [])
 
-    return F.pandas_udf(run, returns)(x)
+    return _opaque(run, returns)(x, x)
 
 
 def unary_with(fn: Callable, x: Column, scalar: Column, returns: str = "array<double>") -> Column:
-    def run(a: pd.Series, s: pd.Series) -> pd.Series:
+    def run(a: pd.Series, s: pd.Series, _: pd.Series) -> pd.Series:
         return stacked(fn, [a], [s])
 
-    return F.pandas_udf(run, returns)(x, scalar)
+    return _opaque(run, returns)(x, scalar, x)
 
 
 def binary(fn: Callable, x: Column, y: Column, returns: str = "array<double>") -> Column:
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return stacked(fn, [a, b], [])
 
-    return F.pandas_udf(run, returns)(x, y)
+    return _opaque(run, returns)(x, y, x, y)
 
 
 def table_kernel(fn: Callable[[dict], Iterable[dict]]):

@@ -6,24 +6,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagoon.functions.core import let
 from lagoon.kernels import filters, fourier, spectral
 from lagoon.operators.kernels import binary, table_kernel, unary, unary_with
 
-COMPLEX = "struct<re:array<double>,im:array<double>>"
-
-
-def _parts(z: np.ndarray):
-    import pandas as pd
-
-    return [pd.Series({"re": r, "im": i}).to_dict() for r, i in zip(z.real, z.imag, strict=True)]
-
-
 def _complex(fn, *cols: Column) -> Column:
     """A kernel with a complex result, as a struct of its parts: both packed in one array."""
     op = unary if len(cols) == 1 else binary
     packed = op(lambda *a: np.concatenate([(z := fn(*a)).real, z.imag], axis=-1), *cols)
-    half = (F.size(packed) / 2).cast("int")
-    return F.struct(F.slice(packed, 1, half).alias("re"), F.slice(packed, half + 1, half).alias("im"))
+    half = lambda p: (F.size(p) / 2).cast("int")
+    return let(packed, lambda p: F.struct(F.slice(p, F.lit(1), half(p)).alias("re"), F.slice(p, half(p) + 1, half(p)).alias("im")))
 
 
 def fft(x: Column) -> Column:

@@ -68,7 +68,8 @@ def postprocess(xc: DataFrame, *, n: int, first_lag: int, delta: float, highpass
     if "postprocessed" in xc.columns:
         return xc
     rows = xc.where(F.col("status") == DONE) if done_only and "status" in xc.columns else xc
-    x = A.taper(A.demean(A.unbias(F.col("cc"), n, first_lag)), max_length=taper1, delta=delta)
-    x = transforms.timeshift(x, F.lit(0.0) if delay is None else delay, delta)
-    x = A.taper(transforms.filter(x, highpass, "highpass", delta, order), max_length=taper2, delta=delta)
-    return rows.withColumn("cc", x).withColumn("postprocessed", F.lit(True))
+    cc = F.col("cc")
+    rows = rows.withColumn("cc", A.taper(A.demean(A.unbias(cc, n, first_lag)), max_length=taper1, delta=delta))
+    rows = rows.withColumn("cc", transforms.timeshift(cc, F.lit(0.0) if delay is None else delay, delta))
+    rows = rows.withColumn("cc", transforms.filter(cc, highpass, "highpass", delta, order))
+    return rows.withColumn("cc", A.taper(cc, max_length=taper2, delta=delta)).withColumn("postprocessed", F.lit(True))

@@ -31,7 +31,7 @@ def cc_normalized(spark, d):
     return correlate.to_long(X.cross(spark, d, True), ["pair"], "cc", "lag", "cc", 1 - N).withColumn("cc", tidy(F.col("cc"), 8))
 
 
-@Q(f"WITH {CROSS} SELECT pair, lag * 3600.0 AS lag, round(cc, 4) + 0.0 AS cc FROM cc WHERE lag BETWEEN -48 AND 48")
+@Q(f"WITH {CROSS} SELECT pair, lag * 3600e0 AS lag, round(cc, 4) + 0.0 AS cc FROM cc WHERE lag BETWEEN -48 AND 48")
 def cc_clip_lag(spark, d):
     x = X.cross(spark, d).select("pair", A.clip_lags(F.col("cc"), N, DELTA, -48 * DELTA, 48 * DELTA).alias("cc"))
     return correlate.to_long(x, ["pair"], "cc", "k", "cc", -48).select("pair", (F.col("k") * DELTA).alias("lag"), tidy(F.col("cc"), 4).alias("cc"))
@@ -43,7 +43,7 @@ def cc_sql(spark, d):
     return correlate.cc_long(X.grid(spark, d), "receiver", "h", "v", 24).withColumn("cc", tidy(F.col("cc"), 4))
 
 
-@Q("SELECT CAST(i AS BIGINT) AS k, i * 3600.0 AS lag FROM range(-719, 720) t(i)")
+@Q("SELECT CAST(i AS BIGINT) AS k, i * 3600e0 AS lag FROM range(-719, 720) t(i)")
 def lag_axis(spark, d):
     return spark.range(1 - N, N).select(F.col("id").alias("k"), (F.col("id") * DELTA).alias("lag"))
 
@@ -62,13 +62,13 @@ def extract_shift(spark, d):
     return X.cross(spark, d).select("pair", correlate.shift(F.col("cc")).cast("double").alias("shift"))
 
 
-@Q(f"WITH {CROSS}, t AS ({_TOP}) SELECT pair, lag * 3600.0 AS shift, round(cc, 4) AS cc_max FROM t WHERE i = 1")
+@Q(f"WITH {CROSS}, t AS ({_TOP}) SELECT pair, lag * 3600e0 AS shift, round(cc, 4) AS cc_max FROM t WHERE i = 1")
 def extract_shift_and_max(spark, d):
     return X.cross(spark, d).select("pair", correlate.shift_and_max(F.col("cc"), DELTA).alias("s")).select("pair", "s.shift", F.round("s.cc_max", 4).alias("cc_max"))
 
 
 @Q(f"""WITH {CROSS}, t AS ({_TOP}), p AS (SELECT receiver, sqrt(sum(v * v)) AS p FROM g GROUP BY 1)
-SELECT pair, lag * 3600.0 AS shift, round(cc / (a.p * b.p), 8) AS cc_max FROM t JOIN p a ON a.receiver = split_part(pair, '-', 1) JOIN p b ON b.receiver = split_part(pair, '-', 2) WHERE i = 1""")
+SELECT pair, lag * 3600e0 AS shift, round(cc / (a.p * b.p), 8) AS cc_max FROM t JOIN p a ON a.receiver = split_part(pair, '-', 1) JOIN p b ON b.receiver = split_part(pair, '-', 2) WHERE i = 1""")
 def compute_shift_and_max(spark, d):
     return X.cross(spark, d, True).select("pair", correlate.shift_and_max(F.col("cc"), DELTA).alias("s")).select("pair", "s.shift", F.round("s.cc_max", 8).alias("cc_max"))
 

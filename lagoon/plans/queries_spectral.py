@@ -1,2 +1,311 @@
-from lagoon.plans.register import Registry
+"""Queries on Fourier-type transforms, filters, time-frequency operators, matrices and beams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lagoon.functions import arrays as A
+from lagoon.functions.core import tidy
+from lagoon.kernels import spectral
+from lagoon.operators import correlate, detect, matrix, transforms
+from lagoon.plans import correlation, pipelines
+from lagoon.plans import fixtures as X
+from lagoon.plans.queries_basic import _clipped
+from lagoon.plans.queries_data import _processed
+from lagoon.plans.register import CROSS, GRID, VECTORS, Registry
+from lagoon.series import SeriesFrame
+
 Q = Registry()
+N, DELTA = X.HOURS, X.HOUR
+
+
+def _long(df, keys, x, digits=6, step="k", first=0):
+    return correlate.to_long(df.select(*keys, x.alias("_x")).withColumnRenamed("_x", "x"), keys, "x", step, "v", first).select(*keys, step, tidy(F.col("v"), digits).alias("v"))
+
+
+def _complex_long(df, keys, z, step="k", shift=0):
+    p = df.select(*keys, z.alias("z")).select(*keys, F.posexplode(F.arrays_zip(F.col("z.re").alias("re"), F.col("z.im").alias("im"))).alias("_k", "p"))
+    return p.select(*keys, (F.col("_k") + shift).alias(step), tidy(F.col("p.re"), 5).alias("re"), tidy(F.col("p.im"), 5).alias("im"))
+
+
+# ---- Fourier transforms
+
+_DFT = VECTORS + """, ft AS (SELECT a.vec_id, CAST(f.i AS INTEGER) AS k, sum(v * cos(2 * pi() * k * f.i / 64)) AS re, -sum(v * sin(2 * pi() * k * f.i / 64)) AS im FROM v a, range(-32, 32) f(i) GROUP BY ALL)"""
+
+
+@Q(f"WITH {_DFT} SELECT vec_id, k, round(re, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM ft")
+def fft_dft(spark, d):
+    return _complex_long(X.vectors(spark, d), ["vec_id"], transforms.fft(F.col("x")), shift=-32)
+
+
+@Q("SELECT CAST(k AS INTEGER) AS k, round((k - 32) / (64 * 3600.0), 12) AS f FROM range(64) t(k)")
+def fft_axis(spark, d):
+    return spark.range(1).select(F.posexplode(transforms.frequencies(F.lit(64), DELTA)).alias("k", "f")).select("k", F.round("f", 12).alias("f"))
+
+
+@Q(f"WITH {VECTORS} SELECT vec_id, k, round(v, 6) + 0.0 AS v FROM v")
+def ifft_roundtrip(spark, d):
+    z = X.vectors(spark, d).withColumn("z", transforms.fft(F.col("x")))
+    return _long(z.withColumn("b", transforms.ifft(F.col("z.re"), F.col("z.im"))), ["vec_id"], F.col("b.re"))
+
+
+@Q(f"WITH {_DFT} SELECT vec_id, k, round(re * re + im * im, 5) + 0.0 AS v FROM ft WHERE k >= 0 UNION ALL SELECT vec_id, 32 AS k, round(re * re + im * im, 5) + 0.0 AS v FROM ft WHERE k = -32")
+def rfft_power(spark, d):
+    z = X.vectors(spark, d).withColumn("z", transforms.rfft(F.col("x")))
+    return _long(z, ["vec_id"], F.zip_with("z.re", "z.im", lambda a, b: a * a + b * b), 5)
+
+
+@Q(f"WITH {VECTORS} SELECT vec_id, k, round(v, 6) + 0.0 AS v FROM v WHERE k < 63")
+def irfft_roundtrip(spark, d):
+    """An odd length keeps its last sample."""
+    z = X.vectors(spark, d).withColumn("x", F.slice("x", 1, 63)).withColumn("z", transforms.rfft(F.col("x")))
+    return _long(z, ["vec_id"], transforms.irfft(F.col("z.re"), F.col("z.im"), 63))
+
+
+@Q(f"WITH {VECTORS} SELECT vec_id, (k + 3) % 64 AS k, round(v, 6) + 0.0 AS v FROM v")
+def timeshift_integer(spark, d):
+    return _long(X.vectors(spark, d), ["vec_id"], transforms.timeshift(F.col("x"), F.lit(3 * DELTA), DELTA)).withColumn("k", F.col("k").cast("long"))
+
+
+@Q()
+def timeshift_fractional(spark, d):
+    return _long(X.vectors(spark, d), ["vec_id"], transforms.timeshift(F.col("x"), (F.col("vec_id") % 5) * 0.25 * DELTA, DELTA))
+
+
+# analytic signal: im[k] = sum_m x[m] h[k - m], h[j] = 2 / n cot(pi j / n) for odd j, else 0 (n even)
+_HILBERT = VECTORS + """, hb AS (SELECT a.vec_id, CAST(t.i AS INTEGER) AS k, sum(CASE WHEN (t.i - a.k) % 2 = 0 THEN 0 ELSE v * 2 / 64 / tan(pi() * (t.i - a.k) / 64) END) AS im FROM v a, range(64) t(i) GROUP BY ALL)"""
+
+
+@Q(f"WITH {_HILBERT} SELECT vec_id, k, round(v, 5) + 0.0 AS re, round(im, 5) + 0.0 AS im FROM v JOIN hb USING (vec_id, k)")
+def hilbert(spark, d):
+    return _complex_long(X.vectors(spark, d), ["vec_id"], transforms.hilbert(F.col("x")))
+
+
+@Q(f"WITH {_HILBERT} SELECT vec_id, k, round(sqrt(v * v + im * im), 5) + 0.0 AS v FROM v JOIN hb USING (vec_id, k)")
+def envelope(spark, d):
+    return _long(X.vectors(spark, d), ["vec_id"], transforms.envelope(F.col("x")), 5)
+
+
+# ---- filters
+
+def _filtered(spark, d, frequency, kind, order=2):
+    f = tuple(v / DELTA for v in frequency) if isinstance(frequency, tuple) else frequency / DELTA
+    return _long(X.series(spark, d), ["receiver"], transforms.filter(F.col("x"), f, kind, DELTA, order), 4, "h")
+
+
+@Q()
+def filter_lowpass(spark, d):
+    return _filtered(spark, d, 0.1, "lowpass")
+
+
+@Q()
+def filter_highpass(spark, d):
+    return _filtered(spark, d, 0.1, "highpass", 4)
+
+
+@Q()
+def filter_bandpass(spark, d):
+    return _filtered(spark, d, (0.05, 0.2), "bandpass")
+
+
+@Q()
+def postprocess(spark, d):
+    p = correlation.postprocess(_processed(spark, d), n=120, first_lag=-24, delta=1.0, highpass=0.1, taper1=5.0, taper2=2.0, delay=F.lit(1.0))
+    return correlate.to_long(p, ["pair", "start"], "cc", "lag", "v", -24).withColumn("v", tidy(F.col("v"), 3))
+
+
+@Q()
+def chain_fluent(spark, d):
+    """unbias, demean, taper, filter and signal-to-noise ratio, chained."""
+    x = X.cross(spark, d).select("pair", A.clip_lags(F.col("cc"), N, 1.0, -168, 168).alias("cc"))
+    s = SeriesFrame(x, "cc", first=-168.0, delta=1.0).unbias(N).unbias(N).demean().taper(max_length=12.0).filter(0.1, "highpass")
+    w = lambda a, b: (F.lit(float(a)), F.lit(float(b)))
+    return s.snr(w(-12, 12), w(72, 168)).select("pair", F.col("snr.lag_s_max"), F.round("snr.snr", 6).alias("snr"))
+
+
+# ---- correlation of vectors and matrices
+
+_NEXT = VECTORS + """, p AS (SELECT vec_id, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS nx FROM (SELECT DISTINCT vec_id, label FROM v)),
+nm AS (SELECT vec_id, sqrt(sum(v * v)) AS n FROM v GROUP BY 1)"""
+
+
+@Q(f"""WITH {_NEXT} SELECT p.vec_id, a.k - b.k AS lag, round(sum(a.v * b.v) / (na.n * nb.n), 7) + 0.0 AS v FROM p JOIN v a ON a.vec_id = p.vec_id JOIN v b ON b.vec_id = p.nx
+JOIN nm na ON na.vec_id = p.vec_id JOIN nm nb ON nb.vec_id = p.nx GROUP BY p.vec_id, a.k - b.k, na.n, nb.n""")
+def correlate1d(spark, d):
+    p = X.vector_pairs(spark, d)
+    return _long(p, ["vec_id"], correlate.cc(F.col("x"), F.col("y"), True), 7, "lag", -63).withColumn("lag", F.col("lag").cast("long"))
+
+
+@Q(f"""WITH {_NEXT} SELECT p.vec_id, a.k // 8 - b.k // 8 AS dr, a.k % 8 - b.k % 8 AS dc, round(sum(a.v * b.v) / (na.n * nb.n), 7) + 0.0 AS v FROM p JOIN v a ON a.vec_id = p.vec_id JOIN v b ON b.vec_id = p.nx
+JOIN nm na ON na.vec_id = p.vec_id JOIN nm nb ON nb.vec_id = p.nx GROUP BY p.vec_id, a.k // 8 - b.k // 8, a.k % 8 - b.k % 8, na.n, nb.n""")
+def correlate2d(spark, d):
+    c = _long(X.vector_pairs(spark, d), ["vec_id"], correlate.cc2d(F.col("x"), F.col("y"), (8, 8)), 7)
+    return c.select("vec_id", (F.floor(F.col("k") / 15) - 7).alias("dr"), (F.col("k") % 15 - 7).cast("long").alias("dc"), "v")
+
+
+_CELLS = "cl AS (SELECT CAST(v.k // 8 AS INTEGER) AS i, CAST(v.k % 8 AS INTEGER) AS j, vec_id, v AS v FROM v)"
+
+
+def _cells(spark, d):
+    c = correlate.to_long(X.vectors(spark, d), ["vec_id"], "x")
+    return c.select("vec_id", F.floor(F.col("k") / 8).cast("int").alias("i"), (F.col("k") % 8).cast("int").alias("j"), "v")
+
+
+@Q(f"WITH {VECTORS}, {_CELLS} SELECT vec_id, i, j, round(v, 6) + 0.0 AS v FROM cl WHERE j <= i + 1")
+def tri_mask(spark, d):
+    return _cells(spark, d).where(matrix.tri_mask(F.col("i"), F.col("j"), 1)).withColumn("v", tidy(F.col("v")))
+
+
+@Q(f"""WITH {VECTORS}, {_CELLS} SELECT a.vec_id, a.i, a.j, round(CASE WHEN a.j <= a.i THEN a.v ELSE b.v END, 6) + 0.0 AS even, round(CASE WHEN a.j <= a.i THEN a.v ELSE -b.v END, 6) + 0.0 AS odd
+FROM cl a JOIN cl b ON a.vec_id = b.vec_id AND a.i = b.j AND a.j = b.i""")
+def tri_mirror(spark, d):
+    c = _cells(spark, d).select("vec_id", "i", "j", F.col("v").alias("even"), F.col("v").alias("odd"))
+    m = matrix.tri_mirror(c, ["vec_id"], "i", "j", {"even": False, "odd": True})
+    return m.select("vec_id", "i", "j", tidy(F.col("even")).alias("even"), tidy(F.col("odd")).alias("odd"))
+
+
+@Q(f"""WITH {VECTORS}, {_CELLS}, nb AS (SELECT a.vec_id, a.i, a.j, a.v, count(*) FILTER (WHERE (b.v, -b.i, -b.j) > (a.v, -a.i, -a.j)) AS above FROM cl a JOIN cl b ON a.vec_id = b.vec_id AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY ALL),
+tp AS (SELECT vec_id, max(v) AS top FROM cl GROUP BY 1)
+SELECT vec_id, i, j, round(v, 6) AS v, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i, j) - 1 AS INTEGER) AS rank, round(v / top, 6) AS threshold FROM nb JOIN tp USING (vec_id) WHERE above = 0 AND v > 0""")
+def peak_local_max(spark, d):
+    p = detect.peaks_long(_cells(spark, d), ["vec_id"], "i", "j", "v")
+    return p.select("vec_id", "i", "j", F.round("v", 6).alias("v"), "rank", F.round("threshold", 6).alias("threshold"))
+
+
+# ---- spectra of uneven samples
+
+_FREQS = [1 / 24, 1 / 12, 1 / 36, 0.1]
+
+
+@Q(f"""WITH {GRID}, x AS (SELECT receiver, h AS t, v - avg(v) OVER (PARTITION BY receiver) AS v FROM e), w AS (SELECT *, 2 * pi() * f AS w FROM x, (SELECT CAST(unnest({_FREQS}) AS DOUBLE) AS f)),
+ta AS (SELECT receiver, f, any_value(w) AS w, atan2(sum(sin(2 * w * t)), sum(cos(2 * w * t))) / 2 / any_value(w) AS tau FROM w GROUP BY 1, 2),
+p AS (SELECT w.receiver, w.f, 0.5 * (pow(sum(v * cos(w.w * (t - tau))), 2) / sum(pow(cos(w.w * (t - tau)), 2)) + pow(sum(v * sin(w.w * (t - tau))), 2) / sum(pow(sin(w.w * (t - tau)), 2))) AS p, sum(v * v) AS vv, count(*) AS n
+  FROM w JOIN ta ON ta.receiver = w.receiver AND ta.f = w.f GROUP BY 1, 2)
+SELECT receiver, round(f, 9) AS freq, round(p, 2) AS power, round(sqrt(4 * p / n), 6) AS amplitude, round(2 * p / vv, 8) AS share FROM p""")
+def lombscargle(spark, d):
+    c = X.cells(spark, d).select("receiver", F.col("h").cast("double").alias("t"), "v")
+    run = lambda **o: transforms.lombscargle(c, ["receiver"], "t", "v", _FREQS, **o)
+    a, b = run(rescale=True).withColumnRenamed("power", "amplitude"), run(normalize=True).withColumnRenamed("power", "share")
+    j = run().join(a, ["receiver", "freq"]).join(b, ["receiver", "freq"])
+    return j.select("receiver", F.round("freq", 9).alias("freq"), F.round("power", 2).alias("power"), F.round("amplitude", 6).alias("amplitude"), F.round("share", 8).alias("share"))
+
+
+# ---- time-frequency
+
+def _spec_long(s, keys, value="psd"):
+    return correlate.to_long(s, [*keys, "freq"], value, "h", "v").select(*keys, F.round("freq", 9).alias("freq"), "h", tidy(F.col("v"), 4).alias("v"))
+
+
+@Q(f"""WITH {VECTORS}, wi AS (SELECT CAST(i AS INTEGER) AS i, CASE WHEN i < 2 THEN 0.5 * (1 - cos(pi() * i / 2)) WHEN i > 14 THEN 0.5 * (1 - cos(pi() * (16 - i) / 2)) ELSE 1.0 END AS w FROM range(16) t(i)),
+sg AS (SELECT vec_id, CAST(s.s AS INTEGER) AS s, v.k - s.s AS i, v - avg(v) OVER (PARTITION BY vec_id, s.s) AS v FROM v, range(49) s(s) WHERE v.k >= s.s AND v.k < s.s + 16),
+ft AS (SELECT vec_id, s, CAST(f.f AS INTEGER) AS f, pow(sum(v * w * cos(2 * pi() * sg.i * f.f / 32)), 2) + pow(sum(v * w * sin(2 * pi() * sg.i * f.f / 32)), 2) AS p FROM sg JOIN wi USING (i), range(17) f(f) GROUP BY ALL)
+SELECT vec_id, round(f / 32, 9) AS freq, CAST(s + 8 AS INTEGER) AS h, round(p * CASE WHEN f IN (0, 16) THEN 1 ELSE 2 END / (SELECT sum(w * w) FROM wi), 4) + 0.0 AS v FROM ft""")
+def spectrogram(spark, d):
+    s = transforms.spectrogram(X.vectors(spark, d), ["vec_id"], "x", 1.0, 16.0)
+    return _spec_long(s, ["vec_id"]).where("h between 8 and 56")
+
+
+@Q()
+def spectrogram_overlap(spark, d):
+    return _spec_long(transforms.spectrogram(X.series(spark, d), ["receiver"], "x", 1.0, 48.0, overlap=0.9), ["receiver"])
+
+
+_SCALES = [4.0, 8.0, 16.0, 32.0]
+
+
+@Q()
+def cwt(spark, d):
+    s = transforms.cwt(X.series(spark, d), ["receiver"], "x", 1.0, scale=_SCALES)
+    p = s.select("receiver", "freq", F.posexplode(F.arrays_zip("re", "im")).alias("h", "p"))
+    return p.select("receiver", F.round("freq", 9).alias("freq"), "h", tidy(F.col("p.re"), 3).alias("re"), tidy(F.col("p.im"), 3).alias("im"))
+
+
+@Q()
+def scaleogram(spark, d):
+    s = transforms.scaleogram(X.series(spark, d), ["receiver"], "x", 1.0, scale=list(spectral.scales(1.0, 1.5, 1.0, 24)), freq_lim=(0.01, 0.4))
+    return _spec_long(s, ["receiver"], "mag")
+
+
+# ---- beams and responses
+
+_XY = [("click", 0.0, 0.0), ("error", 900.0, 200.0), ("purchase", -400.0, 700.0), ("signup", 300.0, -800.0), ("view", -600.0, -500.0)]
+_COUPLES = "xy AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', {x}, {y})" for r, x, y in _XY) + ") t(receiver, x, y)), cp AS (SELECT a.receiver AS rx_a, b.receiver AS rx_b, b.x - a.x AS dx, b.y - a.y AS dy FROM xy a JOIN xy b ON a.receiver < b.receiver)"
+
+
+def _geometry(spark):
+    return matrix.couples(spark.createDataFrame(_XY, "receiver string, x double, y double"), "receiver", "x", "y")
+
+
+_FIT = """sm AS (SELECT time, count(*) AS n, sum(dx * dx) AS xx, sum(dx * dy) AS xy, sum(dy * dy) AS yy, sum(dx * tau) AS xt, sum(dy * tau) AS yt, sum(tau * tau) AS tt FROM dl JOIN cp USING (rx_a, rx_b) GROUP BY 1),
+sl AS (SELECT *, (yy * xt - xy * yt) / (xx * yy - xy * xy) AS sx, (xx * yt - xy * xt) / (xx * yy - xy * xy) AS sy FROM sm WHERE n = 10)
+SELECT time, round(sx * 1000, 6) + 0.0 AS s_x, round(sy * 1000, 6) + 0.0 AS s_y, round(CASE WHEN sx = 0 AND sy = 0 THEN 0 ELSE (degrees(atan2(sx, sy)) + 360) % 360 END, 5) + 0.0 AS doa, round(1 / sqrt(sx * sx + sy * sy) / 1000, 6) AS vel, round(greatest(tt - sx * xt - sy * yt, 0), 4) + 0.0 AS err FROM sl"""
+
+
+def _beam(df):
+    return df.select("time", *[tidy(F.col(c), n).alias(c) for c, n in (("s_x", 6), ("s_y", 6), ("doa", 5), ("vel", 6), ("err", 4))])
+
+
+@Q(f"WITH {_COUPLES}, dl AS (SELECT rx_a, rx_b, CAST(t.i AS BIGINT) AS time, dx * (0.0003 + t.i * 0.0001) + dy * (0.0002 - t.i * 0.00015) + 0.01 * (dx % 7) / 7 AS tau FROM cp, range(8) t(i)), {_FIT}")
+def plane_wave(spark, d):
+    g = _geometry(spark)
+    i = F.col("time")
+    t = g.withColumn("time", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))))
+    tau = F.col("dx") * (0.0003 + i * 0.0001) + F.col("dy") * (0.0002 - i * 0.00015) + 0.01 * (F.col("dx") % 7) / 7
+    return _beam(matrix.plane_wave(t.withColumn("tau", tau), ["time"]))
+
+
+@Q(f"""WITH {CROSS}, {_COUPLES}, wc AS (SELECT a.receiver AS rx_a, b.receiver AS rx_b, CAST(a.h // 120 AS INTEGER) AS time, a.h - b.h AS lag, sum(a.v * b.v) AS cc FROM g a JOIN g b ON a.receiver < b.receiver AND a.h // 120 = b.h // 120 GROUP BY ALL),
+dl AS (SELECT rx_a, rx_b, time, CAST(lag AS DOUBLE) AS tau FROM (SELECT *, row_number() OVER (PARTITION BY rx_a, rx_b, time ORDER BY round(cc, 5) DESC, lag) AS i FROM wc) WHERE i = 1), {_FIT}""")
+def pipeline_beamform(spark, d):
+    w = X.grid(spark, d).withColumn("time", F.floor(F.col("h") / 120).cast("int"))
+    s = correlate.to_series(w, ["receiver", "time"], "h", "v")
+    p = correlate.pair_up(s, on=["time"]).withColumn("cc", correlate.cc(F.col("xa"), F.col("xb")))
+    shifts = p.select("rx_a", "rx_b", "time", correlate.shift(F.col("cc")).cast("double").alias("tau"))
+    return _beam(pipelines.beamform(shifts, _geometry(spark), "time", 10))
+
+
+_PAIR = f"WITH {GRID}, a AS (SELECT h, v FROM g WHERE receiver = 'click'), b AS (SELECT h, v FROM g WHERE receiver = 'view'), sp AS (SELECT CAST(f.i AS INTEGER) AS f, sum(a.v * cos(2 * pi() * h * f.i / 720)) AS ar, -sum(a.v * sin(2 * pi() * h * f.i / 720)) AS ai, sum(b.v * cos(2 * pi() * h * f.i / 720)) AS br, -sum(b.v * sin(2 * pi() * h * f.i / 720)) AS bi FROM a JOIN b USING (h), range(361) f(i) GROUP BY 1)"
+
+
+@Q(_PAIR + " SELECT round(f / 720, 9) AS freq, round(log10((ar * ar + ai * ai) * (br * br + bi * bi)), 5) AS magnitude, round(cos(atan2(bi * ar - br * ai, br * ar + bi * ai)), 5) + 0.0 AS phase FROM sp WHERE f > 0 AND f < 360")
+def surface_wave_response(spark, d):
+    two = X.series(spark, d).where("receiver in ('click', 'view')").groupBy().pivot("receiver", ["click", "view"]).agg(F.first("x"))
+    r = pipelines.swresp(two, [], "click", "view", 1.0).where("freq > 0 and freq < 0.5")
+    return r.select(F.round("freq", 9).alias("freq"), F.round(F.log10("magnitude"), 5).alias("magnitude"), tidy(F.cos(F.col("phase") * F.lit(3.141592653589793)), 5).alias("phase"))
+
+
+# ---- pipelines on windows
+
+def _window_spectra(spark, d):
+    p = _processed(spark, d).where("status = 1")
+    return pipelines.psd(p, ["pair", "start"], delta=1.0, duration=16.0, freq_max=0.4, padding=2)
+
+
+@Q()
+def pipeline_psd(spark, d):
+    return _spec_long(_window_spectra(spark, d), ["pair", "start"])
+
+
+@Q()
+def pipeline_plmax(spark, d):
+    p = pipelines.plmax(_window_spectra(spark, d), ["pair", "start"], distance=3, threshold_rel=0.01)
+    return p.select("pair", "start", F.round("freq", 9).alias("freq"), "index", F.round("v", 3).alias("v"), "rank")
+
+
+@Q()
+def pipeline_timelapse(spark, d):
+    t = pipelines.timelapse(_window_spectra(spark, d), "pair", "start", [(0.05, 0.2), (0.2, 0.4)])
+    return t.select("pair", "band", "time1", "time2", F.round("cc2", 6).alias("cc2"), "delta_freq", "delta_lag")
+
+
+@Q()
+def pipeline_snr_windows(spark, d):
+    """Signal-to-noise ratios of every pair and window."""
+    s = pipelines.snr(_processed(spark, d).where("status = 1"), ["pair", "start"], first=-24.0, delta=1.0, signal=(-6, 6), noise=(12, 24))
+    return s.select("pair", "start", F.round("s", 3).alias("s"), "lag_s_max", F.round("snr", 6).alias("snr"))
+
+
+@Q()
+def unbiased_envelope(spark, d):
+    x = _clipped(spark, d).withColumn("cc", A.demean(F.col("cc"))).withColumn("x", transforms.envelope(F.col("cc")))
+    return _long(x, ["pair"], F.col("x"), 1, "lag", -168)

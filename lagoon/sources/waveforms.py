@@ -105,7 +105,7 @@ def resample_nearest(samples: DataFrame, key: str, t: str, v: str, n: int, delta
     """Regular grid of steps 0 .. n - 1 of ``delta``; a step takes the nearest sample within delta / 2
     (the earlier of two as near), else NULL. A sample is near at most two steps: an equi-join."""
     s = samples.where(F.col(v).isNotNull()).select(key, F.col(t).alias("_t"), F.col(v).alias("_v"), (F.col(t) / delta).alias("_p"))
-    near = s.select(key, "_t", "_v", F.explode(F.array_distinct(F.array(F.floor("_p"), F.ceil("_p")))).cast("int").alias("step"))
+    near = s.select(key, "_t", "_v", F.explode(F.array_distinct(F.array(F.floor("_p").cast("int"), F.ceil("_p").cast("int")))).alias("step"))
     near = near.withColumn("_d", F.abs(F.col("_t") - F.col("step") * delta)).where((F.col("_d") * 2 <= delta) & (F.col("step") >= 0) & (F.col("step") < n))
     best = near.groupBy(key, "step").agg(F.min_by("_v", F.struct("_d", "_t")).alias(v))
     grid = samples.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("step"))
