@@ -29,24 +29,30 @@ from lagoon.llm import textkernel as K
 
 MIN_MATCH = 4
 MAX_GAP = 24
-MIN_COVER = 0.6
+MIN_COVER = 0.75
 
 # Base phrases and labels, which the contract of the query names.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Opening passages of public licence texts, and the labels that the method adds.
-TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
-    "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version",
-    "lgpl": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike international license",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial international license",
-    "unlicense": "this is free and unencumbered software released into the public domain",
-}
+# Passages and notices of public licences, each with the label that it adds.
+TEMPLATES: list[tuple[str, str]] = [
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "licensed under the mit license"),
+    ("mit", "released under the mit license"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "licensed under the apache license version 2"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "licensed under the bsd license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version"),
+    ("gpl", "licensed under the gnu general public license version"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version"),
+    ("lgpl", "licensed under the gnu lesser general public license version"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("cc-by-sa", "licensed under a creative commons attribution sharealike international license"),
+    ("cc-by-nc", "licensed under a creative commons attribution noncommercial international license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+]
 
 
 class SuffixAutomaton:
@@ -106,11 +112,11 @@ class SuffixAutomaton:
 
 
 class Scanner:
-    def __init__(self, phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None):
+    def __init__(self, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None):
         phrases = PHRASES if phrases is None else phrases
         templates = TEMPLATES if templates is None else templates
-        texts = [*phrases, *templates.values()]
-        self.labels = [*phrases.values(), *templates]
+        texts = [*phrases, *(t for _, t in templates)]
+        self.labels = [*phrases.values(), *(label for label, _ in templates)]
         self.base = len(phrases)
         tokens = [t.split() for t in texts]
         self.size = [len(t) for t in tokens]
@@ -206,7 +212,7 @@ class Scanner:
                 ]
                 chains = self.chains(anchors)
                 base = {self.labels[k] for k, _ in places}
-                spans = sorted((self.labels[k], f, e, round(c, 6)) for k, (c, f, e) in chains.items() if c >= MIN_COVER)
+                spans = sorted({(self.labels[k], f, e, round(c, 6)) for k, (c, f, e) in chains.items() if c >= MIN_COVER})
                 at = [p for _, p in places]
                 score = max([1.0 if places else 0.0, *(c for c, _, _ in chains.values())])
                 yield (
