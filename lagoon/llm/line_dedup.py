@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import cut
+from lagoon.llm.common import cut, fresh
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -59,19 +59,20 @@ def dedup_lines(
     """``docs`` with boilerplate lines dropped from ``text``; with ``counts`` also n_lines, n_dropped."""
     bad = cut(boilerplate(docs, host, text, max_ratio, min_pages))
     few = (bad.agg(F.coalesce(F.sum(F.size("_b")), F.lit(0)).alias("n")).first().n) <= BROADCAST_ROWS
-    right = bad.select(F.col("_h").alias("_bh"), "_b")
-    joined = docs.join(F.broadcast(right) if few else right, _host(host) == F.col("_bh"), "left")
+    key, lines_of, new_text = fresh(docs, "_bh"), fresh(docs, "_b"), fresh(docs, "_new")
+    right = bad.select(F.col("_h").alias(key), F.col("_b").alias(lines_of))
+    joined = docs.join(F.broadcast(right) if few else right, _host(host) == F.col(key), "left")
+    drop = F.col(lines_of)
     lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col("_b"), _hash(line_key(line))) | (line_key(line) == ""))
+    kept = F.filter(lines, lambda line: ~F.array_contains(drop, _hash(line_key(line))) | (line_key(line) == ""))
     # without boilerplate on its host a text is left as it is, unread
-    new = F.when(F.col("_b").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn("_new", new)
-    cols = [F.col("_new").alias(c) if c == text else F.col(c) for c in docs.columns]
+    new = F.when(drop.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    out = joined.withColumn(new_text, new)
+    cols = [F.col(new_text).alias(c) if c == text else F.col(c) for c in docs.columns]
     if counts:
-        breaks = lambda c: F.when(F.length(c) >= 0, F.length(c) - F.length(F.translate(c, "\n", ""))).otherwise(0)
-        n = F.when(F.col(text).isNull(), 0).otherwise(breaks(F.col(text)) + 1)
-        gone = F.when(F.col(text).isNull() | F.col("_b").isNull(), 0).otherwise(
-            F.size(F.filter(lines, lambda line: F.array_contains(F.col("_b"), _hash(line_key(line))) & (line_key(line) != "")))
+        n = F.when(F.col(text).isNull(), 0).otherwise(F.length(F.col(text)) - F.length(F.translate(F.col(text), "\n", "")) + 1)
+        gone = F.when(F.col(text).isNull() | drop.isNull(), 0).otherwise(
+            F.size(F.filter(lines, lambda line: F.array_contains(drop, _hash(line_key(line))) & (line_key(line) != "")))
         )
         cols += [n.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped")]
     return out.select(*cols)

@@ -404,4 +404,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opt
     drop = (
         found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped_id")).distinct()
     )
-    return docs.join(drop, docs[id_col] == F.col("_dropped_id"), "left_anti")
+    return docs.join(drop, docs[id_col] == drop["_dropped_id"], "left_anti")

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
+from lagoon.llm.common import fresh
 from lagoon.llm.language_id import held_out
 from lagoon.llm.quality_rules import STOP_WORDS
 
@@ -252,4 +253,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOL
 
     if not docs.columns:
         return docs
-    return docs.withColumn("_text_to_score", F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn(fresh(docs, "_text_to_score"), F.col(text_col).cast("string")).mapInArrow(run, docs.schema)

@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import let
+from lagoon.llm.common import fresh, let
 
 WINDOW = 8
 SPACES = " \t\n\x0b\x0c\r"
@@ -86,8 +86,8 @@ def _from_lines(lines: Column) -> Column:
     )
 
 
-def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``_m`` of counts and ratios."""
+def with_metrics(docs: DataFrame, text: str = "text", name: str = "_m") -> DataFrame:
+    """``docs`` with a struct column ``name`` of counts and ratios."""
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.filter(F.split(t, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(t, "\n"), lambda x: F.translate(x, SPACES, "") != "")
@@ -110,25 +110,26 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
             over(li["n_ellipsis"], li["n_lines"]).alias("ellipsis_ratio"),
         )
 
-    return docs.withColumn("_m", let(counts, derive))
+    return docs.withColumn(name, let(counts, derive))
 
 
-def compile_rules(rules=None) -> Column:
-    """True where every rule holds for the metrics in ``_m``."""
+def compile_rules(rules=None, name: str = "_m") -> Column:
+    """True where every rule holds for the metrics in the column ``name``."""
     checks = []
     for metric, least, most, since in RULES if rules is None else rules:
-        value = F.col(f"_m.{metric}")
+        value = F.col(f"{name}.{metric}")
         ok = F.lit(True)
         if least is not None:
             ok = ok & (value >= least)
         if most is not None:
             ok = ok & (value <= most)
-        checks.append(ok if not since else (F.col("_m.n_words") < since) | ok)
+        checks.append(ok if not since else (F.col(f"{name}.n_words") < since) | ok)
     return reduce(lambda a, b: a & b, checks, F.lit(True))
 
 
-def base_failed() -> Column:
-    return (F.col("_m.n_words") < 20) | (100 * F.col("_m.n_repeat_words") > 30 * F.col("_m.n_words"))
+def base_failed(name: str = "_m") -> Column:
+    n = F.col(f"{name}.n_words")
+    return (n < 20) | (100 * F.col(f"{name}.n_repeat_words") > 30 * n)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -142,4 +143,5 @@ def report(docs: DataFrame) -> DataFrame:
 
 def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, as they are."""
-    return with_metrics(docs, text).where(~base_failed() & compile_rules()).select(*docs.columns)
+    name = fresh(docs, "_m")
+    return with_metrics(docs, text, name).where(~base_failed(name) & compile_rules(name=name)).drop(name)

@@ -54,7 +54,8 @@ def test_equals_brute_force(spark, monkeypatch):
 
 def test_columns_and_empty(spark):
     df = spark.createDataFrame([(1, "s", "x", 2)], "doc_id long, source string, text string, _b int").withColumn("n_lines", F.lit(1))
-    assert L.dedup_lines(df.drop("_b")).columns == ["doc_id", "source", "text", "n_lines"]
+    clash = df.withColumn("_bh", F.lit(3)).withColumn("_new", F.lit(4)).withColumn("_h", F.lit(5))
+    assert L.dedup_lines(clash).collect() == clash.collect() and L.dedup_lines(clash).columns == clash.columns
     assert L.dedup_lines(df.limit(0).drop("_b")).count() == 0
     plan = L.dedup_lines(df.drop("_b"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

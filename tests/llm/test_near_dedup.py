@@ -62,8 +62,9 @@ def test_edge_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, root string")
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.report(df, shingle=3, percent=85).collect()}
     assert got == {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (None, 1, None, True), (6, 29998, 6, True), (7, 29998, 6, False)}
+    df = df.withColumn("_dropped_id", df.doc_id)
     kept = N.dedup(df, shingle=3, percent=85)
-    assert kept.columns == ["doc_id", "text", "root"]
+    assert kept.columns == ["doc_id", "text", "root", "_dropped_id"]
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "6", "None"]
 
 

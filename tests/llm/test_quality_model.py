@@ -61,7 +61,7 @@ def test_statistics_do_not_depend_on_batches():
 def test_held_out_quality_and_edges(spark):
     docs, labels = corpus()
     extra = [(1000, None), (1001, ""), (None, "x y"), (1002, "word " * 200_000), (7, docs[7][1])]
-    df = spark.createDataFrame(docs + extra, "doc_id long, text string").withColumn("quality", F.lit(1)).withColumn("_y", F.lit(0)).repartition(4)
+    df = spark.createDataFrame(docs + extra, "doc_id long, text string").withColumn("quality", F.lit(1)).withColumn("_y", F.lit(0)).withColumn("_text_to_score", F.lit("s")).repartition(4)
     lab = spark.createDataFrame(labels + [(None, 1), (2000, 0), (3, None), (4, labels[4][1])], "doc_id long, quality int")
     got = Q.report(df, lab).collect()
     assert len(got) == len(docs) + len(extra)

@@ -45,9 +45,9 @@ def test_equals_brute_force(spark):
 def test_rules_and_plan(spark):
     clean = "The house stands at the end of the road and it is old but not empty for the family that lives there"
     rows = [(1, clean, "k"), (2, "### " * 30, "k"), (3, clean.replace(" ", " # "), "k"), (4, None, "k"), (5, clean, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumn("_m", F.lit(7))
     out = R.apply_rules(df)
-    assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {1, 5}
+    assert out.columns == df.columns and {r._m for r in out.collect()} == {7} and {r.doc_id for r in out.collect()} == {1, 5}
     plan = R.report(df)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Exchange" not in plan
     assert R.report(df.limit(0)).count() == 0 and R.apply_rules(df.limit(0)).count() == 0
