@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def tri_mask(a, b, k: int = 0):
     """Cells on and below the k-th diagonal."""
-    return b <= a + k
+    return b <= (a + k if k else a)  # on the diagonal any ordered type will do
 
 
 def tri_mirror(cells: DataFrame, keys: list[str], i: str, j: str, values: dict[str, bool], k: int = 0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.functions import arrays as A
-from lagoon.operators import correlate, detect, transforms
+from lagoon.operators import correlate, detect, matrix, transforms
 
 
 @dataclass(frozen=True)
@@ -82,6 +82,51 @@ class SeriesFrame:
     def snr(self, signal, noise, name: str = "snr", **options) -> DataFrame:
         return self.df.withColumn(name, detect.snr(self.x, self.first, self.delta, signal, noise, **options))
 
+    def window(self, name: str = "window", **options) -> DataFrame:
+        return self.df.withColumn(name, A.window(F.size(self.x), **options))
+
+    def unbias_weights(self, n: int, name: str = "weights", clip: float | None = None) -> DataFrame:
+        first = round(self.first / self.delta)
+        return self.df.withColumn(name, F.transform(F.sequence(F.lit(0), F.size(self.x) - 1), lambda i: A.weight(i + first, n, clip)))
+
+    def ifft(self):
+        """Real series of a ``fft`` column."""
+        f = self.df.withColumn("_re", F.col(f"{self.column}.re")).withColumn("_im", F.col(f"{self.column}.im"))
+        z = f.withColumn(self.column, transforms.ifft(F.col("_re"), F.col("_im"))).withColumn(self.column, F.col(f"{self.column}.re"))
+        return replace(self, df=z.drop("_re", "_im"))
+
+    def irfft(self, n: int):
+        f = self.df.withColumn("_re", F.col(f"{self.column}.re")).withColumn("_im", F.col(f"{self.column}.im"))
+        return replace(self, df=f.withColumn(self.column, transforms.irfft(F.col("_re"), F.col("_im"), n)).drop("_re", "_im"))
+
+    def _long(self, keys: list[str]) -> DataFrame:
+        return correlate.to_long(self.df, keys, self.column, "k", "v")
+
+    def norm2d(self, keys: list[str], within: list[str]) -> DataFrame:
+        """Long rows (keys, k, v) over the Frobenius norm of all series of a ``within`` group."""
+        return matrix.norm2d(self._long(keys), within, "v")
+
+    def lombscargle(self, keys: list[str], freqs: list[float], **options) -> DataFrame:
+        long = self._long(keys).withColumn("t", F.lit(self.first) + F.col("k") * self.delta)
+        return transforms.lombscargle(long, keys, "t", "v", freqs, **options)
+
+    def coincidence_trigger(self, element: str, **options) -> DataFrame:
+        """Triggers of series whose samples are a value per step, one series an element."""
+        return detect.coincidence_trigger(self._long([element]), element, "k", "v", **options)
+
+    def peak_local_max(self, keys: list[str], **options) -> DataFrame:
+        """Ranked peaks of rows (keys, freq, series)."""
+        return detect.peak_local_max(self.df, keys, value=self.column, **options)
+
+    def tri_mirror(self, keys: list[str], i: str, j: str, odd: bool = False, k: int = 0) -> DataFrame:
+        """A scalar column over (i, j) mirrored at the diagonal."""
+        return matrix.tri_mirror(self.df, keys, i, j, {self.column: odd}, k)
+
+    def plane_wave_estimate(self, geometry: DataFrame, keys: list[str]) -> DataFrame:
+        """Plane waves from correlations of couples: rows (keys, rx_a, rx_b, correlation)."""
+        tau = self.df.select(*keys, "rx_a", "rx_b", correlate.shift(self.x, self.delta).alias("tau"))
+        return matrix.plane_wave(tau.join(geometry, ["rx_a", "rx_b"]), keys)
+
     def spectrogram(self, keys: list[str], duration: float, **options) -> DataFrame:
         return transforms.spectrogram(self.df, keys, self.column, self.delta, duration, **options)
 

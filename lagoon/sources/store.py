@@ -24,6 +24,26 @@ def write(data: DataFrame, path: str, metadata: dict, time: str = "time", pair:
     return True
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a stored table, on whatever file system the path names."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def append(data: DataFrame, path: str, metadata: dict, time: str = "time", pair: str = "pair") -> None:
+    """Adds rows to a table (or begins it). Rows of one key are resolved when the table is merged, so a
+    run that is repeated or resumed only ever adds files."""
+    spark = data.sparkSession
+    digest = hashing.hash_object(metadata)
+    if not exists(spark, path):
+        meta = metadata | {"sha256_hash_metadata": digest}
+        spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in sorted(meta.items())], "key string, value string").coalesce(1).write.parquet(f"{path}/meta")
+    elif not validate(read_metadata(spark, path), digest):
+        raise ValueError("the stored table has other metadata")
+    data.withColumn("year", F.year(time)).repartition("year", pair).write.mode("append").partitionBy("year", pair).parquet(f"{path}/xc")
+
+
 def read_metadata(spark: SparkSession, path: str) -> dict:
     return {r.key: json.loads(r.value) for r in spark.read.parquet(f"{path}/meta").collect()}  # a few attributes
 
