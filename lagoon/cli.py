@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagoon.functions import times
 from lagoon.plans import pipelines
 from lagoon.sources import client, store
 
@@ -52,7 +53,7 @@ def compute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.command == "ct":
         ratios = spark.read.parquet(*a.xc)
         # times on a regular axis of --step seconds as whole steps
-        ratios = ratios.withColumn("step", F.round(F.timestamp_diff("SECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("time")) / a.step).cast("long"))
+        ratios = ratios.withColumn("step", F.round(times.seconds(F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col("time")) / a.step).cast("long"))
         trigs, _ = pipelines.ct(ratios, "pair", "step", thr_on=a.threshold, coincidence=a.coincidence, extend=a.extend)
         return trigs
     xc = _load(spark, a)

@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _of_day(t: Column) -> Column:
+    return F.hour(t) * 3600 + F.minute(t) * 60 + F.extract(F.lit("SECOND"), t).cast("double")
+
+
 def seconds(start: Column, stop: Column) -> Column:
-    """Seconds between two timestamps as a double."""
-    return F.timestamp_diff("MICROSECOND", start, stop) / F.lit(1e6)
+    """Seconds between two timestamps without zone as a double, from their fields: the session's time
+    zone has no say."""
+    return F.datediff(F.to_date(stop), F.to_date(start)) * F.lit(86400.0) + (_of_day(stop) - _of_day(start))
 
 
 def days(start: Column, stop: Column) -> Column:
@@ -29,5 +34,6 @@ def days_of_year(year: Column) -> Column:
 
 
 def hour_number(time: Column, origin: str) -> Column:
-    """Whole hours since ``origin``."""
-    return F.timestamp_diff("HOUR", F.expr(f"timestamp_ntz'{origin}'"), time).cast("int")
+    """Whole hours since ``origin``, a full hour."""
+    day, hour = origin.split(" ")
+    return (F.datediff(F.to_date(time), F.lit(day).cast("date")) * 24 + F.hour(time) - int(hour.split(":")[0])).cast("int")

@@ -43,10 +43,17 @@ def pair_up(series: DataFrame, receiver: str = "receiver", x: str = "x", on: lis
     on = on or []
     a = series.select(*on, F.col(receiver).alias("rx_a"), F.col(x).alias("xa"))
     b = series.select(*[F.col(c).alias(f"_b_{c}") for c in on], F.col(receiver).alias("rx_b"), F.col(x).alias("xb"))
-    same = F.col("rx_a") < F.col("rx_b")
-    for c in on:
-        same = (F.col(c) == F.col(f"_b_{c}")) & same
-    return a.join(b, same).select(names.pair(F.col("rx_a"), F.col("rx_b")).alias("pair"), "rx_a", "rx_b", *on, "xa", "xb")
+    if on:
+        same = F.col("rx_a") < F.col("rx_b")
+        for c in on:
+            same = (F.col(c) == F.col(f"_b_{c}")) & same
+        j = a.join(b, same)
+    else:
+        # couples of names alone first: the series, which are large rows, then meet in equi-joins
+        ids = series.select(receiver).distinct()
+        couples = ids.select(F.col(receiver).alias("_a")).join(ids.select(F.col(receiver).alias("_b")), F.col("_a") < F.col("_b"))
+        j = couples.join(a, F.col("_a") == F.col("rx_a")).join(b, F.col("_b") == F.col("rx_b"))
+    return j.select(names.pair(F.col("rx_a"), F.col("rx_b")).alias("pair"), "rx_a", "rx_b", *on, "xa", "xb")
 
 
 def cc(x: Column, y: Column, normalize: bool = False) -> Column:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagoon.functions import arrays as A
-from lagoon.functions import hashing, names
+from lagoon.functions import hashing, names, times
 from lagoon.operators import correlate, detect, matrix, transforms
 from lagoon.plans import correlation
 from lagoon.series import SeriesFrame
@@ -207,3 +207,15 @@ def test_process_and_resume(spark):
     assert correlation.retry(done, plan).count() == 0 and correlation.retry(done, plan, True).count() == 2
     post = correlation.postprocess(done, n=12, first_lag=-11, delta=1.0, highpass=0.1, taper1=2.0, taper2=2.0)
     assert correlation.postprocess(post, n=12, first_lag=-11, delta=1.0, highpass=0.1, taper1=2.0, taper2=2.0) is post and post.count() == 7
+
+
+def test_time_zone_has_no_say(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-03-31 01:30:00.25' AS a, timestamp_ntz'2024-03-31 03:30:01.5' AS b")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            r = df.select(times.seconds(F.col("a"), F.col("b")).alias("s"), times.hour_number(F.col("b"), "2024-03-30 02:00:00").alias("h"), F.timestamp_add("HOUR", F.lit(2), F.col("a")).cast("string").alias("t")).first()
+            assert (r.s, r.h, r.t) == (7201.25, 25, "2024-03-31 03:30:00.25")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
