@@ -1,4 +1,4 @@
-"""Command line: ``python -m lagoon.cli snr|ct|psd|plmax|timelapse|swresp|list --xc PATH ... --out PATH``."""
+"""Command line: ``python -m lagoon.cli snr|ct|psd|plmax|timelapse|swresp|beamform|list --xc PATH ... --out PATH``."""
 
 from __future__ import annotations
 
@@ -7,14 +7,15 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagoon.functions import times
+from lagoon.functions import names, times
+from lagoon.operators import correlate, matrix
 from lagoon.plans import pipelines
 from lagoon.sources import client, store
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lagoon")
-    p.add_argument("command", choices=["list", "snr", "ct", "psd", "plmax", "timelapse", "swresp"])
+    p.add_argument("command", choices=["list", "snr", "ct", "psd", "plmax", "timelapse", "swresp", "beamform"])
     p.add_argument("--xc", nargs="+", required=True, help="stored correlation tables (for ct: a table of ratios)")
     p.add_argument("--out", help="folder of the result")
     p.add_argument("--pair", default="%", help="LIKE pattern of pairs")
@@ -35,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--threshold-rel", type=float, default=0.01)
     p.add_argument("--bands", nargs="+", default=["3,6", "6,12"], help="frequency bands low,high")
     p.add_argument("--update", action="store_true", help="timelapse: keep what --out has")
+    p.add_argument("--geometry", help="beamform: table (receiver, x, y) in metres")
     p.add_argument("--debug", action="store_true")
     return p
 
@@ -61,6 +63,11 @@ def compute(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return client.discover_pairs(xc, a.pair)
     if a.command == "snr":
         return pipelines.snr(xc, ["pair", "time"], first=a.first, delta=a.delta, signal=tuple(a.signal), noise=tuple(a.noise), envelope=a.envelope)
+    if a.command == "beamform":
+        couples = matrix.couples(spark.read.parquet(a.geometry), "receiver", "x", "y")
+        ends = names.split_pair(F.col("pair"))
+        shifts = xc.select("time", ends[0].alias("rx_a"), ends[1].alias("rx_b"), correlate.shift(F.col("cc").cast("array<double>"), a.delta).alias("tau"))
+        return pipelines.beamform(shifts, couples, "time", couples.count())
     if a.command == "swresp":
         two = xc.groupBy("time").agg(F.sort_array(F.collect_list(F.struct("pair", "cc"))).alias("p")).where(F.size("p") == 2)
         return pipelines.swresp(two.select("time", F.col("p")[0]["cc"].cast("array<double>").alias("x"), F.col("p")[1]["cc"].cast("array<double>").alias("y")), ["time"], "x", "y", a.delta)

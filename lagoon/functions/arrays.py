@@ -73,6 +73,11 @@ def norm1d(x: Column) -> Column:
     return let(x, lambda a: let(F.sqrt(energy(a)), lambda n: F.transform(a, lambda v: F.when(n > 0, v / n))))
 
 
+def normalize_max(x: Column) -> Column:
+    """Over the largest absolute value; NULLs where that is zero."""
+    return let(x, lambda a: let(F.array_max(F.transform(a, F.abs)), lambda m: F.transform(a, lambda v: F.when(m > 0, v / m))))
+
+
 def weight(lag: Column, n: int | Column, clip: float | None = None) -> Column:
     """Bias correction n / (n - |lag|) at integer ``lag``, at most ``clip``."""
     n = F.lit(n) if isinstance(n, int) else n

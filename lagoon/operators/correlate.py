@@ -6,7 +6,7 @@ element n - 1 and a positive lag means that the first series is delayed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagoon.functions import arrays as A
@@ -25,6 +25,12 @@ def dense_grid(cells: DataFrame, keys: DataFrame, key: str, step: str, n: int, v
     return grid.join(cells.select(key, step, value), [key, step], "left").select(key, step, v.alias(value))
 
 
+def regular(rows: DataFrame, key: str, t: str, tolerance: float = 1e-10) -> DataFrame:
+    """(key, regular): whether a key's times are evenly spaced, by the range of their differences."""
+    gap = (F.col(t) - F.lag(t).over(Window.partitionBy(key).orderBy(t))).cast("double")
+    return rows.select(key, gap.alias("_d")).groupBy(key).agg((F.coalesce(F.max("_d") - F.min("_d"), F.lit(0.0)) <= tolerance).alias("regular"))
+
+
 def to_series(grid: DataFrame, keys: list[str], step: str, value: str, out: str = "x") -> DataFrame:
     """One row per key; samples in the order of ``step``."""
     pairs = F.sort_array(F.collect_list(F.struct(step, value)))

@@ -89,6 +89,13 @@ def trigger_periods(trigs: DataFrame, time: str, units: str = "hours") -> DataFr
     return trigs.groupBy("period").agg(F.min(time).alias("start"), F.max(time).alias("end")).withColumn("days", (F.col("end") - F.col("start")) / _days(units))
 
 
+def period_days(trigs: DataFrame, time: str, steps_a_day: int) -> DataFrame:
+    """(period, day): the days that each period touches."""
+    spans = trigs.groupBy("period").agg(F.min(time).alias("a"), F.max(time).alias("b"))
+    day = lambda c: F.floor(F.col(c) / steps_a_day).cast("int")
+    return spans.select("period", F.explode(F.sequence(day("a"), day("b"))).alias("day"))
+
+
 def trigger_values(values: DataFrame, trigs: DataFrame, time: str) -> DataFrame:
     """Values at triggered times, with their period."""
     return values.join(trigs, time)

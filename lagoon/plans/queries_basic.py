@@ -236,6 +236,21 @@ def trigger_periods(spark, d):
     return detect.trigger_periods(_trigs(spark, d), "h").withColumn("days", F.round("days", 6))
 
 
+@Q(f"WITH {_TRIGS} SELECT period, CAST(unnest(range(CAST(floor(a / 24) AS BIGINT), CAST(floor(b / 24) AS BIGINT) + 1)) AS INTEGER) AS day FROM ps")
+def period_days(spark, d):
+    return detect.period_days(_trigs(spark, d), "h", 24)
+
+
+@Q(f"WITH {GRID}, df AS (SELECT receiver, h - lag(h) OVER (PARTITION BY receiver ORDER BY h) AS d FROM e) SELECT receiver, coalesce(max(d) - min(d), 0) = 0 AS regular FROM df GROUP BY 1")
+def regular_axis(spark, d):
+    return correlate.regular(X.cells(spark, d), "receiver", "h")
+
+
+@Q(f"WITH {VECTORS} SELECT vec_id, k, round(v / max(abs(v)) OVER (PARTITION BY vec_id), 6) + 0.0 AS v FROM v")
+def normalize_max(spark, d):
+    return _vectors_long(spark, d, A.normalize_max(F.col("x")))
+
+
 @Q(f"WITH {_TRIGS} SELECT e.receiver, e.h, e.v, tg.period FROM e JOIN tg ON e.h = tg.h")
 def trigger_values(spark, d):
     return detect.trigger_values(X.cells(spark, d), _trigs(spark, d), "h").select("receiver", "h", "v", "period")

@@ -360,27 +360,27 @@ def op_rotate(spark, d):
 
 @Q(f"WITH {VECTORS} SELECT vec_id, k // 4 AS k, round(v, 6) + 0.0 AS v FROM v WHERE k % 4 = 0")
 def op_decimate(spark, d):
-    x = X.vectors(spark, d).select("vec_id", waveforms.apply_operations(F.col("x"), [("decimate", {"factor": 4}), ("unknown", {})]).alias("x"))
+    x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", [("decimate", {"factor": 4}), ("unknown", {})])
     return correlate.to_long(x, ["vec_id"], "x").select("vec_id", F.col("k").cast("long").alias("k"), tidy(F.col("v"), 6).alias("v"))
 
 
 @Q(f"""WITH {VECTORS}, w AS (SELECT *, lead(v) OVER (PARTITION BY vec_id ORDER BY k) AS nv FROM v)
 SELECT vec_id, CAST(k * 4 + i AS INTEGER) AS k, round(v + (coalesce(nv, v) - v) * i / 4, 6) + 0.0 AS v FROM w, range(4) t(i) WHERE k < 63 OR i = 0""")
 def op_interpolate(spark, d):
-    x = X.vectors(spark, d).select("vec_id", waveforms.apply_operations(F.col("x"), [("interpolate", {"factor": 4})]).alias("x"))
+    x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", [("interpolate", {"factor": 4})])
     return correlate.to_long(x, ["vec_id"], "x").select("vec_id", "k", tidy(F.col("v"), 6).alias("v"))
 
 
 @Q(f"WITH {VECTORS}, c AS (SELECT vec_id, k, 2 * (v - avg(v) OVER (PARTITION BY vec_id)) AS v FROM v) SELECT vec_id, k, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) + 0.0 AS v FROM c")
 def op_chain_callable(spark, d):
     ops = [("demean", {}), lambda x: F.transform(x, lambda v: v * 2), ("normalize", {})]
-    x = X.vectors(spark, d).select("vec_id", waveforms.apply_operations(F.col("x"), ops, strict=True).alias("x"))
+    x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", ops, strict=True)
     return correlate.to_long(x, ["vec_id"], "x").select("vec_id", "k", tidy(F.col("v"), 6).alias("v"))
 
 
 @Q()
 def op_resample(spark, d):
-    x = X.vectors(spark, d).select("vec_id", waveforms.apply_operations(F.col("x"), [("resample", {"n": 32})]).alias("x"))
+    x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", [("resample", {"n": 32})])
     return correlate.to_long(x, ["vec_id"], "x").select("vec_id", "k", tidy(F.col("v"), 6).alias("v"))
 
 
@@ -392,5 +392,5 @@ def op_remove_response(spark, d):
 
 @Q(f"WITH {VECTORS} SELECT vec_id, k, round(v / 4, 6) + 0.0 AS v FROM v")
 def op_remove_sensitivity(spark, d):
-    x = X.vectors(spark, d).select("vec_id", waveforms.apply_operations(F.col("x"), [("remove_sensitivity", {"gain": 4})]).alias("x"))
+    x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", [("remove_sensitivity", {"gain": 4})])
     return correlate.to_long(x, ["vec_id"], "x").select("vec_id", "k", tidy(F.col("v"), 6).alias("v"))

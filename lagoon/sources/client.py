@@ -45,7 +45,7 @@ class WaveformSource:
         known = list(self.operations)
         done = None
         for c in known:
-            x = w.where(F.col("_c") == c).withColumn("data", waveforms.apply_operations(F.col("data"), self.operations[c]))
+            x = waveforms.apply_operations(w.where(F.col("_c") == c), "data", self.operations[c])
             done = x if done is None else done.unionByName(x)
         rest = w.where(~F.col("_c").isin(known)) if known else w
         done = rest if done is None else done.unionByName(rest)

@@ -175,37 +175,70 @@ def spectral_division(x: Column, delta: float, zeros: list[complex], poles: list
     return unary(run, x)
 
 
+def simulate(x: Column, delta: float, zeros: list[complex], poles: list[complex], gain: float) -> Column:
+    """What an instrument of the given response would record."""
+    import numpy as np
+
+    from lagoon.operators.kernels import unary
+
+    def run(a):
+        s = 2j * np.pi * np.fft.rfftfreq(a.shape[-1], delta)
+        h = gain * np.prod([s - z for z in zeros] or [np.ones_like(s)], axis=0) / np.prod([s - p for p in poles] or [np.ones_like(s)], axis=0)
+        return np.fft.irfft(np.fft.rfft(a) * h, a.shape[-1])
+
+    return unary(run, x)
+
+
+def _decimate(factor: int, delta: float | None = None) -> list:
+    """Every ``factor``-th sample; with ``delta`` after a zero-phase low-pass at 0.8 of the new Nyquist."""
+    from lagoon.operators import transforms
+
+    low = [lambda c: transforms.filter(c, 0.4 / (factor * delta), "lowpass", delta, 4)] if delta else []
+    return [*low, lambda c: A.decimate(c, factor)]
+
+
+#: name -> function of the parameters that gives the steps, each a function of a series column
 OPERATIONS = {
-    "detrend": lambda x, **p: A.detrend(x) if p.get("type", "linear") == "linear" else A.demean(x),
-    "demean": lambda x, **p: A.demean(x),
-    "taper": lambda x, **p: A.taper(x, **p),
-    "normalize": lambda x, **p: A.norm1d(x),
-    "trim": lambda x, first, n: trim(x, first, n),
-    "decimate": lambda x, factor: A.decimate(x, factor),
-    "remove_sensitivity": lambda x, gain: remove_sensitivity(x, F.lit(float(gain))),
+    "detrend": lambda type="linear": [A.detrend if type == "linear" else A.demean],  # noqa: A006
+    "demean": lambda: [A.demean],
+    "taper": lambda **p: [lambda c: A.taper(c, **p)],
+    "normalize": lambda: [A.norm1d],
+    "trim": lambda first, n: [lambda c: trim(c, first, n)],
+    "decimate": lambda factor, delta=None: _decimate(factor, delta),
+    "remove_sensitivity": lambda gain: [lambda c: remove_sensitivity(c, F.lit(float(gain)))],
+    "remove_response": lambda **p: [lambda c: spectral_division(c, **p)],
+    "simulate": lambda **p: [lambda c: simulate(c, **p)],
 }
 
 
-def apply_operations(x: Column, operations: list, strict: bool = False) -> Column:
-    """Operations in order on a series column; an operation is (name, params) or a callable of a column.
+def list_operations() -> list[str]:
+    return sorted([*OPERATIONS, "filter", "resample", "interpolate"])
+
+
+def apply_operations(df: DataFrame, column: str, operations: list, strict: bool = False) -> DataFrame:
+    """``df`` with operations applied to a series column in order.
 
-    Unknown names are skipped, or raise where ``strict``.
+    An operation is (name, params) or any callable of a column. Unknown names are skipped, or raise
+    where ``strict``. Each step is a projection of its own: neighbouring native ones are merged by
+    Catalyst, kernels run where they stand.
     """
     from lagoon.operators import transforms
 
     known = OPERATIONS | {
-        "filter": lambda x, type, frequency, delta, order=4: transforms.causal_filter(x, frequency, type, delta, order),  # noqa: A006
-        "resample": lambda x, n: transforms.resample(x, n),
-        "interpolate": lambda x, factor: transforms.interpolate_linear(x, factor),
+        "filter": lambda type, frequency, delta, order=4: [lambda c: transforms.causal_filter(c, frequency, type, delta, order)],  # noqa: A006
+        "resample": lambda n: [lambda c: transforms.resample(c, n)],
+        "interpolate": lambda factor: [lambda c: transforms.interpolate_linear(c, factor)],
     }
     for op in operations:
         if callable(op):
-            x = op(x)
-            continue
-        name, params = op
-        if name not in known:
-            if strict:
-                raise ValueError(f"no such operation: {name}")
-            continue
-        x = known[name](x, **params)
-    return x
+            steps = [op]
+        else:
+            name, params = op
+            if name not in known:
+                if strict:
+                    raise ValueError(f"no such operation: {name}")
+                continue
+            steps = known[name](**params)
+        for step in steps:
+            df = df.withColumn(column, step(F.col(column)))
+    return df

@@ -164,10 +164,34 @@ def test_response_removal(spark):
 
 
 def test_operations(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 6.0],)], "x array<double>")
     ops = [("demean", {}), ("nothing", {}), ("trim", {"first": 1, "n": 2}), lambda x: F.transform(x, lambda v: v * 10)]
-    assert one(spark, [1.0, 2.0, 6.0], waveforms.apply_operations(F.col("x"), ops))[0] == [-10.0, 30.0]
+    assert waveforms.apply_operations(df, "x", ops).first().x == [-10.0, 30.0]
     with pytest.raises(ValueError):
-        waveforms.apply_operations(F.col("x"), [("nothing", {})], strict=True)
+        waveforms.apply_operations(df, "x", [("nothing", {})], strict=True)
+
+
+def test_operations_mix_native_steps_and_kernels(spark):
+    t = np.arange(400) * 0.02
+    x = 5 + np.sin(2 * np.pi * t) + np.sin(2 * np.pi * 20 * t)
+    df = spark.createDataFrame([(x.tolist(),)], "x array<double>")
+    ops = [("demean", {}), ("detrend", {}), ("taper", {"max_percentage": 0.05}), ("decimate", {"factor": 5, "delta": 0.02}), ("normalize", {}), ("resample", {"n": 160}), ("demean", {}),
+           ("filter", {"type": "lowpass", "frequency": 3.0, "delta": 0.05}), ("interpolate", {"factor": 2})]
+    got = waveforms.apply_operations(df, "x", ops, strict=True).first().x
+    spec = np.abs(np.fft.rfft(got))
+    assert len(got) == 319 and np.argmax(spec) == 8 and spec[20:].max() < 0.05 * spec.max()
+    poles = {"delta": 0.02, "zeros": [], "poles": [-20.0], "gain": 5.0}
+    back = waveforms.apply_operations(df.withColumn("x", F.slice("x", 1, 399)), "x", [("simulate", poles), ("remove_response", poles)]).first().x
+    assert np.allclose(back, x[:399]) and "simulate" in waveforms.list_operations()
+
+
+def test_regular_axis_and_period_days(spark):
+    rows = [("a", t) for t in (0, 10, 20, 30)] + [("b", t) for t in (0, 10, 25)] + [("c", 5)]
+    got = {r.k: r.regular for r in correlate.regular(spark.createDataFrame(rows, "k string, t int"), "k", "t").collect()}
+    assert got == {"a": True, "b": False, "c": True}
+    trigs = spark.createDataFrame([(t, int(t > 40)) for t in (20, 21, 22, 23, 24, 50)], "h int, period int")
+    assert {(r.period, r.day) for r in detect.period_days(trigs, "h", 24).collect()} == {(0, 0), (0, 1), (1, 2)}
+    assert one(spark, [1.0, -4.0, 2.0], A.normalize_max(F.col("x")))[0] == [0.25, -1.0, 0.5]
 
 
 META = {"title": "t", "institution": "i", "author": "a", "source": "s"}

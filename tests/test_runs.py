@@ -50,6 +50,9 @@ def test_command_line(spark, tmp_path):
     assert out("plmax", "--duration", "16", "--freq-max", "0.5", "--distance", "2").count() > 21
     t = out("timelapse", "--duration", "16", "--freq-max", "0.5", "--bands", "0.1,0.3")
     assert t.count() == 3 * 49 and t.where("time1 = time2 and abs(cc2 - 1) > 1e-9").count() == 0
+    spark.createDataFrame([("A", 0.0, 0.0), ("B", 10.0, 0.0), ("C", 0.0, 10.0)], "receiver string, x double, y double").write.parquet(str(tmp_path / "geo"))
+    assert out("beamform", "--geometry", str(tmp_path / "geo")).where("s_x is not null").count() == 7
+    assert out("swresp", "--pair", "A-%").count() == 7 * 24
     swap = t.alias("x").join(t.alias("y"), F.expr("x.pair = y.pair and x.time1 = y.time2 and x.time2 = y.time1 and (x.cc2 <> y.cc2 or x.delta_lag <> -y.delta_lag)"))
     assert swap.count() == 0
 
