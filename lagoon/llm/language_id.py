@@ -31,6 +31,7 @@ SIZES = (2, 3, 4)
 CELLS = len(SIZES) << CELL_BITS
 BLOCK = 8192
 GAP = 0.5
+SLICE = K.CHUNK // 4  # bytes whose n-grams are held at once
 MAX_SCALE_ROWS = 8000
 
 # ASCII other than letters counts as one space
@@ -69,9 +70,10 @@ def codewords(k: int, seed: int = 5) -> np.ndarray:
 def grams(data: np.ndarray, offsets: np.ndarray):
     """(cell, row) of each n-gram of each row, for a bounded slice; n-grams don't cross rows."""
     c = _CLASS[data]
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     n = len(c)
     left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)  # bytes to the row's end
+    left = np.minimum(left, 99).astype(np.int8)
     for k, size in enumerate(SIZES):
         if n < size:
             continue
@@ -80,7 +82,9 @@ def grams(data: np.ndarray, offsets: np.ndarray):
         for j in range(1, size):
             code = (code << np.uint32(8)) | c[j : j + m]
         ok = left[:m] >= size
-        cell = ((code * np.uint32(2654435761)) >> np.uint32(32 - CELL_BITS)).astype(np.int64) + (k << CELL_BITS)
+        code *= np.uint32(2654435761)
+        code >>= np.uint32(32 - CELL_BITS)
+        cell = code.astype(np.int32) + np.int32(k << CELL_BITS)
         yield cell[ok], row[:m][ok]
 
 
@@ -99,7 +103,7 @@ def _count(batches):
     for batch in batches:
         langs = batch.column(0).to_pylist()
         data, offsets = K.buffers(batch.column(1))
-        for a, b in K.slices(offsets):
+        for a, b in K.slices(offsets, SLICE):
             here = sorted(set(langs[a:b]))
             number = {x: i for i, x in enumerate(here)}
             kind = np.array([number[x] for x in langs[a:b]], dtype=np.int64)
@@ -140,7 +144,7 @@ class Model:
         n = len(offsets) - 1
         out = np.zeros((n, self.code.shape[1]))
         number = np.zeros(n)
-        for a, b in K.slices(offsets, K.CHUNK // 2):
+        for a, b in K.slices(offsets, SLICE):
             for cell, row in grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
                 if not len(cell):
                     continue
