@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
-from lagoon.llm.common import width
+from lagoon.llm.common import lean, width
 
 U64 = np.uint64
 BINS = 512
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column(0), pa.array(fp.pack(*fp.codes(*K.buffers(batch.column(1)))), pa.string())], names=[id_col, "fingerprint"]
             )
 
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, fingerprint string")
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(lean(run), f"`{id_col}` {kind}, fingerprint string")
 
 
 def hex_likeness(a: Column, b: Column, bits: int = BITS) -> Column:
@@ -218,5 +218,5 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     dealt = base.select(F.explode(F.when(is_head, F.array(own, copy)).otherwise(F.array(own))).alias("c"), "id", "text").select("c.part", "c.copy", "id", "text")
     return (
         dealt.repartitionById(n, "part").sortWithinPartitions("part", "copy", F.col("id").asc_nulls_first(), "text")
-        .mapInArrow(_pairs(fp), schema)
+        .mapInArrow(lean(_pairs(fp)), schema)
     )

@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
-from lagoon.llm.common import width
+from lagoon.llm.common import lean, width
 
 CELL_BITS = 15
 SIZES = (2, 3, 4)
 CELLS = len(SIZES) << CELL_BITS
 BLOCK = 8192
 GAP = 0.5
-SLICE = K.CHUNK // 4  # bytes whose n-grams are held at once
+SLICE = K.CHUNK // 2  # bytes whose n-grams are held at once
 MAX_SCALE_ROWS = 8000
 
 # ASCII other than letters counts as one space
@@ -196,7 +196,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     )
     parts = width(docs.sparkSession)
     sums = (
-        rows.select("lang", "text").mapInArrow(_count, "lang string, block int, counts binary")
+        rows.select("lang", "text").mapInArrow(lean(_count), "lang string, block int, counts binary")
         .repartition(parts, "lang", "block").sortWithinPartitions("lang", "block").mapInArrow(_sum, "lang string, block int, counts binary")
     ).collect()  # languages x CELLS numbers
     langs = sorted({r.lang for r in sums})
@@ -225,7 +225,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 raw = m.raw(*K.buffers(batch.column(1)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in raw], pa.binary())], names=["lang", "raw"])
 
-        got = sample.select("lang", "text").mapInArrow(score, "lang string, raw binary").collect()
+        got = sample.select("lang", "text").mapInArrow(lean(score), "lang string, raw binary").collect()
         if got:
             model.fit_scales(np.frombuffer(b"".join(r.raw for r in got)).reshape(len(got), -1), np.array([langs.index(r.lang) for r in got]))
         sent.unpersist()
@@ -256,7 +256,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
             )
 
     schema = f"`{id_col}` {kind}, lang_pred string, score double, ambiguous boolean" + "".join(f", {e} boolean" for e in extra)
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_t"), *extra).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_t"), *extra).mapInArrow(lean(run), schema)
 
 
 def report(docs: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:

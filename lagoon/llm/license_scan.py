@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
+from lagoon.llm.common import lean
 
 MIN_MATCH = 4
 MAX_GAP = 24
@@ -239,4 +240,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols, spans], names=[id_col, *NAMES, "spans"])
 
     schema = f"`{id_col}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,first_word:long,end_word:long,cover:double>>"
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_t")).mapInArrow(lean(run), schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
-from lagoon.llm.common import components, cut, width
+from lagoon.llm.common import components, cut, lean, width
 
 U64 = np.uint64
 
@@ -320,14 +320,14 @@ def classes(
     similarity = percent / 100
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = width(docs.sparkSession)
-    sk = cut(base.mapInArrow(_sketch_batches(shingle, halves, rows), "id long, n long, h1 long, h2 long, keys binary, marks binary"))
+    sk = cut(base.mapInArrow(lean(_sketch_batches(shingle, halves, rows)), "id long, n long, h1 long, h2 long, keys binary, marks binary"))
     # copies: the class of equal sets is known by its smallest id
     reps = cut(
         sk.where("n > 0 and id is not null").groupBy("h1", "h2", "n")
         .agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
     )
     halves_of = reps.select("rep", "n", "keys", "marks").mapInArrow(
-        _explode_halves(halves), "g long, id long, n long, tails binary, marks binary"
+        lean(_explode_halves(halves)), "g long, id long, n long, tails binary, marks binary"
     )
     counts = reps.select(F.col("rep"), "keys").mapInArrow(_group_keys(halves), "g long").groupBy("g").count()
     sizes = cut(counts.where(f"count > {block}").select("g", F.ceil(F.col("count") * 2 / block).cast("long").alias("chunks")))
@@ -338,13 +338,13 @@ def classes(
     cells = dealt.select("cell", "id", "n", "tails", "marks", "side")
     maybe = (
         cells.repartition(parts, "cell").sortWithinPartitions("cell")
-        .mapInArrow(_table_batches(similarity), "a long, b long")
+        .mapInArrow(lean(_table_batches(similarity)), "a long, b long")
     )
     families = components(maybe)
     # full sets of family members only: families hold one id for each class of copies
     member = families.select(F.col("id").alias("_m"), "root")
     active = base.join(member, base.id == member._m, "inner").select("id", "root", "text")
-    sets = active.mapInArrow(_set_batches(shingle), "id long, root long, set binary")
+    sets = active.mapInArrow(lean(_set_batches(shingle)), "id long, root long, set binary")
     load = cut(
         families.join(reps.select(F.col("rep").alias("_r"), "n"), F.col("id") == F.col("_r"))
         .groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
@@ -357,7 +357,7 @@ def classes(
         held = sets.withColumn("cell", F.col("root"))
     links = (
         held.select("cell", "id", "set").repartition(parts, "cell").sortWithinPartitions("cell", "id", "set")
-        .mapInArrow(_verify_batches(percent), "a long, b long")
+        .mapInArrow(lean(_verify_batches(percent)), "a long, b long")
     )
     linked = components(links)
     final = (

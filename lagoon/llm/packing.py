@@ -38,7 +38,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import cut, width
+from lagoon.llm.common import cut, lean, width
 
 CAPACITY = 1024
 END_ID = 2
@@ -326,7 +326,7 @@ def pack(
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = f"id {kind}, piece int, start long, length long, crc long" + (", ids binary" if with_ids else "")
-    pieces = cut(base.mapInArrow(_tokenise(tokenizer_path, capacity, end_id, with_ids), schema))
+    pieces = cut(base.mapInArrow(lean(_tokenise(tokenizer_path, capacity, end_id, with_ids)), schema))
     salts = max(1, min(4096, 4 * width(docs.sparkSession)))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(salts)).cast("int"))
     tally = cut(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")))
@@ -352,4 +352,4 @@ def pack(
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     names = [id_col, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-    return ranked.mapInArrow(place, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<int>" if with_ids else ""))
+    return ranked.mapInArrow(lean(place), f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + (", ids array<int>" if with_ids else ""))

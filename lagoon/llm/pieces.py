@@ -17,7 +17,7 @@ Decoding turns pieces to bytes, ``▁`` to spaces, and drops the space that was
 ``▁`` in the text itself is written in byte pieces, so decoding always gives the text back.
 
 Defined cases: null texts have null ids; empty texts have no ids; rows of null key share one seed;
-equal rows have equal ids. Work arrays are made for about ``3 * K.CHUNK`` bytes of text at a time (a
+equal rows have equal ids. Work arrays are made for about ``SLICE`` bytes of text at a time (a
 longer text takes as many as it needs).
 """
 
@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
+from lagoon.llm.common import lean
 
 U64 = np.uint64
 SPACE = "▁"
 _UNIT = re.compile(" *[^ ]+| +")
+SLICE = 3 << 20  # bytes of text that are sampled at once
 KNOWN = 150_000  # units that a worker keeps filtered
 _STEP = U64(0x9FB21C651E98DF25)
 
@@ -291,7 +293,7 @@ def row_seed(seed: int, key) -> int:
 def _encode_batch(lattice: Lattice, seed: int, keys: list, column) -> list[tuple[int, int, list, np.ndarray, np.ndarray]]:
     """(first row, row after the last, texts, ids, begin) of bounded slices."""
     _, offsets = K.buffers(column)
-    for a, b in K.slices(offsets, 3 * K.CHUNK):
+    for a, b in K.slices(offsets, SLICE):
         texts = column.slice(a, b - a).to_pylist()
         seeds = np.array([row_seed(seed, k) for k in keys[a:b]], dtype=U64)
         ids, begin = lattice.sample([t or "" for t in texts], seeds)
@@ -322,7 +324,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = f"`{id_col}` {kind}, n_pieces long, ids array<int>" + (", ids_crc32 long, lossless boolean" if verify else "")
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_t")).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_t")).mapInArrow(lean(run), schema)
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -335,4 +337,4 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
             texts = [None if x is None else lattice.decode(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return rows.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return rows.select(id_col, ids_col).mapInArrow(lean(run), f"`{id_col}` {kind}, text string")

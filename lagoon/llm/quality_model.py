@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
-from lagoon.llm.common import fresh
+from lagoon.llm.common import fresh, lean
 from lagoon.llm.language_id import held_out
 from lagoon.llm.quality_rules import STOP_WORDS
 
@@ -57,7 +57,7 @@ class Statistics:
         self.stops = np.sort(K.word_hashes(data, off[:-1], off[1:]))
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        parts = [self._slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in K.slices(offsets)]
+        parts = [self._slice(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in K.slices(offsets, K.CHUNK // 2)]
         return np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)), np.float32)
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -211,7 +211,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     # the labels are a bounded sample of two numbers a row: broadcast, so that texts are not shuffled
     picked = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(use), F.col("_d") == F.col("_i"))
-    got = picked.select("_y", "_t").mapInArrow(run, "y double, x binary").collect()
+    got = picked.select("_y", "_t").mapInArrow(lean(run), "y double, x binary").collect()
     if not got:
         return Trees(4, 0.0)
     rows = sorted((r.x, r.y) for r in got)  # an order of its own: sums of floats depend on it
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Trees, *, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64()), *[batch.column(2 + k) for k in range(len(extra))]], names=[id_col, "score", *extra])
 
     schema = f"`{id_col}` {kind}, score double" + "".join(f", `{e}` boolean" for e in extra)
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_t"), *extra).mapInArrow(run, schema)
+    return docs.select(id_col, F.col(text_col).cast("string").alias("_t"), *extra).mapInArrow(lean(run), schema)
 
 
 def report(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) -> DataFrame:
@@ -253,4 +253,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOL
 
     if not docs.columns:
         return docs
-    return docs.withColumn(fresh(docs, "_text_to_score"), F.col(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return docs.withColumn(fresh(docs, "_text_to_score"), F.col(text_col).cast("string")).mapInArrow(lean(run), docs.schema)

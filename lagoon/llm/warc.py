@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import cut, shared_dir
+from lagoon.llm.common import cut, lean, shared_dir
 
 ARCHIVE_BYTES = 256 << 20
 BLOCK = 1 << 16
@@ -230,7 +230,7 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
     joined = keyed.join(firsts, (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s")), "left")
     is_first = (F.col("id") == F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
     refers = F.when(F.col("first_id").isNotNull() & ~F.coalesce(is_first, F.lit(False)), F.col("first_id"))
-    return cut(joined.select("id", "url", "payload", "digest", refers.alias("refers")).mapInArrow(_writer(folder, archive_bytes), "file string, records long, bytes long"))
+    return cut(joined.select("id", "url", "payload", "digest", refers.alias("refers")).mapInArrow(lean(_writer(folder, archive_bytes)), "file string, records long, bytes long"))
 
 
 def read(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
@@ -261,7 +261,7 @@ def read(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFr
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target string" + ", payload binary" * with_payload
     files = manifest.select("file", "records").repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism))
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(lean(run), schema)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
