@@ -360,7 +360,13 @@ def op_rotate(spark, d):
 
 @Q(f"WITH {VECTORS} SELECT vec_id, k // 4 AS k, round(v, 6) + 0.0 AS v FROM v WHERE k % 4 = 0")
 def op_decimate(spark, d):
-    x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", [("decimate", {"factor": 4}), ("unknown", {})])
+    x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", [("decimate", {"factor": 4, "lowpass": False}), ("unknown", {})])
+    return correlate.to_long(x, ["vec_id"], "x").select("vec_id", F.col("k").cast("long").alias("k"), tidy(F.col("v"), 6).alias("v"))
+
+
+@Q()
+def op_decimate_lowpass(spark, d):
+    x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", [("decimate", {"factor": 4})])
     return correlate.to_long(x, ["vec_id"], "x").select("vec_id", F.col("k").cast("long").alias("k"), tidy(F.col("v"), 6).alias("v"))
 
 

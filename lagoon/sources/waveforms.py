@@ -189,11 +189,15 @@ def simulate(x: Column, delta: float, zeros: list[complex], poles: list[complex]
     return unary(run, x)
 
 
-def _decimate(factor: int, delta: float | None = None) -> list:
-    """Every ``factor``-th sample; with ``delta`` after a zero-phase low-pass at 0.8 of the new Nyquist."""
+def _decimate(factor: int, delta: float | None = None, lowpass: bool = True) -> list:
+    """Every ``factor``-th sample after a zero-phase low-pass at 0.8 of the new Nyquist.
+
+    The cut-off in units of samples depends on ``factor`` alone, so ``delta`` is not needed. ``lowpass``
+    False takes the samples as they are, and what lies above the new Nyquist is aliased.
+    """
     from lagoon.operators import transforms
 
-    low = [lambda c: transforms.filter(c, 0.4 / (factor * delta), "lowpass", delta, 4)] if delta else []
+    low = [lambda c: transforms.filter(c, 0.4 / (factor * (delta or 1.0)), "lowpass", delta or 1.0, 4)] if lowpass and factor > 1 else []
     return [*low, lambda c: A.decimate(c, factor)]
 
 
@@ -204,7 +208,7 @@ OPERATIONS = {
     "taper": lambda **p: [lambda c: A.taper(c, **p)],
     "normalize": lambda: [A.norm1d],
     "trim": lambda first, n: [lambda c: trim(c, first, n)],
-    "decimate": lambda factor, delta=None: _decimate(factor, delta),
+    "decimate": _decimate,
     "remove_sensitivity": lambda gain: [lambda c: remove_sensitivity(c, F.lit(float(gain)))],
     "remove_response": lambda **p: [lambda c: spectral_division(c, **p)],
     "simulate": lambda **p: [lambda c: simulate(c, **p)],

@@ -185,6 +185,39 @@ def test_operations_mix_native_steps_and_kernels(spark):
     assert np.allclose(back, x[:399]) and "simulate" in waveforms.list_operations()
 
 
+def test_decimate_filters_first(spark):
+    """Against the low-pass as a recursion written out, forward and backward; no sampling interval given."""
+    from lagoon.kernels.filters import butterworth
+
+    n, factor = 240, 4
+    t = np.arange(n)
+    slow, fast = np.sin(2 * np.pi * t / 40), np.sin(2 * np.pi * 0.3 * t)
+    df = spark.createDataFrame([("slow", slow.tolist()), ("fast", fast.tolist()), ("both", (slow + fast).tolist())], "k string, x array<double>")
+    got = {r.k: np.array(r.x) for r in waveforms.apply_operations(df, "x", [("decimate", {"factor": factor})], strict=True).collect()}
+    edge = butterworth(4, 0.4 / factor, "lowpass", 1.0)
+
+    def once(y):
+        for b0, b1, b2, _, a1, a2 in edge:
+            z, v = [], [y[0]] * 2  # a constant past, which a low-pass of gain one leaves
+            past = [y[0] * (b0 + b1 + b2) / (1 + a1 + a2)] * 2
+            for value in y:
+                new = b0 * value + b1 * v[0] + b2 * v[1] - a1 * past[0] - a2 * past[1]
+                v, past = [value, v[0]], [new, past[0]]
+                z.append(new)
+            y = z
+        return y
+
+    for k, x in (("slow", slow), ("fast", fast), ("both", slow + fast)):
+        pad = 3 * (2 * len(edge) + 1)
+        ext = [*(2 * x[0] - x[pad:0:-1]), *x, *(2 * x[-1] - x[-2 : -pad - 2 : -1])]
+        want = np.array(once(once(ext)[::-1])[::-1])[pad : pad + n : factor]
+        assert np.allclose(got[k], want, atol=1e-9)
+    inner = slice(5, -5)
+    assert np.abs(got["fast"][inner]).max() < 0.01 and np.allclose(got["slow"][inner], slow[::factor][inner], atol=0.02)
+    plain = waveforms.apply_operations(df, "x", [("decimate", {"factor": factor, "lowpass": False})]).where("k = 'both'").first().x
+    assert np.allclose(plain, (slow + fast)[::factor])
+
+
 def test_regular_axis_and_period_days(spark):
     rows = [("a", t) for t in (0, 10, 20, 30)] + [("b", t) for t in (0, 10, 25)] + [("c", 5)]
     got = {r.k: r.regular for r in correlate.regular(spark.createDataFrame(rows, "k string, t int"), "k", "t").collect()}
