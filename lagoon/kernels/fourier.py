@@ -83,3 +83,35 @@ def analytic(x: np.ndarray) -> np.ndarray:
 
 def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(analytic(x))
+
+
+def places(n: int, ratio: float) -> np.ndarray:
+    """Where the samples of a series of ``n`` lie that is ``ratio`` times as dense, in old samples."""
+    return np.minimum(np.arange(int(np.floor((n - 1) * ratio + 1e-9)) + 1) / ratio, n - 1)
+
+
+def straight(x: np.ndarray, ratio: float) -> np.ndarray:
+    """Straight lines between samples, along the last axis."""
+    at = places(x.shape[-1], ratio)
+    low = np.floor(at).astype(int)
+    high = np.minimum(low + 1, x.shape[-1] - 1)
+    return x[..., low] + (x[..., high] - x[..., low]) * (at - low)
+
+
+def lanczos(x: np.ndarray, ratio: float, a: int = 20) -> np.ndarray:
+    """Sum of x_i sinc(t - i) sinc((t - i) / a) over the 2a samples around t, along the last axis.
+
+    Beyond the ends there are no samples. One of the 2a terms is held at a time, for long series.
+    """
+    n = x.shape[-1]
+    at = places(n, ratio)
+    # places that rounding moved off a sample are put back on it
+    at = np.where(np.abs(at - np.rint(at)) < 1e-9, np.rint(at), at)
+    low = np.floor(at).astype(int)
+    out = np.zeros((*x.shape[:-1], len(at)))
+    for j in range(1 - a, a + 1):
+        i = low + j
+        t = at - i
+        weight = np.where((i >= 0) & (i < n), np.sinc(t) * np.sinc(t / a), 0.0)
+        out += weight * x[..., np.clip(i, 0, n - 1)]
+    return out

@@ -93,6 +93,20 @@ def interpolate_linear(x: Column, factor: int) -> Column:
     return F.transform(steps, lambda i: at(i) + (nxt(i) - at(i)) * ((i % factor) / F.lit(float(factor))))
 
 
+def interpolate(x: Column, ratio: float, method: str = "lanczos", a: int = 20) -> Column:
+    """Samples ``ratio`` times as dense, from the first one to the last that the series reaches.
+
+    Any positive ratio; below one there is no low-pass, so content above the new Nyquist has to be
+    filtered before.
+    """
+    if ratio <= 0 or a < 1:
+        raise ValueError("ratio and a must be positive")
+    kernels = {"lanczos": lambda v: fourier.lanczos(v, ratio, a), "linear": lambda v: fourier.straight(v, ratio)}
+    if method not in kernels:
+        raise ValueError(f"no such interpolation: {method}")
+    return unary(kernels[method], x)
+
+
 def spectrogram(series: DataFrame, keys: list[str], x: str, delta: float, duration: float, *, padding: int = 2, overlap: float | None = None, scaling: str = "density", freq_lim: tuple[float, float] | None = None) -> DataFrame:
     """Rows (keys, freq, psd): one per series and frequency; ``overlap`` None moves by one sample."""
     size = max(16, int(np.floor(duration / delta + 1e-9)))

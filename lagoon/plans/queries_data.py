@@ -377,6 +377,13 @@ def op_interpolate(spark, d):
     return correlate.to_long(x, ["vec_id"], "x").select("vec_id", "k", tidy(F.col("v"), 6).alias("v"))
 
 
+@Q()
+def op_interpolate_lanczos(spark, d):
+    op = ("interpolate", {"sampling_rate": 4 / DELTA, "delta": DELTA, "method": "lanczos", "a": 20})
+    x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", [op])
+    return correlate.to_long(x, ["vec_id"], "x").select("vec_id", "k", tidy(F.col("v"), 6).alias("v"))
+
+
 @Q(f"WITH {VECTORS}, c AS (SELECT vec_id, k, 2 * (v - avg(v) OVER (PARTITION BY vec_id)) AS v FROM v) SELECT vec_id, k, round(v / sqrt(sum(v * v) OVER (PARTITION BY vec_id)), 6) + 0.0 AS v FROM c")
 def op_chain_callable(spark, d):
     ops = [("demean", {}), lambda x: F.transform(x, lambda v: v * 2), ("normalize", {})]

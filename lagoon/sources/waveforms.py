@@ -201,6 +201,18 @@ def _decimate(factor: int, delta: float | None = None, lowpass: bool = True) ->
     return [*low, lambda c: A.decimate(c, factor)]
 
 
+def _interpolate(factor: float | None = None, sampling_rate: float | None = None, delta: float | None = None, method: str = "linear", a: int = 20) -> list:
+    """``factor`` times as many samples, or ``sampling_rate`` a second from steps of ``delta`` seconds;
+    ``method`` linear or lanczos (``a`` samples to either side)."""
+    from lagoon.operators import transforms
+
+    if (factor is None) == (sampling_rate is None) or (sampling_rate is not None and delta is None):
+        raise ValueError("interpolate needs either a factor, or a sampling rate and delta")
+    if method == "linear" and isinstance(factor, int):
+        return [lambda c: transforms.interpolate_linear(c, factor)]
+    return [lambda c: transforms.interpolate(c, factor if sampling_rate is None else sampling_rate * delta, method, a)]
+
+
 #: name -> function of the parameters that gives the steps, each a function of a series column
 OPERATIONS = {
     "detrend": lambda type="linear": [A.detrend if type == "linear" else A.demean],  # noqa: A006
@@ -231,7 +243,7 @@ def apply_operations(df: DataFrame, column: str, operations: list, strict: bool
     known = OPERATIONS | {
         "filter": lambda type, frequency, delta, order=4: [lambda c: transforms.causal_filter(c, frequency, type, delta, order)],  # noqa: A006
         "resample": lambda n: [lambda c: transforms.resample(c, n)],
-        "interpolate": lambda factor: [lambda c: transforms.interpolate_linear(c, factor)],
+        "interpolate": _interpolate,
     }
     for op in operations:
         if callable(op):

@@ -218,6 +218,36 @@ def test_decimate_filters_first(spark):
     assert np.allclose(plain, (slow + fast)[::factor])
 
 
+def test_interpolate_lanczos(spark):
+    rng = np.random.default_rng(5)
+    x, tone = rng.normal(size=90), np.sin(2 * np.pi * 0.4 * np.arange(90))
+    df = spark.createDataFrame([("x", x.tolist()), ("tone", tone.tolist()), ("gap", [1.0, None, 2.0])], "k string, x array<double>")
+
+    def run(**p):
+        return {r.k: r.x for r in waveforms.apply_operations(df, "x", [("interpolate", p)], strict=True).collect()}
+
+    def brute(v, ratio, a):
+        out = []
+        for m in range(int((len(v) - 1) * ratio + 1e-9) + 1):
+            t = [m / ratio - i for i in range(len(v))]
+            out.append(sum(y * np.sinc(d) * np.sinc(d / a) for y, d in zip(v, t, strict=True) if abs(d) < a))
+        return out
+
+    got = run(sampling_rate=50.0, delta=0.05, method="lanczos", a=20)
+    assert np.allclose(got["x"], brute(x, 2.5, 20), atol=1e-9) and len(got["x"]) == 223 and got["gap"] is None
+    assert np.allclose(run(factor=0.6, method="lanczos", a=3)["x"], brute(x, 0.6, 3), atol=1e-9)
+    assert np.allclose(run(factor=4, method="lanczos")["x"][::4], x)
+    # content near Nyquist, away from the ends: straight lines miss it
+    true = np.sin(2 * np.pi * 0.4 * np.arange(357) / 4)[100:257]
+    near, lines = (np.abs(np.array(run(factor=4, method=m)["tone"])[100:257] - true).max() for m in ("lanczos", "linear"))
+    assert near < 0.03 and lines > 0.5, (near, lines)
+    straight = run(sampling_rate=50.0, delta=0.05, method="linear")["x"]
+    assert np.allclose(straight, np.interp(np.arange(223) / 2.5, np.arange(90), x))
+    for bad in ({"factor": 2, "method": "cubic"}, {"sampling_rate": 5.0}, {}):
+        with pytest.raises(ValueError):
+            run(**bad)
+
+
 def test_regular_axis_and_period_days(spark):
     rows = [("a", t) for t in (0, 10, 20, 30)] + [("b", t) for t in (0, 10, 25)] + [("c", 5)]
     got = {r.k: r.regular for r in correlate.regular(spark.createDataFrame(rows, "k string, t int"), "k", "t").collect()}
