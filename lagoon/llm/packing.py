@@ -6,10 +6,11 @@ first piece taking what is over. Packing depends on piece lengths alone, and the
 the driver, whose input and output have a size that does not depend on the number of documents. Around
 the largest remaining piece it enumerates fillings that no other filling dominates (a filling
 dominates another whose pieces fit into bins of the first one's piece lengths), best fit first, and
-applies each as often as the counts allow. Waste bounds prune: a branch whose waste cannot leave room
-below the incumbent's sequences is cut. The first descent takes the best fit throughout and is the
-first incumbent; it stops at once where it meets the bound ceil(tokens / capacity), else after
-``NODES`` nodes.
+applies each as often as the counts allow, or less often (see ``plan``). Waste bounds prune: a branch
+whose waste cannot leave room below the incumbent's sequences is cut. Best-fit decreasing is the first
+incumbent; the search stops at once where it meets the bound ceil(tokens / capacity), else after
+``NODES`` nodes depth first and as many by limited discrepancy. What a node enumerates is bounded too:
+``FILLINGS`` fillings of at most 400 looked at, six next pieces a level.
 
 The plan is a list of patterns. Pieces are ranked within their length by a salted running count, so a
 length that a third of all pieces share is not ranked in one task; (length, rank) gives sequence and
@@ -233,63 +234,123 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int = FI
     return kept
 
 
+def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing on the histogram: the patterns that placing piece by piece gives.
+
+    A piece goes to the fullest sequence that takes it, which then is the fullest for the next of its
+    length: sequences of one room take whole runs, so work does not grow with the counts.
+    """
+    rooms: dict[int, dict[tuple[int, ...], int]] = {}
+
+    def put(room: int, pattern: tuple[int, ...], m: int) -> None:
+        at = rooms.setdefault(room, {})
+        at[pattern] = at.get(pattern, 0) + m
+
+    for s in sorted((s for s, n in counts.items() if n > 0), reverse=True):
+        n = counts[s]
+        for room in sorted(r for r in rooms if r >= s):
+            per = room // s
+            for pattern in list(rooms[room]):
+                have = rooms[room].pop(pattern)
+                m = min(have, n // per)
+                rest = n - m * per if m < have else 0
+                if m:
+                    put(room - per * s, (*pattern, *[s] * per), m)
+                if rest:
+                    put(room - rest * s, (*pattern, *[s] * rest), 1)
+                if have - m - bool(rest):
+                    rooms[room][pattern] = have - m - bool(rest)
+                n -= m * per + rest
+                if not n:
+                    break
+            if not rooms[room]:
+                del rooms[room]
+            if not n:
+                break
+        per = capacity // s
+        if n // per:
+            put(capacity - per * s, (s,) * per, n // per)
+        if n % per:
+            put(capacity - n % per * s, (s,) * (n % per), 1)
+    return [(p, m) for at in rooms.values() for p, m in at.items()]
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """(patterns with how often each is used, proven lower bound of sequences)."""
+    """(patterns with how often each is used, proven lower bound of sequences).
+
+    Best-fit decreasing is the first incumbent. Two searches of at most ``nodes`` nodes each better it:
+    depth first over fillings used as often as counts allow, which changes the tail of the descent by
+    best fit (made whole in any case); then descents that leave the best fit at no more than 1, 2, ...
+    nodes, at the largest pieces first, with fillings also used half as often and once.
+    """
     counts = {int(s): int(n) for s, n in counts.items() if n > 0}
     total = sum(s * n for s, n in counts.items())
     large = sum(n for s, n in counts.items() if 2 * s > capacity)
     bound = max(-(-total // capacity), large)
-    best: list[tuple[tuple[int, ...], int]] | None = None
-    best_bins = float("inf")
+    best = best_fit(counts, capacity)
+    best_bins = sum(m for _, m in best)
     sizes = sorted(counts, reverse=True)
     path: list[tuple[tuple[int, ...], int]] = []
-    frames: list[list[tuple[int, ...]]] = []
-    bins = waste = 0
-    seen = 0
+    bins = waste = seen = 0
 
-    def undo() -> None:
+    def move(pattern: tuple[int, ...], m: int) -> None:
         nonlocal bins, waste
-        pattern, m = path.pop()
-        for s in pattern:
-            counts[s] += m
-        bins -= m
-        waste -= m * (capacity - sum(pattern))
-
-    while True:
-        alive = [s for s in sizes if counts[s] > 0]
-        dead = False
-        if not alive:
-            if bins < best_bins:
-                best_bins, best = bins, list(path)
-            dead = True
-        elif best is not None and total + waste > (best_bins - 1) * capacity:
-            dead = True
-        if best is not None and (best_bins <= bound or seen >= nodes):
-            break
-        if not dead:
-            seen += 1
-            top = alive[0]
-            counts[top] -= 1
-            options = [(top, *f) for f in fillings(alive, counts, capacity - top)]
-            counts[top] += 1
-            frames.append(options)
-        else:
-            while frames and not frames[-1]:
-                frames.pop()
-                if path:
-                    undo()
-            if not frames:
-                break
-            if len(path) >= len(frames):
-                undo()
-        pattern = frames[-1].pop(0)
-        m = min(counts[s] // pattern.count(s) for s in set(pattern))
         for s in pattern:
             counts[s] -= m
         bins += m
         waste += m * (capacity - sum(pattern))
-        path.append((pattern, m))
-    return best or [], bound
+
+    def undo() -> None:
+        pattern, m = path.pop()
+        move(pattern, -m)
+
+    def choices(alive: list[int], often: bool) -> list[tuple[tuple[int, ...], int]]:
+        top = alive[0]
+        counts[top] -= 1
+        patterns = [(top, *f) for f in fillings(alive, counts, capacity - top)]
+        counts[top] += 1
+        most = [(p, min(counts[s] // p.count(s) for s in set(p))) for p in patterns]
+        return most if often else most + [(p, m // 2) for p, m in most if m > 3] + [(p, 1) for p, m in most if m > 1]
+
+    def search(limit: int | None) -> bool:
+        """Depth first (None), or the descents with at most ``limit`` departures; whether any were kept back."""
+        nonlocal best, best_bins, seen
+        frames: list[list[tuple[tuple[int, ...], int, int]]] = []
+        spare, back, first = limit or 0, False, limit is None
+        while best_bins > bound and (seen < nodes or first):
+            alive = [s for s in sizes if counts[s] > 0]
+            if not alive and bins < best_bins:
+                best_bins, best = bins, list(path)
+            if alive and total + waste <= (best_bins - 1) * capacity:
+                seen += 1
+                (pattern, m), *others = choices(alive, limit is None)
+                if limit is None:
+                    frames.append([(pattern, m, 0), *((*o, 0) for o in others)])
+                else:
+                    back |= bool(others) and not spare
+                    frames.append([(*o, spare - 1) for o in others if spare] + [(pattern, m, spare)])
+            else:
+                first = False
+                while frames and not frames[-1]:
+                    frames.pop()
+                    if path:
+                        undo()
+                if not frames:
+                    break
+                if len(path) >= len(frames):
+                    undo()
+            pattern, m, spare = frames[-1].pop(0)
+            move(pattern, m)
+            path.append((pattern, m))
+        while path:
+            undo()
+        return back
+
+    search(None)
+    seen, limit = 0, 1
+    while best_bins > bound and seen < nodes and search(limit):
+        limit += 1
+    return best, bound
 
 
 class Assigner:

@@ -66,6 +66,34 @@ def test_plan_nears_its_bound_on_many(seed):
     assert check_plan(counts, 1024, patterns) <= bound * 1.002 + 1
 
 
+def best_fit_by_piece(items, capacity):
+    rooms = []
+    for s in sorted(items, reverse=True):
+        fit = min((r for r in rooms if r >= s), default=None)
+        if fit is not None:
+            rooms.remove(fit)
+        rooms.append((capacity if fit is None else fit) - s)
+    return sorted(rooms)
+
+
+def test_best_fit_on_the_histogram():
+    rng = random.Random(11)
+    for _ in range(300):
+        capacity = rng.choice([10, 20, 50, 97])
+        counts = Counter(rng.randrange(1, capacity + 1) for _ in range(rng.randrange(60)))
+        got = P.best_fit(counts, capacity)
+        check_plan(counts, capacity, got)
+        rooms = best_fit_by_piece(counts.elements(), capacity)
+        assert sorted(r for p, m in got for r in [capacity - sum(p)] * m) == rooms
+        assert sum(m for _, m in P.plan(counts, capacity, nodes=1)[0]) <= len(rooms)
+
+
+def test_plan_departs_at_large_pieces():
+    counts = {18: 4, 3: 11, 42: 11, 43: 7, 41: 10, 24: 9, 20: 5, 39: 7, 49: 5, 55: 7, 13: 8, 25: 5, 45: 7, 38: 6, 50: 11, 30: 4, 33: 4}
+    patterns, bound = P.plan(counts, 100)
+    assert check_plan(counts, 100, patterns) == bound == 41  # 42 by changes of the tail alone
+
+
 def test_cut_pieces():
     for n in range(1, 40):
         pieces = P.cut_pieces(n, 8)
