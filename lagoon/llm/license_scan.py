@@ -18,6 +18,7 @@ rows give repeated answers. Other columns are ignored. Memory grows with one tex
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 
 import numpy as np
@@ -174,15 +175,17 @@ class Scanner:
                 anchors.append((b - matched, matched, state))
         return places, anchors
 
-    def chains(self, anchors) -> dict[int, tuple[float, int, int]]:
-        """Template -> (covered share, first word, word after the last) of its best chain."""
+    def chains(self, anchors) -> dict[int, list[tuple[float, int, int]]]:
+        """Template -> (covered share, first word, word after the last) of its best chain, then of all
+        that cover MIN_COVER and overlap no better one."""
         per: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for start, length, state in anchors:
             for k, end in self.automaton.ends[state]:
                 if k >= self.base:
                     per[k].append((start, end - length, length))
-        best: dict[int, tuple[float, int, int]] = {}
+        best: dict[int, list[tuple[float, int, int]]] = {}
         for k, found in per.items():
+            ends: list[tuple[float, int, int]] = []
             open_: list[list[int]] = []  # [text end, template end, covered, first]
             for start, at, length in sorted(found):
                 top, first = 0, start
@@ -193,9 +196,17 @@ class Scanner:
                 open_ = [x for x in open_ if start - x[0] <= MAX_GAP]
                 now = [start + length, at + length, max(top, 0) + length, first]
                 open_.append(now)
-                share = min(1.0, now[2] / self.size[k])
-                if k not in best or share > best[k][0]:
-                    best[k] = (share, now[3], now[0])
+                ends.append((min(1.0, now[2] / self.size[k]), now[3], now[0]))
+            ends.sort(key=lambda c: -c[0])
+            best[k] = ends[:1]
+            taken = [ends[0][1:]]  # ascending and apart
+            for share, f, e in ends[1:]:
+                if share < MIN_COVER:
+                    break
+                at = bisect(taken, (f, e))
+                if (at == 0 or taken[at - 1][1] <= f) and (at == len(taken) or e <= taken[at][0]):
+                    taken.insert(at, (f, e))
+                    best[k].append((share, f, e))
         return best
 
     def report(self, data: np.ndarray, offsets: np.ndarray):
@@ -213,9 +224,9 @@ class Scanner:
                 ]
                 chains = self.chains(anchors)
                 base = {self.labels[k] for k, _ in places}
-                spans = sorted({(self.labels[k], f, e, round(c, 6)) for k, (c, f, e) in chains.items() if c >= MIN_COVER})
+                spans = sorted({(self.labels[k], f, e, round(c, 6)) for k, found in chains.items() for c, f, e in found if c >= MIN_COVER})
                 at = [p for _, p in places]
-                score = max([1.0 if places else 0.0, *(c for c, _, _ in chains.values())])
+                score = max([1.0 if places else 0.0, *(found[0][0] for found in chains.values())])
                 yield (
                     hi - lo, len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)),
                     ",".join(sorted(base | {s[0] for s in spans})), float(score), spans,

@@ -86,3 +86,20 @@ def test_part_of_a_notice_is_no_label():
     scanner = S.Scanner()
     data, off = K.from_strings(["licensed under the terms of the general public", "this work is licensed under the"])
     assert [r[5] for r in scanner.report(data, off)] == ["", ""]
+
+
+def test_every_notice_of_a_text_has_a_span():
+    scanner = S.Scanner()
+    k, (label, text) = max(enumerate(S.TEMPLATES), key=lambda t: len(t[1][1].split()))
+    words = text.split()
+    edited = [*words[: len(words) // 2], "changed", *words[len(words) // 2 + 1 :]]
+    noise = [f"n{i}" for i in range(70)]
+    row = [*noise, *words, *noise, *edited, *words, *noise, *words[: len(words) // 4], *noise]
+    data, off = K.from_strings([" ".join(row), " ".join(words)])
+    many, one = scanner.report(data, off)
+    n = len(words)
+    _, anchors = scanner.scan(np.array([scanner.vocab.get(w, -1) for w in row]))
+    found = sorted((f, e) for _, f, e in scanner.chains(anchors)[scanner.base + k])
+    assert found == [(70, 70 + n), (140 + n, 140 + 2 * n), (140 + 2 * n, 140 + 3 * n)]
+    assert {(label, f, e) for f, e in found} <= {s[:3] for s in many[7]}
+    assert many[5] == one[5] and many[6] == one[6] == 1.0
