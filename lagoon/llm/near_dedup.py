@@ -4,7 +4,8 @@ A document is the set of its distinct word shingles. Two smaller hash collection
 ``halves`` half-keys each are computed, each half-key joining ``rows`` MinHash values. Tables are the
 pairs (i, j): a document's key there is (A_i, B_j). So ``halves ** 2`` tables of ``2 * rows`` values
 cost only ``2 * halves * rows`` MinHash values. A pair of similarity s meets in a table with
-probability (1 - (1 - s^rows)^halves)^2; with 12 halves of 3 rows that is 0.99998 at s = 0.85.
+probability (1 - (1 - s^rows)^halves)^2. ``halves`` follows the threshold, so that this is at least
+``MEETING`` there and ``HALVES`` are not undercut: 12 halves of 3 rows at s = 0.85, 16 at 0.8.
 
 Stages, none of which holds more than a bounded group in one task or emits all pairs of a group:
 
@@ -37,6 +38,8 @@ from lagoon.llm import textkernel as K
 from lagoon.llm.common import components, cut, lean, width
 
 U64 = np.uint64
+MEETING = 0.99997
+HALVES = 12
 
 
 def _salts(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +60,12 @@ def distinct_sets(column, size: int):
         yield a, b, (np.concatenate(sets) if sets else np.zeros(0, U64)), bounds
 
 
+def half_keys(percent: int, rows: int) -> int:
+    """Half-keys, ``HALVES`` at least, with which a link at the threshold meets with probability ``MEETING``."""
+    miss = 1 - (percent / 100) ** rows
+    return HALVES if miss <= 0 else max(HALVES, math.ceil(math.log(1 - math.sqrt(MEETING)) / math.log(miss)))
+
+
 def sketches(flat: np.ndarray, bounds: np.ndarray, halves: int, rows: int):
     """Half-keys (rows x 2 * halves) and MinHash bytes (rows x values) of non-empty sets."""
     n, values = len(bounds) - 1, 2 * halves * rows
@@ -309,7 +318,7 @@ def _verify_batches(percent: int):
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80,
-    halves: int = 12, rows: int = 3, block: int = 2048, set_block: int = 1_500_000,
+    halves: int | None = None, rows: int = 3, block: int = 2048, set_block: int = 1_500_000,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, component_id (smallest id reachable).
 
@@ -318,6 +327,7 @@ def classes(
     are dealt into pairs of chunks, none of their pairs is skipped.
     """
     similarity = percent / 100
+    halves = halves or half_keys(percent, rows)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     parts = width(docs.sparkSession)
     sk = cut(base.mapInArrow(lean(_sketch_batches(shingle, halves, rows)), "id long, n long, h1 long, h2 long, keys binary, marks binary"))

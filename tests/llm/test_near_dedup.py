@@ -71,3 +71,23 @@ def test_edge_rows(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert N.report(df).count() == 0 and N.dedup(df).count() == 0
+
+
+def test_half_keys_follow_the_threshold(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def sketch(size, halves, rows):
+        raise Seen(halves, rows)
+
+    monkeypatch.setattr(N, "_sketch_batches", sketch)
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    for percent, least in ((80, 16), (85, 12), (95, 12), (100, 12), (70, 12)):
+        with pytest.raises(Seen) as seen:
+            N.classes(df, percent=percent)
+        halves, rows = seen.value.args
+        assert (1 - (1 - (percent / 100) ** rows) ** halves) ** 2 >= 0.99997 and halves >= least
+        assert percent == 70 or halves == least
+    with pytest.raises(Seen) as seen:
+        N.classes(df, percent=80, halves=3)
+    assert seen.value.args[0] == 3
