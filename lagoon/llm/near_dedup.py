@@ -22,7 +22,9 @@ Stages, none of which holds more than a bounded group in one task or emits all p
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing, not even with
 each other; rows that share an id are one node, linked if any of their texts is, with an answer per
-row; a row of null id links with nothing (component_id null, kept). Extra columns are ignored by ``classes`` and kept by ``dedup``.
+row: the same component, each its own number of shingles; a row of null id links with nothing
+(component_id null, kept). Ids may be of any type that sorts; ids that are no whole numbers are
+numbered in their order first. Extra columns are ignored by ``classes`` and kept by ``dedup``.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
-from lagoon.llm.common import components, cut, lean, width
+from lagoon.llm.common import components, cut, fresh, lean, width
 
 U64 = np.uint64
 MEETING = 0.99997
@@ -328,13 +330,15 @@ def classes(
     """
     similarity = percent / 100
     halves = halves or half_keys(percent, rows)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     parts = width(docs.sparkSession)
-    sk = cut(base.mapInArrow(lean(_sketch_batches(shingle, halves, rows)), "id long, n long, h1 long, h2 long, keys binary, marks binary"))
+    sk = base.mapInArrow(lean(_sketch_batches(shingle, halves, rows)), f"id {kind}, n long, h1 long, h2 long, keys binary, marks binary")
+    sk, numbers = _numbered(cut(sk), kind)
     # copies: the class of equal sets is known by its smallest id
     reps = cut(
-        sk.where("n > 0 and id is not null").groupBy("h1", "h2", "n")
-        .agg(F.min("id").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
+        sk.where("n > 0 and num is not null").groupBy("h1", "h2", "n")
+        .agg(F.min("num").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
     )
     halves_of = reps.select("rep", "n", "keys", "marks").mapInArrow(
         lean(_explode_halves(halves)), "g long, id long, n long, tails binary, marks binary"
@@ -352,8 +356,12 @@ def classes(
     )
     families = components(maybe)
     # full sets of family members only: families hold one id for each class of copies
-    member = families.select(F.col("id").alias("_m"), "root")
-    active = base.join(member, base.id == member._m, "inner").select("id", "root", "text")
+    member = families.select("id", "root")
+    if numbers is not None:
+        member = member.join(numbers.select(F.col("num").alias("_n"), F.col("key")), F.col("id") == F.col("_n")).select(F.col("id").alias("num"), "root", F.col("key").alias("_m"))
+    else:
+        member = member.select(F.col("id").alias("num"), "root", F.col("id").alias("_m"))
+    active = base.join(member, F.col("id") == F.col("_m")).select(F.col("num").alias("id"), "root", "text")
     sets = active.mapInArrow(lean(_set_batches(shingle)), "id long, root long, set binary")
     load = cut(
         families.join(reps.select(F.col("rep").alias("_r"), "n"), F.col("id") == F.col("_r"))
@@ -369,20 +377,46 @@ def classes(
         held.select("cell", "id", "set").repartition(parts, "cell").sortWithinPartitions("cell", "id", "set")
         .mapInArrow(lean(_verify_batches(percent)), "a long, b long")
     )
+    # an id of several texts is one node: it ties the classes of its texts together
+    span = sk.where("num is not null").groupBy("num").agg(F.min(F.struct("h1", "h2", "n")).alias("lo"), F.max(F.struct("h1", "h2", "n")).alias("hi"))
+    several = cut(span.where("lo <> hi").select(F.col("num").alias("_k")))
+    tied = None
+    if several.limit(1).count():
+        texts = sk.where("n > 0").join(several, F.col("num") == F.col("_k")).select("num", "h1", "h2", "n").distinct()
+        tied = cut(texts.join(reps.select("h1", "h2", "n", "rep"), ["h1", "h2", "n"]).select("num", "rep"))
+        heads = tied.groupBy("num").agg(F.min("rep").alias("a"))
+        links = links.union(tied.join(heads, "num").select("a", F.col("rep").alias("b")))
     linked = components(links)
     final = (
         reps.select("h1", "h2", F.col("n").alias("_n"), "rep")
         .join(linked.select(F.col("id").alias("_i"), "root"), F.col("rep") == F.col("_i"), "left")
-        .select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_n", F.coalesce("root", "rep").alias("root"))
+        .select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "_n", "rep", F.coalesce("root", "rep").alias("root"))
     )
     # only classes of more than one row, or linked, differ from their own id
-    named = sk.select("id", "n", "h1", "h2").join(
-        final, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n")), "left"
-    )
-    return named.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.when(F.col("id").isNull(), F.col("id")).otherwise(F.coalesce("root", "id")).alias("component_id"),
+    named = sk.select("id", "num", "n", "h1", "h2").join(
+        final.drop("rep"), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")) & (F.col("n") == F.col("_n")), "left"
     )
+    root = F.col("root")
+    if tied is not None:
+        own = tied.join(final.select(F.col("rep").alias("_r"), F.col("root").alias("_own")), F.col("rep") == F.col("_r")).groupBy(F.col("num").alias("_k")).agg(F.min("_own").alias("_own"))
+        named = named.join(own, F.col("num") == F.col("_k"), "left")
+        root = F.coalesce("_own", "root")
+    named = named.select("id", "n", F.when(F.col("num").isNull(), F.col("num")).otherwise(F.coalesce(root, "num")).alias("c"))
+    if numbers is None:
+        return named.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    back = numbers.select(F.col("num").alias("_n"), F.col("key").alias("component_id"))
+    return named.join(back, F.col("c") == F.col("_n"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _numbered(sk: DataFrame, kind: str) -> tuple[DataFrame, DataFrame | None]:
+    """``sk`` with a whole number ``num`` for each id, in the order of the ids, and the table (key, num)
+    of numbers where ids are not whole numbers themselves."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return sk.withColumn("num", F.col("id").cast("long")), None
+    keys = sk.where("id is not null").select(F.col("id").alias("key")).distinct()
+    # ranges of ids in order, rows in order within: the numbers rise with the ids
+    numbers = cut(keys.repartitionByRange("key").sortWithinPartitions("key").select("key", F.monotonically_increasing_id().alias("num")))
+    return cut(sk.join(numbers, F.col("id") == F.col("key"), "left").drop("key")), numbers
 
 
 def _group_keys(halves: int):
@@ -408,10 +442,18 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row kept of each component: that of the smallest id.
 
-    Of rows that share an id, one is kept if they are in one component.
+    Of rows that share that id the longest text is kept (of equally long ones the last in order), once.
+    Rows of null id are all kept.
     """
     found = classes(docs, id_col, text_col, **options)
-    drop = (
-        found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_dropped_id")).distinct()
-    )
-    return docs.join(drop, docs[id_col] == drop["_dropped_id"], "left_anti")
+    gone, again = fresh(docs, "_dropped_id"), fresh(docs, "_again")
+    drop = cut(found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(gone)).distinct())
+    left = docs.join(drop, docs[id_col] == drop[gone], "left_anti")
+    twice = cut(left.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").select(F.col(id_col).alias(again)))
+    if not twice.limit(1).count():
+        return left
+    # only rows whose id is there twice or more are shuffled; a hot id is reduced before that
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    rank = F.struct(F.coalesce(F.length(text_col), F.lit(-1)), F.col(text_col), F.xxhash64(*plain))
+    one = left.join(twice, F.col(id_col) == F.col(again), "left_semi").groupBy(F.col(id_col).alias(again)).agg(F.max_by(F.struct(*docs.columns), rank).alias("_row"))
+    return left.join(twice, F.col(id_col) == F.col(again), "left_anti").union(one.select("_row.*"))

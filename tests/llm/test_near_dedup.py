@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lagoon.llm import near_dedup as N
 
@@ -91,3 +92,34 @@ def test_half_keys_follow_the_threshold(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         N.classes(df, percent=80, halves=3)
     assert seen.value.args[0] == 3
+
+
+def test_repeated_rows_of_the_smallest_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(6, a), (6, a), (7, a), (8, b), (8, b), (9, ""), (9, ""), (None, a), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_again", F.lit(1)).withColumn("tags", F.create_map(F.lit("k"), F.col("text"))).repartition(4)
+    kept = N.dedup(df)
+    assert kept.columns == df.columns
+    got = [(r.doc_id, r.text, r.tags) for r in kept.collect()]
+    assert sorted(map(str, got)) == sorted(str((i, t, {"k": t})) for i, t in [(6, a), (8, b), (9, ""), (None, a), (None, a)])
+    # every row twice leaves the same documents
+    docs = spark.createDataFrame(corpus(5), "doc_id long, text string")
+    assert sorted(map(tuple, N.dedup(docs.union(docs)).collect())) == sorted(map(tuple, N.dedup(docs).collect()))
+
+
+def test_an_id_with_several_texts_is_one_node(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(30))
+    rows = [(5, a), (9, a), (9, b), (12, b), (9, ""), (20, "one two three four")]
+    got = {tuple(r) for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85) == {(5, 38, 5), (9, 38, 5), (9, 28, 5), (12, 28, 5), (9, 0, 5), (20, 2, 20)}
+    assert [r.doc_id for r in N.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id != 20] == [5]
+
+
+def test_ids_of_other_types(spark):
+    rows = corpus(9, 60)
+    want = {(i, c) for i, _, c in brute(rows, 3, 85)}
+    named = [(f"doc-{i:05d}", t) for i, t in rows] + [(None, rows[0][1])]
+    got = {tuple(r)[::2] for r in N.classes(spark.createDataFrame(named, "name string, text string"), "name", shingle=3, percent=85).collect()}
+    assert got == {(f"doc-{i:05d}", f"doc-{c:05d}") for i, c in want} | {(None, None)}
+    df = spark.createDataFrame(named, "name string, text string")
+    assert {r.name for r in N.dedup(df, "name", shingle=3, percent=85).collect()} == {f"doc-{c:05d}" for _, c in want} | {None}
