@@ -5,10 +5,13 @@ from __future__ import annotations
 import ctypes
 import tempfile
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagoon.llm import textkernel as K
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,6 +32,94 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+#: schemes of Hadoop's connectors that Arrow's file systems know by another name
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
+
+def arrow_uri(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI that Arrow's file systems open: a bare path and ``file:/x`` are qualified as
+    Hadoop would, object stores get Arrow's scheme. Raises ValueError for stores that Arrow lacks."""
+    uri = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder).toUri()
+    if uri.getScheme() is None:
+        path, fs = _path(spark, folder)
+        uri = fs.makeQualified(path).toUri()
+    scheme, host, rest = uri.getScheme(), uri.getAuthority() or "", uri.getPath()
+    scheme = _SCHEMES.get(scheme, scheme)
+    if scheme not in ("file", "hdfs", "viewfs", "s3", "gs", "abfs", "abfss"):
+        raise ValueError(f"no file system for {scheme}: {folder}")
+    return f"{scheme}://{host}{rest}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that this package made, on whatever file system it is."""
+    path, fs = _path(spark, folder)
+    fs.delete(path, True)
+
+
+def whole_number(df: DataFrame, name: str) -> None:
+    """Raises ValueError where a column's type is no whole number: its ids are written as such."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{name} must be whole numbers, not {kind}")
+
+
+def bloom(hashes: DataFrame, n: int, most_bits: int = 1 << 27):
+    """A function from a numpy array of 64-bit hashes to whether each may be in ``hashes``, whose only
+    column has ``n`` of them; what is in it always may.
+
+    Bits are set by tasks, a block of 2^15 to a row; the driver gets at most ``most_bits`` (16 MB).
+    Beyond about ``most_bits / 8`` hashes it lets more through, so an exact join has to follow.
+    """
+    bits = 1 << 15
+    while bits < 16 * n and bits < most_bits:
+        bits <<= 1
+    mask = np.uint64(bits - 1)
+
+    def places(h: np.ndarray) -> np.ndarray:
+        h = h.astype(np.int64).view(np.uint64)
+        return np.stack([K.mix(h, 61 + k) & mask for k in range(4)]).astype(np.int64)
+
+    def deal(batches):
+        for batch in batches:
+            at = np.unique(places(batch.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array((at & 32767).astype(np.int32))], names=["block", "place"])
+
+    def fill(batches):
+        held = np.zeros(1 << 15, np.uint8)
+        last = None
+        for batch in batches:
+            blocks, spots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.flatnonzero(np.concatenate([blocks[1:] != blocks[:-1], [True]])) + 1 if len(blocks) else []
+            begin = 0
+            for end in ends:
+                if last is not None and blocks[begin] != last:
+                    yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([np.packbits(held).tobytes()])], names=["block", "bits"])
+                    held[:] = 0
+                last = int(blocks[begin])
+                held[spots[begin:end]] = 1
+                begin = end
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last]), pa.array([np.packbits(held).tobytes()])], names=["block", "bits"])
+
+    dealt = hashes.mapInArrow(lean(deal), "block long, place int")
+    rows = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lean(fill), "block long, bits binary").collect()  # at most most_bits / 2^15 rows of 4 KB
+    table = np.zeros(bits >> 3, np.uint8)
+    for r in rows:
+        table[r.block << 12 : (r.block + 1) << 12] = np.frombuffer(bytes(r.bits), np.uint8)
+    shared = hashes.sparkSession.sparkContext.broadcast(table)
+
+    def may(h: np.ndarray) -> np.ndarray:
+        at = places(h)
+        return (shared.value[at >> 3] >> (7 - (at & 7)) & 1).all(0)
+
+    return may
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage there."""
     shared_dir(df.sparkSession)

@@ -11,12 +11,18 @@ Reading: an archive is read in blocks and inflated incrementally, one gzip membe
 record is framed by its Content-Length; block and payload digests are verified as the bytes pass, so
 memory holds a block, not a record (the payload itself is kept only on request).
 
-Files go through the file system of the folder's URI, so executors need no local folder.
+Files go through the file system of the folder's URI (a bare path, ``file:/``, HDFS or an object store
+that Arrow knows), so executors need no local folder. ``report`` removes its folder once it has read it.
+
+Only digests, sizes, ids and URLs are shuffled to find equal payloads. Their groups of two or more are
+broadcast where they are few (counted first); beyond, a filter of their digests lets the pages without
+an equal pass unshuffled, and the rest is joined.
 
 Defined cases: a null payload is an empty one; rows of equal page id are a record each, and the
-response of a group is then the one whose URL comes first (all of them, if they tie); a null page id is written with a record id
-of its own kind and read back as null, it comes after all others; null URLs become ``urn:page:``
-targets; an empty table gives no archives and no rows.
+response of a group is then the one whose URL comes first, null before all (all of them, if they tie); a
+null page id is written with a record id of its own kind and read back as null, it comes after all
+others, and where a group has no other ids all its rows are responses; null URLs become ``urn:page:``
+targets; an empty table gives no archives and no rows; page ids that are no whole numbers raise ValueError.
 """
 
 from __future__ import annotations
@@ -26,14 +32,16 @@ import hashlib
 import uuid
 import zlib
 
+import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import cut, lean, shared_dir
+from lagoon.llm.common import arrow_uri, bloom, cut, lean, remove, shared_dir, whole_number
 
 ARCHIVE_BYTES = 256 << 20
+BROADCAST_ROWS = 100_000  # groups of equal payloads: a digest, a size, an id and a URL each
 BLOCK = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 NULL_ID = 1 << 64  # bit 64 of a record's uuid: the page had no id
@@ -215,26 +223,48 @@ def _writer(folder: str, archive_bytes: int):
     return run
 
 
-def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+def _with_refers(keyed: DataFrame, min_bytes: int, most_broadcast: int) -> DataFrame:
+    """``keyed(id, url, payload, digest, size)`` with ``refers``, the id that a revisit refers to."""
+    rank = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("url").alias("url"))
+    firsts = cut(
+        keyed.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
+        .where("n > 1 and first.id is not null").select(F.col("digest").alias("_d"), F.col("size").alias("_s"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
+    )
+    n = firsts.count()
+    same = (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s"))
+    alone = None
+    if n <= most_broadcast:
+        joined = keyed.join(F.broadcast(firsts), same, "left")
+    else:
+        may = bloom(firsts.select(F.xxhash64("_d")), n)
+        flag = F.pandas_udf(lambda h: pd.Series(may(h.to_numpy())), "boolean")
+        keyed = keyed.withColumn("_may", flag(F.xxhash64("digest")))
+        alone = keyed.where(~F.col("_may")).withColumn("refers", F.lit(None).cast("long"))
+        # a hot digest has one row in ``firsts``; the pages' side of the join is split where it is hot
+        joined = keyed.where("_may").join(firsts, same, "left")
+    is_first = (F.col("id") == F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
+    out = joined.withColumn("refers", F.when(F.col("first_id").isNotNull() & ~F.coalesce(is_first, F.lit(False)), F.col("first_id")))
+    cols = ["id", "url", "payload", "digest", "refers"]
+    return out.select(*cols) if alone is None else out.select(*cols).union(alone.select(*cols))
+
+
+def write(
+    pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0,
+    archive_bytes: int = ARCHIVE_BYTES, most_broadcast: int = BROADCAST_ROWS,
+) -> DataFrame:
     """Writes a record for each row; the manifest ``file, records, bytes`` (materialised)."""
+    whole_number(pages, id_col)
     base = pages.select(
         F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload")
     )
     keyed = base.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    rank = F.struct(F.col("id").isNull().alias("last"), F.col("id").alias("id"), F.col("url").alias("url"))
-    firsts = (
-        keyed.where(F.col("size") >= min_bytes).groupBy("digest", "size").agg(F.min(rank).alias("first"), F.count("*").alias("n"))
-        .where("n > 1").select(F.col("digest").alias("_d"), F.col("size").alias("_s"), F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
-    )
-    # a hot digest has one row here; the pages' side of the join is split where it is hot
-    joined = keyed.join(firsts, (F.col("digest") == F.col("_d")) & (F.col("size") == F.col("_s")), "left")
-    is_first = (F.col("id") == F.col("first_id")) & F.col("url").eqNullSafe(F.col("first_url"))
-    refers = F.when(F.col("first_id").isNotNull() & ~F.coalesce(is_first, F.lit(False)), F.col("first_id"))
-    return cut(joined.select("id", "url", "payload", "digest", refers.alias("refers")).mapInArrow(lean(_writer(folder, archive_bytes)), "file string, records long, bytes long"))
+    rows = _with_refers(keyed, min_bytes, most_broadcast)
+    return cut(rows.mapInArrow(lean(_writer(arrow_uri(pages.sparkSession, folder), archive_bytes)), "file string, records long, bytes long"))
 
 
 def read(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
     """The records of the archives in ``manifest``, each archive read by one task from start to end."""
+    folder = arrow_uri(manifest.sparkSession, folder)
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target"] + ["payload"] * with_payload
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
 
@@ -265,11 +295,13 @@ def read(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFr
 
 
 def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes ``pages`` into a new folder under the shared one and reads the archives back."""
-    folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = f"file://{folder}"
-    return read(write(pages, folder, min_bytes=min_bytes), folder)
+    """Writes ``pages`` into a new folder under the shared one, reads the archives back (materialised)
+    and removes the folder."""
+    spark = pages.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    out = cut(read(write(pages, folder, min_bytes=min_bytes), folder))
+    remove(spark, folder)
+    return out
 
 
 def report(pages: DataFrame) -> DataFrame:
@@ -278,13 +310,14 @@ def report(pages: DataFrame) -> DataFrame:
 
 # base32 of a SHA-1: 40 hexadecimal digits are 32 groups of five bits, four in each run of five digits
 REPORT_SQL = """
-WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
-g AS (SELECT html, min(page_id) AS first, sha1(html) AS hex FROM p GROUP BY html),
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+r AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id ASC NULLS LAST, url ASC NULLS FIRST) AS n FROM p),
+g AS (SELECT html, page_id AS first, url AS first_url, sha1(html) AS hex FROM r WHERE n = 1),
 b AS (SELECT html, i, list_reduce(list_prepend(0, list_transform(string_split(substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5), ''), lambda x: instr('0123456789abcdef', x) - 1)), lambda a, x: a * 16 + x) AS run
   FROM g, range(32) AS r(i)),
 d AS (SELECT html, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((run >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) AS BIGINT), 1), '' ORDER BY i) AS digest FROM b GROUP BY html)
 SELECT p.page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
-  CASE WHEN p.page_id = g.first THEN 'response' ELSE 'revisit' END AS record_type,
-  CASE WHEN p.page_id = g.first THEN NULL ELSE g.first END AS refers_to
+  CASE WHEN g.first IS NULL OR (p.page_id = g.first AND p.url IS NOT DISTINCT FROM g.first_url) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id = g.first AND p.url IS NOT DISTINCT FROM g.first_url THEN NULL ELSE g.first END AS refers_to
 FROM p JOIN g ON p.html = g.html JOIN d ON d.html = p.html
 """

@@ -77,3 +77,63 @@ def test_repeated_ids_and_empty(spark):
     got = sorted((r.page_id, r.record_type, r.refers_to) for r in W.round_trip(df).collect())
     assert got == [(1, "response", None), (1, "revisit", 1), (2, "revisit", 1)]
     assert W.round_trip(df.limit(0)).count() == 0
+
+
+def test_folder_uris(spark, tmp_path):
+    from lagoon.llm.common import arrow_uri
+
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "y")], "page_id long, url string, html string")
+    for k, folder in enumerate((f"{tmp_path}/a", f"file:{tmp_path}/b", f"file://{tmp_path}/c")):
+        manifest = W.write(df, folder)
+        assert W.read(manifest, folder).count() == 3 and (tmp_path / "abc"[k]).is_dir()
+    assert arrow_uri(spark, "s3a://bucket/a/b") == "s3://bucket/a/b" and arrow_uri(spark, "hdfs://host:8020/x") == "hdfs://host:8020/x"
+    with pytest.raises(ValueError, match="no file system"):
+        arrow_uri(spark, "ftp://host/x")
+
+
+def test_folder_is_removed(spark):
+    from pathlib import Path
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("warc-*"))
+    assert W.round_trip(spark.createDataFrame(pages(), "page_id long, url string, html string")).count() == 200
+    assert set(shared.glob("warc-*")) == before
+
+
+def test_groups_beyond_the_broadcast_bound(spark, tmp_path):
+    rows = pages() + [(None, None, "lone ids"), (None, "u", "lone ids")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    manifest = W.write(df, str(tmp_path), most_broadcast=3)
+    got = W.read(manifest, str(tmp_path)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted((tuple(r) for r in got), key=str) == expect(rows)
+
+
+def test_sql_agrees_on_repeated_ids(spark):
+    import duckdb
+
+    rows = [(1, "b", "x"), (1, "a", "x"), (1, "a", "x"), (2, None, "x"), (2, None, "z"), (2, "q", "z"), (None, "u", "n"), (None, None, "n"), (None, "k", "z"), (5, "k", None), (6, "k", "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    con = duckdb.connect()
+    con.sql("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", rows)
+    want = con.sql(W.REPORT_SQL)
+    got = [tuple(r) for r in W.report(df).select(*want.columns).collect()]
+    assert sorted(got, key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_ids_that_are_no_numbers(spark):
+    with pytest.raises(ValueError, match="whole numbers"):
+        W.report(spark.createDataFrame([("a", "u", "x")], "page_id string, url string, html string"))
+
+
+def test_bloom_filter_lets_members_through(spark):
+    import numpy as np
+
+    from lagoon.llm.common import bloom
+
+    members = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    may = bloom(members, 5000)
+    inside = np.array([r.h for r in members.collect()])
+    outside = np.array([r.h for r in spark.range(10**6, 10**6 + 20000).select(F.xxhash64("id").alias("h")).collect()])
+    assert may(inside).all() and may(outside).mean() < 0.02
+    assert not bloom(members.limit(0), 0)(inside).any()
