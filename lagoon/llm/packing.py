@@ -6,11 +6,13 @@ first piece taking what is over. Packing depends on piece lengths alone, and the
 the driver, whose input and output have a size that does not depend on the number of documents. Around
 the largest remaining piece it enumerates fillings that no other filling dominates (a filling
 dominates another whose pieces fit into bins of the first one's piece lengths), best fit first, and
-applies each as often as the counts allow, or less often (see ``plan``). Waste bounds prune: a branch
-whose waste cannot leave room below the incumbent's sequences is cut. Best-fit decreasing is the first
-incumbent; the search stops at once where it meets the bound ceil(tokens / capacity), else after
-``NODES`` nodes depth first and as many by limited discrepancy. What a node enumerates is bounded too:
-``FILLINGS`` fillings of at most 400 looked at, six next pieces a level.
+branches on how often each is used. Waste bounds prune: fillings that waste more than the target leaves
+over are not enumerated, nor sums that the remaining pieces cannot make. Best-fit decreasing is the
+first incumbent; the search stops where it meets the bound.
+
+The search is exact within its budgets: ``EFFORT`` pieces tried in one search, ``FILLINGS`` fillings
+kept at a node, ``STEPS`` pieces tried for them; fillings of more than six pieces are not compared for
+dominance, which only keeps more. ``plan`` tells whether its result is proven to be the fewest.
 
 The plan is a list of patterns. Pieces are ranked within their length by a salted running count, so a
 length that a third of all pieces share is not ranked in one task; (length, rank) gives sequence and
@@ -22,7 +24,9 @@ by ranks, which is several times as fast; the first text of every batch is encod
 agree. Texts with other characters or a special token's string are encoded by the tokenizer itself.
 
 Defined cases: null and empty texts are the end id alone; repeated rows are packed each; a null id
-stays null; an empty table gives no rows. Long texts are tokenised in runs of bounded length.
+stays null; an empty table gives no rows. Texts above 400,000 characters are tokenised in runs, cut where a
+pre-token ends for certain (before white space between other characters, or before punctuation after a
+letter); a text without such a place is encoded whole.
 """
 
 from __future__ import annotations
@@ -31,7 +35,6 @@ import json
 import os
 import re
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +46,17 @@ from lagoon.llm.common import cut, lean, width
 
 CAPACITY = 1024
 END_ID = 2
-NODES = 4000
-FILLINGS = 12
+#: budgets of the search: pieces tried in all, fillings kept at a node, pieces tried for them
+EFFORT = 300_000
+FILLINGS = 24
+STEPS = 300
 
 # The pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WORDS = regex.compile(PATTERN)
 _EXOTIC = re.compile("[^\t-\r -~¡-ɏ‐-‧‰-⁞₠-₰]")
 _RUN = 100_000
-_KEPT = 150_000
+#: places where one pre-token ends and the next begins in any reading of the pattern
+_SAFE = regex.compile(r"(?<=[!-~¡-ɏ一-龥ぁ-ゖァ-ヺ가-힣Ѐ-ӿ])(?=[ \n][!-~¡-ɏ一-龥ぁ-ゖァ-ヺ가-힣Ѐ-ӿ])|(?<=[A-Za-z一-龥ぁ-ゖァ-ヺ가-힣])(?=[.,;:!?。，、！？：；])")
 
 
 def _byte_symbols() -> dict[str, int]:
@@ -72,15 +77,20 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.ranks = self._by_ranks(json.loads(self.tokenizer.to_str()))
-        self.cache: dict[str, bytes] = {}
+        spec = json.loads(self.tokenizer.to_str())
+        self.runs = self._byte_level(spec)
+        self.ranks = self._by_ranks(spec) if self.runs else None
+
+    @staticmethod
+    def _byte_level(spec: dict) -> bool:
+        """Whether texts are split by ``PATTERN`` and nothing else is done to them before."""
+        pre = spec["pre_tokenizer"]
+        return not spec["normalizer"] and bool(pre) and pre["type"] == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
 
     def _by_ranks(self, spec: dict):
         """An encoder by ranks with the same ids; None where the file is not plain byte-level BPE whose
         ids rise in the order of its merges."""
-        pre, model = spec["pre_tokenizer"], spec["model"]
-        if spec["normalizer"] or not pre or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
-            return None
+        model = spec["model"]
         if model["type"] != "BPE" or any(model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
             return None
         symbols, special = _byte_symbols(), set(self.special)
@@ -107,24 +117,19 @@ class Encoder:
         if self.encode(text) != self.whole(text):
             raise RuntimeError("ids by ranks differ from the tokenizer's")
 
-    def _join(self, words: list[str]) -> bytes:
-        cache = self.cache
-        new = list({w for w in words if w not in cache})
-        if len(cache) + len(new) > _KEPT:
-            cache.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([cache[w] for w in words])
-
     def encode(self, text: str) -> bytes:
+        if self.runs and len(text) > 4 * _RUN:
+            at, out = 0, []
+            while place := _SAFE.search(text, at + _RUN):
+                out.append(self.encode_run(text[at : place.start()]))
+                at = place.start()
+            return b"".join([*out, self.encode_run(text[at:])])
+        return self.encode_run(text)
+
+    def encode_run(self, text: str) -> bytes:
         if self.ranks is None or _EXOTIC.search(text) or any(s in text for s in self.special):
             return self.whole(text)
-        if len(text) <= 4 * _RUN:
-            return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-        # a long text in runs of pre-tokens
-        found = (m[0] for m in _WORDS.finditer(text))
-        return b"".join(iter(lambda: self._join(list(islice(found, _RUN))), b""))
+        return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
 
 
 def cut_pieces(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -181,57 +186,101 @@ def _fits(small: tuple[int, ...], into: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, most: int = FILLINGS, steps: int = 400) -> list[tuple[int, ...]]:
-    """Undominated multisets of the available ``sizes`` (descending) of sum at most ``room``, best fit
-    first. An exact single piece dominates all else. At most ``steps`` multisets are looked at, larger
-    pieces first; each is maximal."""
-    if room in counts and counts[room] > 0:
-        return [(room,)]
-    usable = [s for s in sizes if s <= room]
+def _reaches(sizes: list[int], counts: dict[int, int], room: int) -> list[int]:
+    """For each place in ``sizes`` the sums up to ``room`` that the pieces from there on make, as bits."""
+    full = (1 << (room + 1)) - 1
+    out, r = [], 1
+    for s in reversed(sizes):
+        left, step = min(counts[s], room // s), 1
+        while left > 0:
+            take = min(step, left)
+            r |= (r << (take * s)) & full
+            left -= take
+            step *= 2
+        out.append(r)
+    return out[::-1]
+
+
+def fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int | None = None, most: int = FILLINGS, steps: int = STEPS, few: bool = True) -> tuple[list[tuple[int, ...]], bool, int]:
+    """Undominated multisets of the available ``sizes`` (descending) that leave at most ``waste`` of
+    ``room``, best fit first; whether those are all of them; and the work done. Of equal fits the fewest
+    pieces come first, or else (not ``few``) the largest.
+
+    Only maximal multisets count, an exact single piece dominates all else, and sums that the pieces
+    cannot make are never tried. The budgets: ``steps`` pieces tried, ``most`` multisets handed back;
+    the second result is False where either cut something off.
+    """
+    if counts.get(room, 0) > 0:
+        return [(room,)], True, 1
+    usable = [s for s in sizes if s <= room and counts[s] > 0]
+    slack = room if waste is None else min(room, waste)
     if not usable:
-        return [()]
+        return ([()] if slack >= room else []), True, 1
+    reach = _reaches(usable, counts, room)
     found: list[tuple[int, ...]] = []
-    left = steps
-    small = usable[-1]
-
-    def grow(at: int, space: int, taken: list[int]) -> None:
-        nonlocal left
-        if left <= 0:
-            return
-        extended = False
-        # the piece that fits exactly, else from the largest that fits down
-        order = range(at, len(usable))
-        if space in counts and counts[space] > taken.count(space) and (not taken or space <= taken[-1]):
-            left -= 1
-            found.append((*taken, space))
+    left, whole = steps, True
+
+    def grow(at: int, space: int, over: int, taken: list[int]) -> None:
+        """Adds what leaves exactly ``over``; ``taken`` is descending."""
+        nonlocal left, whole
+        if space == over:
+            for s in reversed(usable):
+                if s > over:
+                    break
+                if counts[s] > taken.count(s):
+                    return  # something still fits
+            found.append(tuple(taken))
             return
-        width = 0
-        for k in order:
+        for k in range(at, len(usable)):
             s = usable[k]
-            if s > space or counts[s] <= taken.count(s):
+            if not reach[k] >> (space - over) & 1:
+                return  # nor do the pieces after it make this sum
+            if s > space - over or counts[s] <= taken.count(s):
                 continue
-            extended = True
+            left -= 1
+            if left <= 0:
+                whole = False
+                return
             taken.append(s)
-            grow(k, space - s, taken)
+            grow(k, space - s, over, taken)
             taken.pop()
-            width += 1
-            if left <= 0 or width >= 6:
-                break
-        if not extended:
-            left -= 1
-            # maximal only if no piece at all fits any more
-            if small > space or not any(s <= space and counts[s] > taken.count(s) for s in usable):
-                found.append(tuple(taken))
 
-    grow(0, room, [])
-    found = sorted(set(found), key=lambda f: (room - sum(f), len(f), [-x for x in f])) or [(usable[0],)]
+    for over in range(slack + 1):
+        if reach[0] >> (room - over) & 1:
+            grow(0, room, over, [])
+        if not whole or len(found) > 8 * most:
+            whole = whole and over == slack
+            break
+    if not found:  # the budget ended before a multiset was whole: the best fit piece by piece
+        one, space = [], room
+        for s in usable:
+            n = min(counts[s], space // s)
+            one += [s] * n
+            space -= n * s
+        found = [tuple(one)] if space <= slack else []
+    found.sort(key=lambda f: (room - sum(f), len(f) if few else 0, [-x for x in f]))
     kept: list[tuple[int, ...]] = []
     for f in found:
         if len(kept) >= most:
+            whole = False
             break
         if not any(len(f) <= 6 and len(k) <= 6 and _fits(f, k) for k in kept):
             kept.append(f)
-    return kept
+    return kept, whole, len(usable) + steps - left
+
+
+def least(counts: dict[int, int], capacity: int = CAPACITY) -> int:
+    """A lower bound of sequences: pieces above ``capacity - a`` have one of their own, those above half
+    one each, and what these leave must take the pieces from ``a`` on; the best over all ``a``."""
+    sizes = sorted(s for s, n in counts.items() if n > 0)
+    best = -(-sum(s * counts[s] for s in sizes) // capacity)
+    for a in {1} | {s for s in sizes if 2 * s <= capacity}:
+        alone = sum(counts[s] for s in sizes if s > capacity - a)
+        half = [s for s in sizes if 2 * s > capacity and s <= capacity - a]
+        many = sum(counts[s] for s in half)
+        over = sum(s * counts[s] for s in sizes if a <= s and 2 * s <= capacity) - (many * capacity - sum(s * counts[s] for s in half))
+        best = max(best, alone + many + max(0, -(-over // capacity)))
+    return best
 
 
 def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -275,82 +324,135 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tup
     return [(p, m) for at in rooms.values() for p, m in at.items()]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """(patterns with how often each is used, proven lower bound of sequences).
+class Search:
+    """Branch and bound over bin completions for a histogram of pieces.
 
-    Best-fit decreasing is the first incumbent. Two searches of at most ``nodes`` nodes each better it:
-    depth first over fillings used as often as counts allow, which changes the tail of the descent by
-    best fit (made whole in any case); then descents that leave the best fit at no more than 1, 2, ...
-    nodes, at the largest pieces first, with fillings also used half as often and once.
+    A node completes a bin around the largest piece left. Its branches are the fillings that waste no
+    more than the target leaves over, each used as often as the counts allow, half as often and once;
+    since a filling used once is always among them, every packing of undominated bins is on some path.
+    States that failed are remembered. ``effort`` bounds the work (pieces tried) of one ``reach``.
     """
-    counts = {int(s): int(n) for s, n in counts.items() if n > 0}
-    total = sum(s * n for s, n in counts.items())
-    large = sum(n for s, n in counts.items() if 2 * s > capacity)
-    bound = max(-(-total // capacity), large)
-    best = best_fit(counts, capacity)
-    best_bins = sum(m for _, m in best)
-    sizes = sorted(counts, reverse=True)
-    path: list[tuple[tuple[int, ...], int]] = []
-    bins = waste = seen = 0
 
-    def move(pattern: tuple[int, ...], m: int) -> None:
-        nonlocal bins, waste
-        for s in pattern:
-            counts[s] -= m
-        bins += m
-        waste += m * (capacity - sum(pattern))
+    def __init__(self, counts: dict[int, int], capacity: int, most: int, steps: int):
+        self.counts, self.capacity, self.most, self.steps = dict(counts), capacity, most, steps
+        self.sizes = sorted(counts, reverse=True)
+        self.few = True
 
-    def undo() -> None:
-        pattern, m = path.pop()
-        move(pattern, -m)
+    def _move(self, pattern: tuple[int, ...], m: int) -> None:
+        for s in pattern:
+            self.counts[s] -= m
+        self.spare -= m * (self.capacity - sum(pattern))
 
-    def choices(alive: list[int], often: bool) -> list[tuple[tuple[int, ...], int]]:
-        top = alive[0]
+    def _branches(self, alive: list[int]) -> list[tuple[tuple[int, ...], int]]:
+        counts, top = self.counts, alive[0]
         counts[top] -= 1
-        patterns = [(top, *f) for f in fillings(alive, counts, capacity - top)]
+        found, whole, work = fillings(alive, counts, self.capacity - top, self.spare, self.most, self.steps, self.few)
         counts[top] += 1
-        most = [(p, min(counts[s] // p.count(s) for s in set(p))) for p in patterns]
-        return most if often else most + [(p, m // 2) for p, m in most if m > 3] + [(p, 1) for p, m in most if m > 1]
-
-    def search(limit: int | None) -> bool:
-        """Depth first (None), or the descents with at most ``limit`` departures; whether any were kept back."""
-        nonlocal best, best_bins, seen
-        frames: list[list[tuple[tuple[int, ...], int, int]]] = []
-        spare, back, first = limit or 0, False, limit is None
-        while best_bins > bound and (seen < nodes or first):
-            alive = [s for s in sizes if counts[s] > 0]
-            if not alive and bins < best_bins:
-                best_bins, best = bins, list(path)
-            if alive and total + waste <= (best_bins - 1) * capacity:
-                seen += 1
-                (pattern, m), *others = choices(alive, limit is None)
-                if limit is None:
-                    frames.append([(pattern, m, 0), *((*o, 0) for o in others)])
-                else:
-                    back |= bool(others) and not spare
-                    frames.append([(*o, spare - 1) for o in others if spare] + [(pattern, m, spare)])
-            else:
-                first = False
-                while frames and not frames[-1]:
-                    frames.pop()
-                    if path:
-                        undo()
-                if not frames:
+        self.whole &= whole
+        self.used += work
+        often = []
+        for f in found:
+            p = (top, *f)
+            m = min(counts[s] // p.count(s) for s in set(p))
+            waste = self.capacity - sum(p)
+            often.append((p, m if not waste else min(m, self.spare // waste)))
+        return often + [(p, m // 2) for p, m in often if m > 3] + [(p, 1) for p, m in often if m > 1]
+
+    def reach(self, target: int, effort: int, departures: int | None) -> tuple[list[tuple[tuple[int, ...], int]] | None, bool]:
+        """(a packing into ``target`` bins at most or None, whether all of the tree was seen).
+
+        ``departures``: how often a path may leave a node's first branch; None sets no limit.
+        """
+        counts, path = self.counts, []
+        self.spare = target * self.capacity - sum(s * n for s, n in counts.items())  # waste the target allows
+        self.whole, self.used = True, 0
+        if self.spare < 0:
+            return None, True
+        left = 1 << 30 if departures is None else departures
+        failed: dict[tuple, int] = {}
+        frames: list[tuple[list, list]] = []  # a node's branches to come, and the one that is applied
+        result = None
+        while True:
+            alive = [s for s in self.sizes if counts[s] > 0]
+            if not alive:
+                result = list(path)
+                break
+            if self.used >= effort and departures != 0:  # one descent is as long as the histogram
+                self.whole = False
+                break
+            key = (self.spare, *[(s, counts[s]) for s in alive]) if len(alive) <= 200 else None
+            branches = []
+            if key is None or failed.get(key, -1) < left:
+                branches = self._branches(alive)
+                if not left and len(branches) > 1:
+                    self.whole, branches = False, branches[:1]
+                if key is not None:
+                    failed[key] = left  # so it will have, once its branches are spent
+            frames.append(([(*b, left - bool(i)) for i, b in enumerate(branches)], []))
+            while frames:
+                todo, applied = frames[-1]
+                if applied:
+                    self._move(*path.pop()[:1], -applied.pop())
+                if todo:
+                    pattern, m, left = todo.pop(0)
+                    self._move(pattern, m)
+                    path.append((pattern, m))
+                    applied.append(m)
                     break
-                if len(path) >= len(frames):
-                    undo()
-            pattern, m, spare = frames[-1].pop(0)
-            move(pattern, m)
-            path.append((pattern, m))
-        while path:
-            undo()
-        return back
-
-    search(None)
-    seen, limit = 0, 1
-    while best_bins > bound and seen < nodes and search(limit):
-        limit += 1
-    return best, bound
+                frames.pop()
+            if not frames:
+                break
+        for pattern, m in path:
+            self._move(pattern, -m)
+        return result, result is None and self.whole
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, effort: int = EFFORT, most: int = FILLINGS, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], int, bool]:
+    """(patterns with how often each is used, proven lower bound of sequences, whether it is proven that
+    no packing has fewer).
+
+    Best-fit decreasing is the first incumbent; descents by best-fitting fillings, of few pieces or of the
+    largest, better it. Then
+    a packing at the lower bound is searched for, by few departures from the best fit and without a
+    limit; a search that sees all of its tree in vain raises the bound by one. Where ``effort`` runs out,
+    as much again goes into packings of a bin less than the incumbent.
+    """
+    counts = {int(s): int(n) for s, n in counts.items() if n > 0}
+    best = best_fit(counts, capacity)
+    bins = sum(m for _, m in best)
+    bound = least(counts, capacity)
+    search = Search(counts, capacity, most, steps)
+
+    def ask(target: int, effort: int):
+        for departures, share, few in ((1, 4, True), (1, 4, False), (2, 4, True), (None, 1, False)):
+            search.few = few
+            got, none = search.reach(target, effort // share, departures)
+            if got is not None or none:
+                return got, none
+        return None, False
+
+    for few in (True, False):
+        search.few = few
+        while bound < bins:
+            got, _ = search.reach(bins - 1, 0, 0)
+            if got is None:
+                break
+            best, bins = got, sum(m for _, m in got)
+    while bound < bins:
+        got, none = ask(bound, effort)
+        if got is not None:
+            best, bins = got, bound
+        elif none:
+            bound += 1
+        else:
+            break
+    while bound < bins - 1:
+        got, none = ask(bins - 1, effort // 2)
+        if got is None:
+            bound = bins if none else bound
+            break
+        best, bins = got, sum(m for _, m in got)
+    return best, bound, bound == bins
 
 
 class Assigner:
@@ -388,11 +490,12 @@ def pack(
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     schema = f"id {kind}, piece int, start long, length long, crc long" + (", ids binary" if with_ids else "")
     pieces = cut(base.mapInArrow(lean(_tokenise(tokenizer_path, capacity, end_id, with_ids)), schema))
-    salts = max(1, min(4096, 4 * width(docs.sparkSession)))
+    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
+    # a length is ranked in as many parts as its rows need, a million each at most on average
+    salts = max(4 * width(docs.sparkSession), -(-max(counts.values(), default=0) // 1_000_000))
     pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "crc"), F.lit(salts)).cast("int"))
     tally = cut(pieces.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    counts = {r.length: r.n for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
-    patterns, _ = plan(counts, capacity)
+    patterns, _, _ = plan(counts, capacity)
     assign = Assigner(patterns)
     before = tally.select(
         F.col("length").alias("_l"), F.col("salt").alias("_s"),
