@@ -21,6 +21,23 @@ def fast_length(n: int) -> int:
     return best
 
 
+def transformed(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spectrum of ``x`` with zeros to ``size``, and its norm."""
+    return np.fft.rfft(x, size), np.linalg.norm(x, axis=-1)
+
+
+def correlate_spectra(a: tuple, b: tuple, n: int, size: int, normalize: bool = False, clip: tuple[int, int] | None = None) -> np.ndarray:
+    """``correlate`` of series of ``n`` samples that ``transformed`` has prepared; lags of ``clip`` only."""
+    r = np.fft.irfft(a[0] * np.conj(b[0]), size)
+    low, high = (1 - n, n - 1) if clip is None else (max(1 - n, clip[0]), min(n - 1, clip[1]))
+    out = np.concatenate([r[..., size + low : size + min(high, -1) + 1], r[..., : max(high + 1, 0)]], axis=-1) if low < 0 else r[..., low : high + 1]
+    if normalize:
+        scale = a[1] * b[1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = out / np.where(scale > 0, scale, np.nan)[..., None]
+    return out
+
+
 def correlate(x: np.ndarray, y: np.ndarray, normalize: bool = False) -> np.ndarray:
     """R[k] = sum_m x[m + k] y[m] for k = -(n - 1) .. n - 1; zero lag at index n - 1.
 
@@ -28,13 +45,7 @@ def correlate(x: np.ndarray, y: np.ndarray, normalize: bool = False) -> np.ndarr
     """
     n = x.shape[-1]
     size = fast_length(2 * n - 1)
-    r = np.fft.irfft(np.fft.rfft(x, size) * np.conj(np.fft.rfft(y, size)), size)
-    out = np.concatenate([r[..., size - n + 1 :], r[..., :n]], axis=-1) if n > 1 else r[..., :1]
-    if normalize:
-        scale = np.linalg.norm(x, axis=-1) * np.linalg.norm(y, axis=-1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            out = out / np.where(scale > 0, scale, np.nan)[..., None]
-    return out
+    return correlate_spectra(transformed(x, size), transformed(y, size), n, size, normalize)
 
 
 def correlate2d(x: np.ndarray, y: np.ndarray, normalize: bool = True) -> np.ndarray:

@@ -6,6 +6,8 @@ element n - 1 and a positive lag means that the first series is delayed.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,6 +69,65 @@ def cc(x: Column, y: Column, normalize: bool = False) -> Column:
     return binary(lambda a, b: fourier.correlate(a, b, normalize), x, y)
 
 
+def _cell_batches(n: int, clip: tuple[int, int] | None, normalize: bool):
+    """Correlations of a cell's pairs; rows come by cell, its windows before its pairs."""
+    size = fourier.fast_length(2 * n - 1)
+
+    def run(batches):
+        cell, held = None, {}
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            kind = batch.column(1).to_pylist()
+            who, other = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            rows, out, both = [], [], []
+            for i, key in enumerate(keys):
+                if key != cell:
+                    cell, held = key, {}
+                if kind[i] == 0:
+                    held[who[i]] = fourier.transformed(batch.column(4)[i].values.to_numpy(zero_copy_only=False), size)
+                    continue
+                a, b = held.get(who[i]), held.get(other[i])
+                rows.append(i)
+                both.append(a is not None and b is not None)
+                cc = fourier.correlate_spectra(a, b, n, size, normalize, clip) if both[-1] else None
+                out.append(None if cc is None or np.isnan(cc).all() else cc)
+                if sum(len(x) for x in out if x is not None) > 1 << 23:
+                    yield _cells_out(batch, rows, out, both)
+                    rows, out, both = [], [], []
+            if rows:
+                yield _cells_out(batch, rows, out, both)
+
+    return run
+
+
+def _cells_out(batch, rows, out, both):
+    back = batch.column(5).take(pa.array(rows, pa.int64()))
+    return pa.RecordBatch.from_arrays([*back.flatten(), pa.array(out, pa.list_(pa.float64())), pa.array(both)], names=[*[f.name for f in back.type], "cc", "_both"])
+
+
+def process_cells(plan: DataFrame, ready: DataFrame, receiver: str, window: int, clip: tuple[int, int] | None, normalize: bool, parts: int) -> DataFrame:
+    """The plan's rows with ``cc`` (NULL where a window is missing or has no energy) and ``_both``.
+
+    ``ready``: complete windows (receiver, start, x). A cell is a window start and two parts of the
+    receivers; its rows are sorted so that windows come first, and are streamed.
+    """
+    part = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int")
+    cell = lambda a, b: F.struct(F.col("start").cast("long").alias("s"), F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    schema = plan.schema
+    none = F.lit(None).cast("array<double>")
+    row = F.struct(*plan.columns)
+    pairs = plan.select(cell(part("rx_a"), part("rx_b")).alias("cell"), F.lit(1).alias("kind"), F.col("rx_a").alias("who"), F.col("rx_b").alias("other"), none.alias("x"), row.alias("row"))
+    own = part(receiver)
+    wins = ready.select(receiver, "start", "x", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_o")) if parts > 1 else ready.withColumn("_o", F.lit(0))
+    wins = wins.select(
+        cell(own, F.col("_o")).alias("cell"), F.lit(0).alias("kind"), F.col(receiver).alias("who"), F.lit(None).cast("string").alias("other"),
+        F.col("x").cast("array<double>").alias("x"), F.lit(None).cast(schema).alias("row"),
+    )
+    rows = wins.union(pairs).repartition("cell").sortWithinPartitions("cell", "kind")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return rows.mapInArrow(_cell_batches(window, clip, normalize), f"{kinds}, cc array<double>, _both boolean")
+
+
 def cc_long(grid: DataFrame, receiver: str, step: str, value: str, max_lag: int) -> DataFrame:
     """Correlation at |lag| <= max_lag in plain SQL, on the long view: for few lags.
 

@@ -27,7 +27,7 @@ def run(
         n = status.select(receiver).distinct().count()
         ready = waveforms.gating(plan.select(day.alias("time")).distinct(), status, "day", receiver, n, reach, reach + window // day_steps)
         plan = plan.join(ready.select(F.col("time").alias("_d")), day == F.col("_d"), "left_semi")
-    stamp = F.timestamp_add("MICROSECOND", (F.col("time") * step_seconds * 1e6).cast("long"), F.expr(f"timestamp_ntz'{origin}'"))
+    stamp = waveforms.after(F.expr(f"timestamp_ntz'{origin}'"), F.col("time") * step_seconds)
     todo = plan.withColumn("stamp", stamp)
     planned = todo.count()
     if store.exists(spark, path):

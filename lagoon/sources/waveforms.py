@@ -12,23 +12,32 @@ from lagoon.functions import arrays as A
 from lagoon.functions import times
 
 
+def after(start: Column, seconds: Column) -> Column:
+    """``start`` plus seconds, to the nearest microsecond."""
+    return F.timestamp_add("MICROSECOND", F.round(seconds * F.lit(1e6)).cast("long"), start)
+
+
+def _samples(seconds: Column, delta: Column) -> Column:
+    """Seconds in samples, without what rounding of times to microseconds adds to whole numbers."""
+    return F.round(seconds / delta, 3)
+
+
 def end_time(start: Column, delta: Column, npts: Column) -> Column:
     """Time of the last sample."""
-    return F.timestamp_add("MICROSECOND", ((npts - 1) * delta * F.lit(1e6)).cast("long"), start)
+    return after(start, (npts - 1) * delta)
 
 
 def get_waveforms(traces: DataFrame, receiver: str, start: Column, stop: Column, buffer: float = 0.0) -> DataFrame:
     """Samples of the traces of ``receiver`` (% is a wildcard) within start .. stop, widened on both
     sides by ``buffer`` times the span."""
     extra = times.seconds(start, stop) * buffer
-    micro = (extra * 1e6).cast("long")
-    lo, hi = F.timestamp_add("MICROSECOND", -micro, start), F.timestamp_add("MICROSECOND", micro, stop)
+    lo, hi = after(start, -extra), after(stop, extra)
     t = traces.withColumn("_end", end_time(F.col("starttime"), F.col("delta"), F.col("npts")))
     t = t.where(F.col("receiver").like(receiver) & (F.col("starttime") <= hi) & (F.col("_end") >= lo))
-    first = F.greatest(F.lit(0), F.ceil(times.seconds(F.col("starttime"), lo) / F.col("delta"))).cast("int")
-    last = F.least(F.col("npts") - 1, F.floor(times.seconds(F.col("starttime"), hi) / F.col("delta"))).cast("int")
+    first = F.greatest(F.lit(0), F.ceil(_samples(times.seconds(F.col("starttime"), lo), F.col("delta")))).cast("int")
+    last = F.least(F.col("npts") - 1, F.floor(_samples(times.seconds(F.col("starttime"), hi), F.col("delta")))).cast("int")
     t = t.withColumn("_a", first).withColumn("_n", last - first + 1).where("_n > 0")
-    moved = F.timestamp_add("MICROSECOND", (F.col("_a") * F.col("delta") * 1e6).cast("long"), F.col("starttime"))
+    moved = after(F.col("starttime"), F.col("_a") * F.col("delta"))
     return t.select("receiver", moved.alias("starttime"), "delta", F.col("_n").alias("npts"), F.slice("data", F.col("_a") + 1, F.col("_n")).alias("data"))
 
 
@@ -47,7 +56,7 @@ def waterfall(sources: list[DataFrame], keys: list[str], complete: Column) -> Da
 def duration(traces: DataFrame) -> DataFrame:
     """Per receiver: npts, start, end, covered seconds (overlaps once), gaps and overlaps."""
     w = Window.partitionBy("receiver").orderBy("starttime", "end")
-    t = traces.select("receiver", "starttime", "delta", "npts", F.timestamp_add("MICROSECOND", (F.col("npts") * F.col("delta") * 1e6).cast("long"), F.col("starttime")).alias("end"))
+    t = traces.select("receiver", "starttime", "delta", "npts", after(F.col("starttime"), F.col("npts") * F.col("delta")).alias("end"))
     t = t.withColumn("_before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     gap = times.seconds(F.col("_before"), F.col("starttime"))
     own = times.seconds(F.greatest(F.col("starttime"), F.coalesce(F.col("_before"), F.col("starttime"))), F.col("end"))
@@ -67,10 +76,10 @@ def slice_days(traces: DataFrame, min_seconds: float = 3600.0) -> DataFrame:
     t = traces.withColumn("_end", end_time(F.col("starttime"), F.col("delta"), F.col("npts")))
     t = t.withColumn("day", F.explode(times.days(F.col("starttime"), F.col("_end"))))
     midnight = F.col("day").cast("timestamp_ntz")
-    a = F.greatest(F.lit(0), F.ceil(times.seconds(F.col("starttime"), midnight) / F.col("delta"))).cast("int")
-    b = F.least(F.col("npts"), F.ceil(times.seconds(F.col("starttime"), F.timestamp_add("DAY", F.lit(1), midnight)) / F.col("delta"))).cast("int")
+    a = F.greatest(F.lit(0), F.ceil(_samples(times.seconds(F.col("starttime"), midnight), F.col("delta")))).cast("int")
+    b = F.least(F.col("npts"), F.ceil(_samples(times.seconds(F.col("starttime"), F.timestamp_add("DAY", F.lit(1), midnight)), F.col("delta")))).cast("int")
     t = t.withColumn("_a", a).withColumn("_n", b - a).where((F.col("_n") > 0) & (F.col("_n") * F.col("delta") >= min_seconds))
-    moved = F.timestamp_add("MICROSECOND", (F.col("_a") * F.col("delta") * 1e6).cast("long"), F.col("starttime"))
+    moved = after(F.col("starttime"), F.col("_a") * F.col("delta"))
     return t.select("receiver", "day", moved.alias("starttime"), "delta", F.col("_n").alias("npts"), F.slice("data", F.col("_a") + 1, F.col("_n")).alias("data"))
 
 
