@@ -49,38 +49,33 @@ def coincidence_trigger(values: DataFrame, element: str, time: str, value: str,
 
     ``time`` is an integer step number. An element is on from thr_on until it falls below thr_off (the
     same where not given). Runs shorter than ``min_steps`` steps go; runs are extended by ``extend``
-    steps, joined where they touch, and numbered from 0 in time. With one threshold all of it is
-    native (counts and islands); hysteresis follows each element's own state, grouped by element.
+    steps, joined where they touch, and numbered from 0 in time. All of it is
+    native: counts and islands, and for two thresholds the last change of an element's state.
     """
     rows = values.where(F.col(value).isNotNull()).select(F.col(element).alias("_e"), F.col(time).alias("_t"), F.col(value).alias("_v"))
     if thr_off is None or thr_off == thr_on:
         on = rows.where(F.col("_v") >= thr_on).select("_e", "_t")
     else:
-        def follow(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("_t")
-            state, last, keep = False, None, []
-            for t, v in zip(frame["_t"], frame["_v"], strict=True):
-                if last is not None and t != last + step:
-                    state = False  # a gap ends a trigger
-                state = v >= thr_off if state else v >= thr_on
-                keep.append(state)
-                last = t
-            return frame.loc[keep, ["_e", "_t"]]
-
-        kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-        on = rows.groupBy("_e").applyInPandas(follow, f"_e {kinds['_e']}, _t {kinds['_t']}")
+        # the state is the last of on (1) and off (0) samples; a gap ends a trigger
+        w = Window.partitionBy("_e").orderBy("_t")
+        gap = F.coalesce(F.col("_t") != F.lag("_t").over(w) + step, F.lit(True))
+        mark = F.when(F.col("_v") >= thr_on, 1).when((F.col("_v") < thr_off) | gap, 0)
+        marked = rows.withColumn("_m", mark).withColumn("_on", F.last("_m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        on = marked.where("_on = 1").select("_e", "_t")
     hits = on.groupBy("_t").agg(F.countDistinct("_e").alias("_n")).where(F.col("_n") >= coincidence)
-    # a run begins where the step before is no hit and ends where the next is none: two anti-joins on
-    # the step; only the runs' ends, not their steps, are then put in one order and numbered
-    t = hits.select("_t")
-    begins = t.join(t.select((F.col("_t") + step).alias("_t")), "_t", "left_anti").select(F.col("_t").alias("a"), F.row_number().over(Window.orderBy("_t")).alias("_g"))
-    stops = t.join(t.select((F.col("_t") - step).alias("_t")), "_t", "left_anti").select(F.col("_t").alias("b"), F.row_number().over(Window.orderBy("_t")).alias("_g"))
-    runs = begins.join(stops, "_g").where(F.col("b") - F.col("a") + step >= min_steps * step)
-    runs = runs.select((F.col("a") - extend * step).alias("a"), (F.col("b") + extend * step).alias("b"))
-    reach = F.max("b").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
-    joined = runs.withColumn("_new", F.when(F.col("a") <= reach + step, 0).otherwise(1))
-    numbered = joined.withColumn("period", F.sum("_new").over(Window.orderBy("a")) - 1)
-    spans = numbered.groupBy("period").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    # a hit tells the steps beside it, so that one shuffle finds where runs begin and end; only these
+    # ends, not the steps between, are then put in one order, in one pass
+    tell = F.explode(F.array(*[F.struct((F.col("_t") + k * step).alias("t"), F.lit(k).alias("k")) for k in (-1, 0, 1)]))
+    told = hits.select(tell.alias("_s")).groupBy(F.col("_s.t").alias("_t")).agg(F.collect_set("_s.k").alias("_k"))
+    has = lambda k: F.array_contains("_k", k)
+    ends = told.where(has(0) & ~(has(1) & has(-1))).select("_t", (~has(1)).alias("_begin"), (~has(-1)).alias("_stop"))
+    order = Window.orderBy("_t")
+    runs = ends.withColumn("_b", F.when(F.col("_stop"), F.col("_t")).otherwise(F.lead("_t").over(order)))
+    runs = runs.where(F.col("_begin") & (F.col("_b") - F.col("_t") + step >= min_steps * step))
+    # runs do not meet, so after each is extended alike only the one before can reach the next
+    touch = F.col("_t") - F.lag("_b").over(order) <= (2 * extend + 1) * step
+    numbered = runs.withColumn("_new", F.when(touch, 0).otherwise(1)).withColumn("period", F.sum("_new").over(order) - 1)
+    spans = numbered.groupBy("period").agg((F.min("_t") - extend * step).alias("a"), (F.max("_b") + extend * step).alias("b"))
     return spans.select(F.explode(F.sequence("a", "b", F.lit(step).cast(dict(spans.dtypes)["a"]))).alias(time), F.col("period").cast("int").alias("period"))
 
 

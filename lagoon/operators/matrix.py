@@ -13,10 +13,10 @@ def tri_mask(a, b, k: int = 0):
 
 def tri_mirror(cells: DataFrame, keys: list[str], i: str, j: str, values: dict[str, bool], k: int = 0) -> DataFrame:
     """Lower-triangle cells kept, the rest filled from their mirror; ``values``: column -> sign turns."""
-    low = cells.where(tri_mask(F.col(i), F.col(j), k))
-    up = low.select(*keys, F.col(j).alias(i), F.col(i).alias(j), *[(-F.col(v) if odd else F.col(v)).alias(v) for v, odd in values.items()])
-    both = low.select(*keys, i, j, *values, F.lit(0).alias("_o")).unionByName(up.where(~tri_mask(F.col(i), F.col(j), k)).withColumn("_o", F.lit(1)))
-    return both.drop("_o")
+    cell = lambda x, y, turn: F.struct(F.col(x).alias(i), F.col(y).alias(j), *[(-F.col(v) if odd and turn else F.col(v)).alias(v) for v, odd in values.items()])
+    # a cell and its mirror come from one row, so that what is upstream is computed once
+    both = F.when(tri_mask(F.col(j), F.col(i), k), F.array(cell(i, j, False))).otherwise(F.array(cell(i, j, False), cell(j, i, True)))
+    return cells.where(tri_mask(F.col(i), F.col(j), k)).select(*keys, F.explode(both).alias("_c")).select(*keys, "_c.*")
 
 
 def norm2d(cells: DataFrame, keys: list[str], value: str) -> DataFrame:

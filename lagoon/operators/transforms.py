@@ -143,9 +143,12 @@ def scaleogram(series: DataFrame, keys: list[str], x: str, delta: float, **optio
     return cwt(series, keys, x, delta, magnitude=True, **options)
 
 
-def lombscargle(long: DataFrame, keys: list[str], t: str, v: str, freqs: list[float], *, nmin: int = 3, normalize: bool = False, rescale: bool = False, precenter: bool = True) -> DataFrame:
+def lombscargle(long: DataFrame, keys: list[str], t: str, v: str, freqs: list[float], *, nmin: int = 3, normalize: bool = False, rescale: bool = False, precenter: bool = True, angular: bool = False, invert: bool = False, more: bool = False) -> DataFrame:
     """Periodogram of unevenly sampled rows (keys, t, v) at ordinary frequencies, native.
 
+    ``angular``: frequencies are in radians; ``invert``: they are periods. ``more`` adds ``share`` (of the
+    sum of squares, as ``normalize``) and ``amplitude`` (as ``rescale``) beside the plain power.
+
     Two passes of conditional sums: the phase offset tau of each frequency, then the projections.
     Frequencies are exploded on the rows, so sums are partial before the shuffle. Fewer than ``nmin``
     valid samples give NULL.
@@ -155,7 +158,8 @@ def lombscargle(long: DataFrame, keys: list[str], t: str, v: str, freqs: list[fl
         centre = rows.groupBy(*keys).agg(F.avg("_v").alias("_m"))
         rows = rows.join(centre, keys).select(*keys, "_t", (F.col("_v") - F.col("_m")).alias("_v"))
     each = rows.select(*keys, "_t", "_v", F.explode(F.array(*[F.lit(float(f)) for f in freqs])).alias("freq"))
-    w = F.lit(2 * np.pi) * F.col("freq")
+    f = 1 / F.col("freq") if invert else F.col("freq")
+    w = f if angular else F.lit(2 * np.pi) * f
     sums = each.groupBy(*keys, "freq").agg(
         *[F.sum(e).alias(n) for n, e in {
             "c": F.cos(w * F.col("_t")) * F.col("_v"), "s": F.sin(w * F.col("_t")) * F.col("_v"),
@@ -170,8 +174,15 @@ def lombscargle(long: DataFrame, keys: list[str], t: str, v: str, freqs: list[fl
     cc = F.col("cc") * ct**2 + 2 * F.col("cs") * ct * st + F.col("ss") * st**2
     ss = F.col("ss") * ct**2 - 2 * F.col("cs") * ct * st + F.col("cc") * st**2
     p = 0.5 * (F.when(cc > 1e-12, yc**2 / cc).otherwise(0.0) + F.when(ss > 1e-12, ys**2 / ss).otherwise(0.0))
+    enough = lambda c: F.when(F.col("n") >= nmin, c)
+    if more:
+        power = sums.select(*keys, "freq", "n", "vv", p.alias("_p"))
+        return power.select(
+            *keys, "freq", enough(F.col("_p")).alias("power"), enough(F.col("_p") * 2 / F.nullif(F.col("vv"), F.lit(0.0))).alias("share"),
+            enough(F.sqrt(4 * F.col("_p") / F.col("n"))).alias("amplitude"),
+        )
     if normalize:
         p = p * 2 / F.nullif(F.col("vv"), F.lit(0.0))
     if rescale:
         p = F.sqrt(4 * p / F.col("n"))
-    return sums.select(*keys, "freq", F.when(F.col("n") >= nmin, p).alias("power"))
+    return sums.select(*keys, "freq", enough(p).alias("power"))

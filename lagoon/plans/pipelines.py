@@ -38,38 +38,52 @@ def plmax(spec: DataFrame, keys: list[str], *, distance: int = 25, threshold_rel
     return detect.peak_local_max(spec, keys, distance=distance, threshold_rel=threshold_rel)
 
 
-def timelapse(spec: DataFrame, pair: str, time: str, bands: list[tuple[float, float]], *, done: DataFrame | None = None) -> DataFrame:
+def timelapse(spec: DataFrame, pair: str, time: str, bands: list[tuple[float, float]], *, done: DataFrame | None = None, chunks: int = 4) -> DataFrame:
     """Peak of the 2-D correlation of spectrograms of every two times of a pair, per frequency band.
 
-    Spectrograms are cut to a band and packed once per (pair, time); times meet in a self-join on
-    (pair, band), lower triangle only, and are mirrored (correlation even, shifts odd). ``done``: rows
-    (pair, band, time1, time2) that exist already and are not computed again.
+    Spectrograms are cut to a band and packed once per (pair, time). A pair's times are dealt into
+    ``chunks``; a task has the spectrograms of two chunks and compares them there, lower triangle only,
+    so a spectrogram is sent ``chunks`` times, not once for every other time. Cells are then mirrored
+    (correlation even, shifts odd). ``done``: rows (pair, band, time1, time2) that exist already and are
+    not computed again.
     """
     marks = F.array(*[F.struct(F.lit(i).alias("band"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for i, (a, b) in enumerate(bands)])
     cut = spec.select(pair, time, "freq", "psd", F.explode(marks).alias("_b")).where("freq >= _b.lo and freq < _b.hi")
     packs = cut.groupBy(pair, time, F.col("_b.band").alias("band")).agg(
         F.count("*").alias("rows"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("freq", "psd"))), lambda p: p["psd"])).alias("m")
     )
-    a = packs.select(pair, "band", F.col(time).alias("time1"), "rows", F.col("m").alias("m1"))
-    b = packs.select(F.col(pair).alias("_p"), F.col("band").alias("_b"), F.col(time).alias("time2"), F.col("rows").alias("_rows"), F.col("m").alias("m2"))
-    j = a.join(b, (F.col(pair) == F.col("_p")) & (F.col("band") == F.col("_b")) & (F.col("rows") == F.col("_rows")) & (F.col("time2") <= F.col("time1")))
-    if done is not None:
-        j = j.join(done.select(pair, "band", "time1", "time2"), [pair, "band", "time1", "time2"], "left_anti")
-
-    def peak(rows: pd.Series, x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    chunk = lambda t: F.pmod(F.xxhash64(t), F.lit(chunks)).cast("int")
+    cell = lambda x, y: [F.least(x, y).alias("_a"), F.greatest(x, y).alias("_b")]
+    sent = packs.select(pair, "band", F.col(time).alias("_t"), "rows", "m", chunk(time).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_o"))
+    sent = sent.select(pair, "band", *cell(F.col("_c"), F.col("_o")), "_t", "_c", "rows", "m")
+
+    def compare(frame: pd.DataFrame, known: set) -> pd.DataFrame:
+        frame = frame.sort_values("_t").reset_index(drop=True)
+        z = [np.asarray(m, float).reshape(r, -1) for m, r in zip(frame["m"], frame["rows"], strict=True)]
         out = []
-        for r, u, v in zip(rows, x, y, strict=True):
-            u, v = np.asarray(u, float).reshape(r, -1), np.asarray(v, float).reshape(r, -1)
-            c = fourier.correlate2d(u[None], v[None])[0]
-            if np.isnan(c).all():
-                out.append((None, None, None))
-                continue
-            i, k = np.unravel_index(np.argmax(c), c.shape)
-            out.append((c[i, k], int(i) - (r - 1), int(k) - (u.shape[1] - 1)))
-        return pd.DataFrame(out, columns=["cc2", "delta_freq", "delta_lag"])
-
-    peak_udf = F.pandas_udf(peak, "cc2 double, delta_freq double, delta_lag double")
-    low = j.withColumn("_r", peak_udf("rows", "m1", "m2")).select(pair, "band", "time1", "time2", "_r.cc2", "_r.delta_freq", "_r.delta_lag")
+        for i in range(len(z)):
+            for k in range(i + 1):
+                # two times meet once: in the cell of their chunks
+                if {frame["_c"][i], frame["_c"][k]} != {frame["_a"][0], frame["_b"][0]} or z[i].shape != z[k].shape or (frame["_t"][i], frame["_t"][k]) in known:
+                    continue
+                c = fourier.correlate2d(z[i][None], z[k][None])[0]
+                at = None if np.isnan(c).all() else np.unravel_index(np.argmax(c), c.shape)
+                peak = (None, None, None) if at is None else (c[at], float(at[0]) - (z[i].shape[0] - 1), float(at[1]) - (z[i].shape[1] - 1))
+                out.append((frame[pair][0], frame["band"][0], frame["_t"][i], frame["_t"][k], *peak))
+        return pd.DataFrame(out, columns=[pair, "band", "time1", "time2", "cc2", "delta_freq", "delta_lag"])
+
+    kind = {f.name: f.dataType.simpleString() for f in spec.schema}
+    schema = f"{pair} {kind[pair]}, band int, time1 {kind[time]}, time2 {kind[time]}, cc2 double, delta_freq double, delta_lag double"
+    keys = [pair, "band", "_a", "_b"]
+    if done is None:
+        low = sent.groupBy(*keys).applyInPandas(lambda frame: compare(frame, set()), schema)
+    else:
+        old = done.select(pair, "band", *cell(chunk("time1"), chunk("time2")), "time1", "time2")
+
+        def rest(frame: pd.DataFrame, have: pd.DataFrame) -> pd.DataFrame:
+            return compare(frame, set(zip(have["time1"], have["time2"], strict=True)))
+
+        low = sent.groupBy(*keys).cogroup(old.groupBy(*keys)).applyInPandas(rest, schema)
     return matrix.tri_mirror(low, [pair, "band"], "time1", "time2", {"cc2": False, "delta_freq": True, "delta_lag": True})
 
 

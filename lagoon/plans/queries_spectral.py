@@ -184,9 +184,7 @@ p AS (SELECT w.receiver, w.f, 0.5 * (pow(sum(v * cos(w.w * (t - tau))), 2) / sum
 SELECT receiver, round(f, 9) AS freq, round(p, 2) AS power, round(sqrt(4 * p / n), 6) AS amplitude, round(2 * p / vv, 8) AS share FROM p""")
 def lombscargle(spark, d):
     c = X.cells(spark, d).select("receiver", F.col("h").cast("double").alias("t"), "v")
-    run = lambda **o: transforms.lombscargle(c, ["receiver"], "t", "v", _FREQS, **o)
-    a, b = run(rescale=True).withColumnRenamed("power", "amplitude"), run(normalize=True).withColumnRenamed("power", "share")
-    j = run().join(a, ["receiver", "freq"]).join(b, ["receiver", "freq"])
+    j = transforms.lombscargle(c, ["receiver"], "t", "v", _FREQS, more=True)
     return j.select("receiver", F.round("freq", 9).alias("freq"), F.round("power", 2).alias("power"), F.round("amplitude", 6).alias("amplitude"), F.round("share", 8).alias("share"))
 
 

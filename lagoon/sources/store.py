@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,12 @@ from pyspark.sql import functions as F
 from lagoon.functions import hashing
 
 
+def _dealt(data: DataFrame, time: str, pair: str) -> DataFrame:
+    """Rows dealt by pair and day: a pair's year, gigabytes of correlations, is written by many tasks, and
+    small days are put together at run time."""
+    return data.withColumn("year", F.year(time)).repartition(F.col("year"), F.col(pair), F.to_date(F.col(time)))
+
+
 def write(data: DataFrame, path: str, metadata: dict, time: str = "time", pair: str = "pair") -> bool:
     """Writes the table by year and pair, and its metadata with their hash; False where no row is done.
 
@@ -18,7 +25,7 @@ def write(data: DataFrame, path: str, metadata: dict, time: str = "time", pair:
     if not data.where("status = 1").limit(1).count():
         return False
     spark = data.sparkSession
-    data.withColumn("year", F.year(time)).repartition("year", pair).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", pair).parquet(f"{path}/xc")
+    _dealt(data, time, pair).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year", pair).parquet(f"{path}/xc")
     meta = metadata | {"sha256_hash_metadata": hashing.hash_object(metadata)}
     spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in sorted(meta.items())], "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return True
@@ -41,7 +48,7 @@ def append(data: DataFrame, path: str, metadata: dict, time: str = "time", pair:
         spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in sorted(meta.items())], "key string, value string").coalesce(1).write.parquet(f"{path}/meta")
     elif not validate(read_metadata(spark, path), digest):
         raise ValueError("the stored table has other metadata")
-    data.withColumn("year", F.year(time)).repartition("year", pair).write.mode("append").partitionBy("year", pair).parquet(f"{path}/xc")
+    _dealt(data, time, pair).write.mode("append").partitionBy("year", pair).parquet(f"{path}/xc")
 
 
 def read_metadata(spark: SparkSession, path: str) -> dict:
@@ -59,20 +66,36 @@ def read(spark: SparkSession, path: str, extract: bool = False, **checks) -> Dat
     if not validate(read_metadata(spark, path), **checks):
         return None
     data = spark.read.parquet(f"{path}/xc")
-    return data.withColumn("cc", F.when(F.col("status") == 1, F.col("cc"))) if extract else data
+    return _masked(data) if extract else data
+
+
+def _masked(data: DataFrame) -> DataFrame:
+    return data.withColumn("cc", F.when(F.col("status") == 1, F.col("cc")))
 
 
 def mfread(spark: SparkSession, paths: list[str], extract: bool = False) -> DataFrame | None:
-    """Valid tables whose metadata equal the first valid one's, united."""
-    found, template = None, None
+    """Valid tables whose metadata equal the first valid one's, united.
+
+    All metadata are read in one job; tables get the first one's schema, so none is opened to infer it.
+    """
+    if not paths:
+        return None
+    folder = F.regexp_extract(F.input_file_name(), "([^/]+)/meta/[^/]*$", 1)
+    by_folder: dict[str, dict] = {}
+    if len({p.rstrip("/").rsplit("/", 1)[-1] for p in paths}) == len(paths):
+        # a few attributes of each table
+        for r in spark.read.parquet(*[f"{p.rstrip('/')}/meta" for p in paths]).select(folder.alias("folder"), "key", "value").collect():
+            by_folder.setdefault(unquote(r.folder), {})[r.key] = json.loads(r.value)
+    found, template, schema = None, None, None
     for p in sorted(paths):
-        meta = read_metadata(spark, p)
+        meta = by_folder.get(p.rstrip("/").rsplit("/", 1)[-1]) or read_metadata(spark, p)
         if not validate(meta, template):
             continue
         template = template or meta["sha256_hash_metadata"]
-        data = read(spark, p, extract)
-        found = data if found is None else found.unionByName(data, allowMissingColumns=True)
-    return None if found is None else merge([found])
+        data = (spark.read.schema(schema) if schema else spark.read).parquet(f"{p}/xc")
+        schema = schema or data.schema
+        found = data if found is None else found.unionByName(data)
+    return None if found is None else merge([_masked(found) if extract else found])
 
 
 def validate_list(files: DataFrame, path: str = "path", digest: str = "hash", ok: str = "valid") -> DataFrame:
