@@ -13,11 +13,14 @@ Stages, none of which holds more than a bounded group in one task or emits all p
 2. Copies: documents of equal sets become one class (partial aggregation, so hot copies are cheap).
 3. Tables: rows are dealt by A_i. Within a group, B_j makes the table keys; members whose bytes agree
    in at least the share that a link would (less five standard deviations) are joined, and a
-   spanning forest leaves the task. Groups above ``block`` members are first dealt into all pairs of
-   chunks, so no pair is lost and no task holds more than two chunks.
-4. Families: connected components of these. Only their members' full sets are shipped.
-5. Verify: exact intersections within a family, in chunk pairs where a family is large; a spanning
-   forest of confirmed links leaves the task.
+   spanning forest leaves the task. In groups above ``block`` members each member is first compared with
+   the group's smallest, wherever it lies; only members that do not agree with it are then compared with
+   all others, dealt into cells of two chunks, so no pair is lost and no task holds more than two chunks.
+4. Families: connected components of these. Only their members' full sets are made and shipped: a
+   filter of their ids, of bounded size, leaves other texts where they are read.
+5. Verify: exact intersections within a family, in large ones again with the smallest member first and
+   then what is not linked with it against all; a spanning forest of confirmed links leaves the task.
+   Work in a group is thus linear in members that are like its smallest, quadratic only in the others.
 6. Components of confirmed links; copies join their class.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing, not even with
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
-from lagoon.llm.common import components, cut, fresh, lean, width
+from lagoon.llm.common import bloom, components, cut, fresh, lean, width
 
 U64 = np.uint64
 MEETING = 0.99997
@@ -111,7 +114,9 @@ def _sketch_batches(size: int, halves: int, rows: int):
     return run
 
 
-def _explode_halves(halves: int):
+def _explode_halves(halves: int, may=None, wanted: bool = True):
+    """A row for each A_i; with ``may``, only those whose group it lets through, or (not ``wanted``) does not."""
+
     def run(batches):
         for batch in batches:
             n = batch.num_rows
@@ -121,10 +126,12 @@ def _explode_halves(halves: int):
             low = (K.mix(keys[:, halves:], 31) & U64(2**32 - 1)).astype(np.uint32)
             tails = pa.array([x.tobytes() for x in low], pa.binary())
             for i in range(halves):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(K.mix(keys[:, i], 41 + i).view(np.int64)), batch.column(0), batch.column(1), tails, batch.column(3)],
-                    names=["g", "id", "n", "tails", "marks"],
-                )
+                g = K.mix(keys[:, i], 41 + i).view(np.int64)
+                out = pa.RecordBatch.from_arrays([pa.array(g), batch.column(0), batch.column(1), tails, batch.column(3)], names=["g", "id", "n", "tails", "marks"])
+                if may is not None:
+                    out = out.filter(pa.array(may(g) == wanted))
+                if out.num_rows:
+                    yield out
 
     return run
 
@@ -180,13 +187,18 @@ def groups(batches, key: int):
         yield pa.Table.from_batches(held)
 
 
+def _least(values: int, similarity: float) -> int:
+    """MinHash bytes of a link that agree at least, short of five standard deviations."""
+    return int(values * similarity - 5 * math.sqrt(values * similarity * (1 - similarity)))
+
+
 def _agree(marks: np.ndarray, tails: np.ndarray, n: np.ndarray, similarity: float, side: np.ndarray | None) -> Forest:
     """Joins members that share a table key and whose MinHash bytes agree often enough.
 
-    ``side``: in a chunk pair of different chunks, links within a chunk are left to its own task.
+    ``side``: only rows of different sides are compared.
     """
     m, values = marks.shape
-    least = int(values * similarity - 5 * math.sqrt(values * similarity * (1 - similarity)))
+    least = _least(values, similarity)
     forest = Forest(m)
     for x in range(m - 1):
         rest = np.arange(x + 1, m)
@@ -226,35 +238,94 @@ def _table_batches(similarity: float):
     return run
 
 
-def chunked(df: DataFrame, key: str, id_col: str, sizes: DataFrame) -> DataFrame:
-    """``df`` with groups of ``sizes(key, chunks)``, chunks > 1, dealt into all pairs of chunks.
+def _small(df: DataFrame, most: int = 20_000) -> DataFrame:
+    """``df`` marked for broadcast if it has few rows (counted)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def starred(hot: DataFrame, key: str, rows: list[str], test, salts: int = 16) -> DataFrame:
+    """``hot`` (groups by ``key``, with a number ``id``) with ``lead``, the smallest id of the group, and
+    ``agrees``: whether the row passes ``test`` against the smallest.
 
-    Adds ``cell`` (the pair's key) and ``side`` (the row's chunk). A row of such a group appears once
-    for each pair that its chunk is in, so every two rows of the group meet in at least one cell.
+    ``test``: a ``mapInArrow`` function that gets key, id, ``rows``, lead and ``rows`` of the leader, and
+    returns key, id, ``rows``, lead, agrees. A group's leader is one row, found by partial aggregation; it
+    is broadcast, or sent to ``salts`` parts of its group where there are very many groups.
     """
-    big = sizes.where("chunks > 1").select(F.col(key).alias("_k"), "chunks")
-    j = df.join(big, F.col(key) == F.col("_k"), "left").drop("_k")
-    c = F.pmod(F.xxhash64(F.lit(77), F.col(id_col)), F.col("chunks"))
-    j = j.withColumn("side", F.when(F.col("chunks").isNull(), F.lit(0).cast("long")).otherwise(c))
-    others = F.when(F.col("chunks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(
-        F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    )
-    j = j.withColumn("other", F.explode(others))
-    cell = F.when(F.col("chunks").isNull(), F.col(key)).otherwise(
-        F.xxhash64(F.lit(78), F.col(key), F.least("side", "other"), F.greatest("side", "other"))
+    leaders = cut(hot.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct(F.col("id").alias("lead"), *[F.col(c).alias(f"_{c}") for c in rows]), "id").alias("_l")).select("_k", "_l.*"))
+    if leaders.limit(20_001).count() <= 20_000 and "set" not in rows:
+        j = hot.join(F.broadcast(leaders), F.col(key) == F.col("_k"))
+    else:
+        spread = leaders.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        j = hot.join(spread, (F.col(key) == F.col("_k")) & (F.pmod(F.xxhash64(F.lit(79), "id"), F.lit(salts)) == F.col("_s")))
+    kinds = {f.name: f.dataType.simpleString() for f in hot.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (key, "id", *rows)) + ", lead long, agrees boolean"
+    return cut(j.select(key, "id", *rows, "lead", *[f"_{c}" for c in rows]).mapInArrow(lean(test), schema))
+
+
+def rest_cells(stars: DataFrame, key: str, half: int, weight: str | None = None, half_weight: int = 1) -> DataFrame | None:
+    """Cells in which rows that do not agree with their leader (side 1) meet all rows of their group
+    (side 0), or None where there are no such rows. A side has about ``half`` rows, and ``half_weight`` of
+    the sum of ``weight``."""
+    load = lambda c, n: F.ceil(F.greatest(n / half, *([F.sum(F.when(c, F.col(weight)).otherwise(0)) / half_weight] if weight else [F.lit(0)])))
+    lone = ~F.col("agrees")
+    sizes = cut(
+        stars.groupBy(F.col(key).alias("_k")).agg(load(F.lit(True), F.count("*")).cast("long").alias("all"), load(lone, F.count(F.when(lone, 1))).cast("long").alias("own"), F.count(F.when(lone, 1)).alias("n"))
+        .where("n > 0").select("_k", "all", F.greatest("own", F.lit(1)).alias("own"))
     )
-    return j.withColumn("cell", cell).drop("chunks", "other")
+    if not sizes.limit(1).count():
+        return None
+    j = stars.join(_small(sizes), F.col(key) == F.col("_k"))
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    cell = F.xxhash64(F.lit(78), key, "_x", "_y").alias("cell")
+    cols = [c for c in stars.columns if c not in (key, "lead", "agrees")]
+    others = j.withColumn("_x", deal(80, "all")).withColumn("_y", every("own")).withColumn("side", F.lit(0).cast("long"))
+    own = j.where(lone).withColumn("_y", deal(81, "own")).withColumn("_x", every("all")).withColumn("side", F.lit(1).cast("long"))
+    return others.select(cell, *cols, "side").union(own.select(cell, *cols, "side"))
 
 
-def _set_batches(size: int):
+def _agree_with_leader(similarity: float):
+    """Whether rows share a table key with their leader and their MinHash bytes agree often enough."""
+
+    def run(batches):
+        for t in batches:
+            m = t.num_rows
+            if not m:
+                continue
+            n, top = t.column(2).to_numpy(), t.column(6).to_numpy()
+            tails, lead_tails = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint32).reshape(m, -1) for k in (3, 7))
+            marks, lead_marks = (np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint8).reshape(m, -1) for k in (4, 8))
+            ok = np.minimum(n, top) >= similarity * np.maximum(n, top) - 1e-9
+            ok &= (tails == lead_tails).any(1) & ((marks == lead_marks).sum(1) >= _least(marks.shape[1], similarity))
+            yield pa.RecordBatch.from_arrays([*t.columns[:6], pa.array(ok)], names=["g", "id", "n", "tails", "marks", "lead", "agrees"])
+
+    return run
+
+
+def _linked_with_leader(percent: int):
+    """Whether full sets are linked with their leader's."""
+
+    def run(batches):
+        for t in batches:
+            ok = []
+            for own, lead in zip(t.column(2), t.column(5), strict=True):
+                a, b = (np.frombuffer(x.as_buffer(), U64) for x in (own, lead))
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                ok.append(100 * both >= percent * (len(a) + len(b) - both))
+            yield pa.RecordBatch.from_arrays([*t.columns[:5], pa.array(ok, pa.bool_())], names=["root", "id", "set", "size", "lead", "agrees"])
+
+    return run
+
+
+def _set_batches(size: int, may):
+    """Full sets of rows (id, hash of the id, text) whose hash ``may`` be wanted."""
+
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(may(batch.column(1).to_numpy())))
             for a, b, flat, bounds in distinct_sets(batch.column(2), size):
                 rows = [flat[bounds[r] : bounds[r + 1]].tobytes() for r in range(b - a)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(rows, pa.binary())],
-                    names=["id", "root", "set"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.binary())], names=["id", "set"])
 
     return run
 
@@ -286,10 +357,10 @@ def shared_counts(sets: list[np.ndarray], budget: int = 4_000_000) -> np.ndarray
 
 
 def _once(batches):
-    """Rows of a stream sorted by (cell, id) without repeats of the row before."""
+    """Rows of a sorted stream without repeats of the row before."""
     last = None
     for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+        rows = zip(*[c.to_pylist() for c in batch.columns], strict=True)
         keep = []
         for row in rows:
             keep.append(row != last)
@@ -309,6 +380,9 @@ def _verify_batches(percent: int):
             both = shared_counts(sets)
             union = n[:, None] + n[None, :] - both
             hit = np.triu(100.0 * both >= percent * union, 1)
+            side = t.column(3).to_numpy()
+            if side.min() != side.max():
+                hit &= side[:, None] != side[None, :]
             for x, y in zip(*np.nonzero(hit), strict=True):
                 forest.join(int(x), int(y))
             pairs = _stars(ids, forest)
@@ -320,13 +394,13 @@ def _verify_batches(percent: int):
 
 def classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80,
-    halves: int | None = None, rows: int = 3, block: int = 2048, set_block: int = 1_500_000,
+    halves: int | None = None, rows: int = 3, block: int = 256, set_block: int = 1_500_000,
 ) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, component_id (smallest id reachable).
 
     Links: 100 * |intersection| >= percent * |union| of sets of ``shingle``-word shingles.
-    ``block`` (members) and ``set_block`` (shingles) bound what a task holds at once; larger groups
-    are dealt into pairs of chunks, none of their pairs is skipped.
+    ``block`` (members) and ``set_block`` (shingles) bound what is compared at once; larger groups are
+    compared with their smallest member, what does not agree with it with all others, none is skipped.
     """
     similarity = percent / 100
     halves = halves or half_keys(percent, rows)
@@ -340,20 +414,29 @@ def classes(
         sk.where("n > 0 and num is not null").groupBy("h1", "h2", "n")
         .agg(F.min("num").alias("rep"), F.any_value("keys").alias("keys"), F.any_value("marks").alias("marks"))
     )
-    halves_of = reps.select("rep", "n", "keys", "marks").mapInArrow(
-        lean(_explode_halves(halves)), "g long, id long, n long, tails binary, marks binary"
+    halves_of = lambda **which: reps.select("rep", "n", "keys", "marks").mapInArrow(
+        lean(_explode_halves(halves, **which)), "g long, id long, n long, tails binary, marks binary"
     )
+    cell_of = lambda rows: rows.select(F.col("g").alias("cell"), "id", "n", "tails", "marks", F.lit(0).cast("long").alias("side"))
     counts = reps.select(F.col("rep"), "keys").mapInArrow(_group_keys(halves), "g long").groupBy("g").count()
-    sizes = cut(counts.where(f"count > {block}").select("g", F.ceil(F.col("count") * 2 / block).cast("long").alias("chunks")))
-    if sizes.limit(1).count():
-        dealt = chunked(halves_of, "g", "id", sizes)
+    hot = cut(counts.where(f"count > {block}").select(F.col("g").alias("_k")))
+    n_hot, links = hot.count(), None
+    if n_hot:
+        # rows of large groups are kept apart as they are made; what the filter lets through besides goes back
+        may, hot = bloom(hot, n_hot), _small(hot)
+        apart = cut(halves_of(may=may))
+        stars = starred(apart.join(hot, F.col("g") == F.col("_k"), "left_semi"), "g", ["n", "tails", "marks"], _agree_with_leader(similarity))
+        links = stars.where("agrees and id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+        cells = cell_of(halves_of(may=may, wanted=False)).union(cell_of(apart.join(hot, F.col("g") == F.col("_k"), "left_anti")))
+        rest = rest_cells(stars, "g", block // 2)
+        cells = cells if rest is None else cells.union(rest)
     else:
-        dealt = halves_of.withColumn("cell", F.col("g")).withColumn("side", F.lit(0).cast("long"))
-    cells = dealt.select("cell", "id", "n", "tails", "marks", "side")
+        cells = cell_of(halves_of())
     maybe = (
         cells.repartition(parts, "cell").sortWithinPartitions("cell")
         .mapInArrow(lean(_table_batches(similarity)), "a long, b long")
     )
+    maybe = maybe if links is None else maybe.union(links)
     families = components(maybe)
     # full sets of family members only: families hold one id for each class of copies
     member = families.select("id", "root")
@@ -361,22 +444,29 @@ def classes(
         member = member.join(numbers.select(F.col("num").alias("_n"), F.col("key")), F.col("id") == F.col("_n")).select(F.col("id").alias("num"), "root", F.col("key").alias("_m"))
     else:
         member = member.select(F.col("id").alias("num"), "root", F.col("id").alias("_m"))
-    active = base.join(member, F.col("id") == F.col("_m")).select(F.col("num").alias("id"), "root", "text")
-    sets = active.mapInArrow(lean(_set_batches(shingle)), "id long, root long, set binary")
+    member = cut(member)
+    may = bloom(member.select(F.xxhash64("_m")), member.count())
+    wanted = base.select("id", F.xxhash64("id"), "text").mapInArrow(lean(_set_batches(shingle, may)), f"id {kind}, set binary")
+    sets = wanted.join(member, F.col("id") == F.col("_m")).select("root", F.col("num").alias("id"), "set", (F.octet_length("set") / 8).cast("long").alias("size"))
     load = cut(
         families.join(reps.select(F.col("rep").alias("_r"), "n"), F.col("id") == F.col("_r"))
         .groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-        .select("root", F.ceil(F.greatest(F.col("m") * 2 / block, F.col("total") * 2 / set_block)).cast("long").alias("chunks"))
-        .where("chunks > 2")
+        .where(f"m > {block} or total > {set_block}").select(F.col("root").alias("_k"))
     )
+    held, sure = sets.select(F.col("root").alias("cell"), "id", "set", F.lit(0).cast("long").alias("side")), None
     if load.limit(1).count():
-        held = chunked(sets, "root", "id", load)
-    else:
-        held = sets.withColumn("cell", F.col("root"))
+        load = _small(load)
+        sets = cut(sets)
+        held = sets.join(load, F.col("root") == F.col("_k"), "left_anti").select(F.col("root").alias("cell"), "id", "set", F.lit(0).cast("long").alias("side"))
+        stars = starred(sets.join(load, F.col("root") == F.col("_k"), "left_semi"), "root", ["set", "size"], _linked_with_leader(percent))
+        sure = stars.where("agrees and id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
+        rest = rest_cells(stars, "root", block // 2, "size", set_block // 2)
+        held = held if rest is None else held.union(rest.select("cell", "id", "set", "side"))
     links = (
-        held.select("cell", "id", "set").repartition(parts, "cell").sortWithinPartitions("cell", "id", "set")
+        held.repartition(parts, "cell").sortWithinPartitions("cell", "side", "id", "set")
         .mapInArrow(lean(_verify_batches(percent)), "a long, b long")
     )
+    links = links if sure is None else links.union(sure)
     # an id of several texts is one node: it ties the classes of its texts together
     span = sk.where("num is not null").groupBy("num").agg(F.min(F.struct("h1", "h2", "n")).alias("lo"), F.max(F.struct("h1", "h2", "n")).alias("hi"))
     several = cut(span.where("lo <> hi").select(F.col("num").alias("_k")))

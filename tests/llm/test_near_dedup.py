@@ -123,3 +123,41 @@ def test_ids_of_other_types(spark):
     assert got == {(f"doc-{i:05d}", f"doc-{c:05d}") for i, c in want} | {(None, None)}
     df = spark.createDataFrame(named, "name string, text string")
     assert {r.name for r in N.dedup(df, "name", shingle=3, percent=85).collect()} == {f"doc-{c:05d}" for _, c in want} | {None}
+
+
+def test_links_close_to_the_threshold_are_found(spark):
+    """Couples of 85 to 90 per cent: each alone, so that no other path joins them."""
+    rng = random.Random(12)
+    rows, linked, i = [], 0, 0
+    while linked < 300:
+        n = rng.randrange(60, 200)
+        w = [f"c{i}x{k}" for k in range(n)]
+        v = list(w)
+        for k in rng.sample(range(n), rng.randrange(1, 6)):
+            v[k] = "other"
+        sets = [{tuple(x[k : k + 3]) for k in range(n - 2)} for x in (w, v)]
+        share = 100 * len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        if 84 <= share < 90:
+            rows += [(i, " ".join(w)), (i + 1, " ".join(v))]
+            linked += share >= 85
+            i += 2
+    got = {r.doc_id: r.component_id for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=85).collect()}
+    for a, b in zip(rows[::2], rows[1::2], strict=True):
+        want = {c for _, _, c in brute([a, b], 3, 85)}
+        assert {got[a[0]], got[b[0]]} == want
+
+
+def test_large_groups_are_dealt(spark):
+    """One group of near copies in which not all are like the smallest, and hot copies of one text."""
+    rng = random.Random(4)
+    base = [f"b{k}" for k in range(120)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice([1, 2, 3, 9])):
+            w[k] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, " ".join(base[:90])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for block, set_block in ((16, 10**6), (256, 2000)):
+        assert {tuple(r) for r in N.classes(df, shingle=3, percent=85, block=block, set_block=set_block).collect()} == brute(rows, 3, 85)
