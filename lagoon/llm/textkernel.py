@@ -10,8 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 1 << 19
+LONG = 64
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
@@ -111,7 +113,11 @@ def spans(data: np.ndarray, offsets: np.ndarray, word: np.ndarray) -> tuple[np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over mapped bytes, by prefix sums, then mixed."""
+    """A 64-bit hash of each word: a polynomial over mapped bytes, by prefix sums, then mixed.
+
+    Words above ``LONG`` bytes, which are few, are hashed one by one with another function: there are
+    long words of two letters that every such polynomial modulo 2^64 takes for equal.
+    """
     out = np.empty(len(starts), dtype=U64)
     i = 0
     while i < len(starts):
@@ -128,6 +134,8 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         s, e = starts[i:j] - base, ends[i:j] - base
         out[i:j] = (acc[e] - acc[s]) * down[s] + (e - s).astype(U64)
         i = j
+    for k in np.flatnonzero(ends - starts > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes())
     return mix(out, 11)
 
 
