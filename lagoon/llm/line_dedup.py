@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagoon.llm.common import cut, fresh
+from lagoon.llm.common import cut, fresh, let
 
 MAX_RATIO = 0.1
 MIN_PAGES = 5
@@ -53,28 +53,51 @@ def boilerplate(docs: DataFrame, host: str, text: str, max_ratio: float = MAX_RA
     )
 
 
+def url_host(url: Column) -> Column:
+    """The host of a URL in lower case, NULL where there is none: a ``host`` for web pages."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
+
+
+def _cleaned(text: Column, drop: Column) -> Column:
+    """Struct (text, n): the text without the lines whose hashes are in ``drop``, and how many went.
+
+    ``drop`` is a struct of the host's hashes ``b`` and their first halves ``x``. The halves that a page
+    has in common with them come from one pass with a hash set, however many there are; only these few
+    are then looked up line by line.
+    """
+
+    def of_lines(lines: Column) -> Column:
+        halves = F.transform(lines, lambda line: F.xxhash64(line_key(line)))
+
+        def of_bad(bad: Column) -> Column:
+            kept = F.filter(lines, lambda line: ~F.array_contains(bad, _hash(line_key(line))))
+            return let(kept, lambda k: F.struct(F.array_join(k, "\n").alias("text"), (F.size(lines) - F.size(k)).alias("n")))
+
+        same = lambda hits: F.when(F.size(hits) == 0, F.struct(text.alias("text"), F.lit(0).alias("n"))).otherwise(
+            let(F.filter(drop["b"], lambda d: F.array_contains(hits, d["x"])), of_bad)
+        )
+        return let(F.array_intersect(halves, drop["x"]), same)
+
+    return let(F.split(text, "\n"), of_lines)
+
+
 def dedup_lines(
     docs: DataFrame, host: str = "source", text: str = "text", *, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, counts: bool = False,
 ) -> DataFrame:
     """``docs`` with boilerplate lines dropped from ``text``; with ``counts`` also n_lines, n_dropped."""
     bad = cut(boilerplate(docs, host, text, max_ratio, min_pages))
     few = (bad.agg(F.coalesce(F.sum(F.size("_b")), F.lit(0)).alias("n")).first().n) <= BROADCAST_ROWS
-    key, lines_of, new_text = fresh(docs, "_bh"), fresh(docs, "_b"), fresh(docs, "_new")
-    right = bad.select(F.col("_h").alias(key), F.col("_b").alias(lines_of))
+    key, lines_of, new = fresh(docs, "_bh"), fresh(docs, "_b"), fresh(docs, "_new")
+    right = bad.select(F.col("_h").alias(key), F.struct(F.col("_b").alias("b"), F.transform("_b", lambda d: d["x"]).alias("x")).alias(lines_of))
     joined = docs.join(F.broadcast(right) if few else right, _host(host) == F.col(key), "left")
     drop = F.col(lines_of)
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda line: ~F.array_contains(drop, _hash(line_key(line))) | (line_key(line) == ""))
     # without boilerplate on its host a text is left as it is, unread
-    new = F.when(drop.isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumn(new_text, new)
-    cols = [F.col(new_text).alias(c) if c == text else F.col(c) for c in docs.columns]
+    as_is = F.struct(F.col(text).alias("text"), F.lit(0).alias("n"))
+    out = joined.withColumn(new, F.when(drop.isNull() | F.col(text).isNull(), as_is).otherwise(_cleaned(F.col(text), drop)))
+    cols = [F.col(f"{new}.text").alias(c) if c == text else F.col(c) for c in docs.columns]
     if counts:
         n = F.when(F.col(text).isNull(), 0).otherwise(F.length(F.col(text)) - F.length(F.translate(F.col(text), "\n", "")) + 1)
-        gone = F.when(F.col(text).isNull() | drop.isNull(), 0).otherwise(
-            F.size(F.filter(lines, lambda line: F.array_contains(drop, _hash(line_key(line))) & (line_key(line) != "")))
-        )
-        cols += [n.cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped")]
+        cols += [n.cast("long").alias("n_lines"), F.col(f"{new}.n").cast("long").alias("n_dropped")]
     return out.select(*cols)
 
 

@@ -59,3 +59,23 @@ def test_columns_and_empty(spark):
     assert L.dedup_lines(df.limit(0).drop("_b")).count() == 0
     plan = L.dedup_lines(df.drop("_b"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_long_lists_of_boilerplate(spark):
+    """Ten thousand lines of a host, a thousand on each page: looked up by hash, not one by one."""
+    import time
+
+    rng = random.Random(5)
+    rows = [(i, "site", "\n".join([*(f"line {k}" for k in rng.sample(range(10_000), 1000)), f"own {i}"])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    began = time.perf_counter()
+    got = L.dedup_lines(df, max_ratio=0.02, min_pages=2, counts=True).select("doc_id", "source", "n_lines", "n_dropped", "text").collect()
+    assert time.perf_counter() - began < 45
+    assert sorted(tuple(r) for r in got) == sorted(brute(rows, 0.02, 2))
+
+
+def test_url_host(spark):
+    urls = ["http://A.Example/x", "https://u:p@b.org:8080/?q#f", "ftp://c", "no url", "", None, "http:///x", "HTTP://[::1]/"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [r.h for r in df.select(L.url_host(F.col("url")).alias("h")).collect()]
+    assert got[:7] == ["a.example", "b.org", "c", None, None, None, None]
