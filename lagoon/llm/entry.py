@@ -68,4 +68,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_line_dedup": line_dedup.REPORT_SQL,
     "op5_warc": warc.REPORT_SQL,
+    "op9_quality_rules": quality_rules.REPORT_SQL,
 }

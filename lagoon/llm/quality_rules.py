@@ -145,3 +145,34 @@ def apply_rules(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass, as they are."""
     name = fresh(docs, "_m")
     return with_metrics(docs, text, name).where(~base_failed(name) & compile_rules(name=name)).drop(name)
+
+
+def _rules_sql() -> str:
+    checks = []
+    for metric, least, most, since in RULES:
+        bounds = " AND ".join(f"{metric} {op} {v}" for op, v in ((">=", least), ("<=", most)) if v is not None)
+        checks.append(f"({bounds})" if not since else f"(n_words < {since} OR ({bounds}))")
+    return " AND ".join(checks)
+
+
+_SPACE = "[\\x20\\x09-\\x0D]"
+#: The same counts and verdicts in DuckDB's SQL, from the same tables of thresholds and stop words.
+REPORT_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+ws AS (SELECT rid, list_filter(string_split_regex(text, '{_SPACE}+'), lambda x: x <> '') AS ws FROM d),
+n AS (SELECT rid, len(ws) AS n_words, len(list_filter(ws, lambda x: lower(x) IN ({", ".join(f"'{w}'" for w in STOP_WORDS)}))) AS n_stop FROM ws),
+g AS (SELECT rid, i, array_to_string(ws[i : i + {WINDOW - 1}], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM ws WHERE len(ws) >= {WINDOW})),
+tw AS (SELECT rid, i FROM g JOIN (SELECT rid, g FROM g GROUP BY ALL HAVING count(*) > 1) USING (rid, g)),
+rep AS (SELECT rid, count(DISTINCT k) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + {WINDOW})) AS k FROM tw) GROUP BY 1),
+ls AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+li AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE regexp_matches(line, '^ *[-*•]')) AS n_bullet,
+  count(*) FILTER (WHERE regexp_matches(line, '(\\.\\.\\.|…) *$')) AS n_ellipsis FROM ls WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+m AS (SELECT doc_id, n_words, n_stop, length(regexp_replace(text, '{_SPACE}', '', 'g')) AS word_chars, length(text) - length(translate(text, '{SYMBOLS}', '')) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_bullet, 0) AS n_bullet, coalesce(n_ellipsis, 0) AS n_ellipsis
+  FROM d JOIN n USING (rid) LEFT JOIN rep USING (rid) LEFT JOIN li USING (rid)),
+r AS (SELECT *, coalesce(n_repeat_words / nullif(n_words, 0), 0.0) AS repeat_ratio, coalesce(word_chars / nullif(n_words, 0), 0.0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0.0) AS symbol_ratio,
+  coalesce(n_stop / nullif(n_words, 0), 0.0) AS stop_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0.0) AS dup_line_ratio, coalesce(n_bullet / nullif(n_lines, 0), 0.0) AS bullet_ratio,
+  coalesce(n_ellipsis / nullif(n_lines, 0), 0.0) AS ellipsis_ratio, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND {_rules_sql()} AS kept, round(stop_ratio, 6) AS stop_ratio, round(symbol_ratio, 6) AS symbol_ratio FROM r
+"""

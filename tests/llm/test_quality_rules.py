@@ -53,3 +53,25 @@ def test_rules_and_plan(spark):
     assert R.report(df.limit(0)).count() == 0 and R.apply_rules(df.limit(0)).count() == 0
     custom = R.with_metrics(df).where(R.compile_rules([("n_words", 1, 29, 0)])).select("doc_id")
     assert {r.doc_id for r in custom.collect()} == {1, 5}
+
+
+def test_sql_says_the_same(spark):
+    """Every column, the method's verdict too, against plain SQL on rows at the edges of the rules."""
+    import duckdb
+    import pandas as pd
+
+    rng = random.Random(31)
+    rows = [(0, None), (1, ""), (2, " \n\t\x0b\x0c\r ")]
+    for i in range(3, 400):
+        n = rng.choice([0, 5, 19, 20, 21, 49, 50, 51, 120])
+        pool = rng.choice([["the", "a1", "word", "of"], ["zz", "qq", "xx#"], ["#", "$$", "the"], ["Más", "también", "über", "…"], ["x" * 30, "y" * 25], ["i", "b"]])
+        w = [rng.choice(pool) + (str(rng.randrange(40)) if rng.random() < 0.7 else "") for _ in range(n)]
+        text = "".join(x + rng.choice([" ", " ", " ", "\n", "\n- ", "\n* ", "...\n", "… \n", "\t", " "]) for x in w)
+        rows.append((i, text + (" " + text if rng.random() < 0.2 else "")))
+    rows += [rows[-1], (None, "no id " * 30)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    want = con.sql(R.REPORT_SQL)
+    got = R.report(spark.createDataFrame(rows, "doc_id long, text string")).select(*want.columns).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want.fetchall(), key=str)
+    assert {r.kept for r in got} == {True, False} and any(not r.kept and not r.base_failed for r in got)
