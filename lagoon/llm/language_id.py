@@ -7,9 +7,11 @@ codeword's loss is the sum of logistic losses of its bits' margins, each weighte
 was predicted in training; the codeword of the least loss is chosen, and ``ambiguous`` marks answers
 whose two best losses are closer than ``GAP``.
 
-n-gram counts cover every training row: tasks count, then sum by (language, block of cells), so that
-what reaches the driver is languages x cells numbers whatever the input. Only the scales are fitted
-on a bounded sample (``MAX_SCALE_ROWS`` rows, chosen by a hash of the id).
+n-gram counts cover every training row: tasks count, then sum by (language, block of cells), and a
+block's languages are added up to bits where they lie. What reaches the driver is the languages' names
+and totals, and bits x cells weights, whose number grows with the logarithm of the languages: thousands
+of dirty labels cost no more than 50 MB. A task holds the counts of ``HELD`` languages at once. Only the
+scales are fitted on a bounded sample (``MAX_SCALE_ROWS`` rows, chosen by a hash of the id).
 
 Defined cases: null texts and texts without a letter get ``und`` and score 0, as does every text where
 nothing was learned; with one learned language every text with a letter gets it, score 1. Rows of null
@@ -24,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
-from lagoon.llm.common import lean, width
+from lagoon.llm.common import cut, lean, width
 
 CELL_BITS = 15
 SIZES = (2, 3, 4)
@@ -33,6 +35,7 @@ BLOCK = 8192
 GAP = 0.5
 SLICE = K.CHUNK // 2  # bytes whose n-grams are held at once
 MAX_SCALE_ROWS = 8000
+HELD = 64
 
 # ASCII other than letters counts as one space
 _CLASS = np.arange(256, dtype=np.uint32)
@@ -57,11 +60,18 @@ def codewords(k: int, seed: int = 5) -> np.ndarray:
         return np.vstack([np.zeros(len(bits), np.int8), rest])
     rng = np.random.default_rng(seed)
     n = int(np.ceil(10 * np.log2(k)))
-    best, most = None, -1
-    for _ in range(50):
+    best, most = None, 0
+    tries = 0
+    while best is None or tries < min(50, 2 * 10**8 // k**2):  # the best of some draws, of as many as a distinct one takes
+        tries += 1
         code = rng.integers(0, 2, (k, n)).astype(np.int8)
         code = code[:, (code.min(0) != code.max(0))]
-        apart = min((code[i] != code[j]).sum() for i in range(k) for j in range(i)) if k <= 200 else 1
+        sign = (2 * code - 1).astype(np.float32)
+        apart = code.shape[1]
+        for i in range(0, k, 1024):  # codewords agree in (bits + product) / 2 places
+            like = sign[i : i + 1024] @ sign.T
+            like[np.arange(len(like)), np.arange(i, i + len(like))] = -code.shape[1]
+            apart = min(apart, int(code.shape[1] - like.max()) // 2)
         if apart > most:
             best, most = code, apart
     return best
@@ -111,25 +121,68 @@ def _count(batches):
                 sums = np.bincount(kind[row] * CELLS + cell, minlength=len(here) * CELLS).reshape(len(here), CELLS)
                 for x, s in zip(here, sums, strict=True):
                     total[x] = total[x] + s if x in total else s
-    for x, s in total.items():
-        blocks = range(0, CELLS, BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x] * len(blocks)), pa.array([b // BLOCK for b in blocks], pa.int32()), pa.array([s[b : b + BLOCK].astype("<i8").tobytes() for b in blocks], pa.binary())],
-            names=["lang", "block", "counts"],
-        )
+                if len(total) > HELD:
+                    yield _blocks(total)
+                    total = {}
+    if total:
+        yield _blocks(total)
+
+
+def _blocks(total: dict[str, np.ndarray]) -> pa.RecordBatch:
+    parts = [(x, b // BLOCK, s[b : b + BLOCK].astype("<i8").tobytes()) for x, s in total.items() for b in range(0, CELLS, BLOCK)]
+    return _sums_batch(parts)
+
+
+def _sums_batch(parts: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts], pa.int32()), pa.array([p[2] for p in parts], pa.binary())], names=["lang", "block", "counts"])
 
 
 def _sum(batches):
+    """Sums of the rows of a stream sorted by (lang, block), with the number of n-grams in each."""
     key, acc = None, None
+
+    def out():
+        parts = _sums_batch([(*key, acc.tobytes())])
+        return pa.RecordBatch.from_arrays([*parts.columns, pa.array([int(acc.sum())], pa.int64())], names=["lang", "block", "counts", "total"])
+
     for batch in batches:
         for lang, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (lang, block) != key:
                 if key is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([acc.tobytes()], pa.binary())], names=["lang", "block", "counts"])
+                    yield out()
                 key, acc = (lang, block), np.zeros(BLOCK, "<i8")
             acc += np.frombuffer(raw, "<i8")
     if key is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([acc.tobytes()], pa.binary())], names=["lang", "block", "counts"])
+        yield out()
+
+
+def _bit_weights(totals: dict[str, int], number: dict[str, int], code: np.ndarray):
+    """Log-odds of a block's cells for each bit, from rows (lang, block, counts) sorted by block.
+
+    Each language weighs the same, so that a rare one is as well told from the rest.
+    """
+    ones = code.sum(0)
+
+    def run(batches):
+        last, one, every = None, None, None
+
+        def out():
+            w = np.log(one / ones[:, None]) - np.log((every - one) / (len(code) - ones)[:, None])
+            return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([np.ascontiguousarray(w.T, np.float32).tobytes()], pa.binary())], names=["block", "weights"])
+
+        for batch in batches:
+            for lang, block, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block != last:
+                    if last is not None:
+                        yield out()
+                    last, one, every = block, np.zeros((code.shape[1], BLOCK)), np.zeros(BLOCK)
+                share = (np.frombuffer(raw, "<i8") + 0.5) / (totals[lang] + 0.5 * CELLS)
+                every += share
+                one[code[number[lang]] == 1] += share
+        if last is not None:
+            yield out()
+
+    return run
 
 
 class Model:
@@ -180,8 +233,8 @@ class Model:
         if k == 1:
             return np.zeros(n, int), np.ones(n), np.zeros(n, bool)
         margin = raw * self.scale + self.offset
-        sign = 2.0 * self.code - 1
-        loss = np.stack([(np.logaddexp(0, -margin * sign[c]) * self.trust).sum(1) for c in range(k)], axis=1)
+        if_one, if_none = (np.logaddexp(0, x) * self.trust for x in (-margin, margin))
+        loss = if_none.sum(1, keepdims=True) + (if_one - if_none) @ self.code.T
         # a class differs from another in about half of the bits: scale to one bit's loss
         loss *= 2 / self.trust.sum()
         order = np.sort(loss, axis=1)
@@ -195,23 +248,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("h")
     )
     parts = width(docs.sparkSession)
-    sums = (
+    sums = cut(
         rows.select("lang", "text").mapInArrow(lean(_count), "lang string, block int, counts binary")
-        .repartition(parts, "lang", "block").sortWithinPartitions("lang", "block").mapInArrow(_sum, "lang string, block int, counts binary")
-    ).collect()  # languages x CELLS numbers
-    langs = sorted({r.lang for r in sums})
+        .repartition(parts, "lang", "block").sortWithinPartitions("lang", "block").mapInArrow(_sum, "lang string, block int, counts binary, total long")
+    )
+    totals = {r.lang: r.n for r in sums.groupBy("lang").agg(F.sum("total").alias("n")).collect()}  # a name and a number each
+    langs = sorted(totals)
     if not langs:
         return None
-    counts = np.zeros((len(langs), CELLS))
-    for r in sums:
-        counts[langs.index(r.lang), r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, "<i8")
     code = codewords(len(langs))
-    # each language weighs the same, so that a rare one is as well told from the rest
-    share = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * CELLS)
     weights = np.zeros((CELLS, code.shape[1]), dtype=np.float32)
-    for b in range(code.shape[1]):
-        one = code[:, b] == 1
-        weights[:, b] = np.log(share[one].mean(0)) - np.log(share[~one].mean(0))
+    if code.shape[1]:
+        add = _bit_weights(totals, {x: i for i, x in enumerate(langs)}, code)
+        blocks = sums.select("lang", "block", "counts").repartition(parts, "block").sortWithinPartitions("block", "lang").mapInArrow(lean(add), "block int, weights binary")
+        for r in blocks.collect():  # CELLS x bits
+            weights[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.weights, np.float32).reshape(BLOCK, -1)
     model = Model(langs, code, weights)
     if len(langs) > 1:
         n = rows.count()
@@ -226,8 +277,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in raw], pa.binary())], names=["lang", "raw"])
 
         got = sample.select("lang", "text").mapInArrow(lean(score), "lang string, raw binary").collect()
+        number = {x: i for i, x in enumerate(langs)}
         if got:
-            model.fit_scales(np.frombuffer(b"".join(r.raw for r in got)).reshape(len(got), -1), np.array([langs.index(r.lang) for r in got]))
+            model.fit_scales(np.frombuffer(b"".join(r.raw for r in got)).reshape(len(got), -1), np.array([number[r.lang] for r in got]))
         sent.unpersist()
     return model
 

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lagoon.llm import language_id as L
@@ -77,3 +78,34 @@ def test_ambiguity():
     model = L.Model(["a", "b", "c"], L.codewords(3), np.zeros((L.CELLS, 3), np.float32))
     best, score, unsure = model.decode(np.array([[0.0, 0.0, 0.0], [-4.0, -4.0, -4.0]]) / 8)
     assert unsure[0] and abs(score[0] - 1 / 3) < 1e-9 and score[1] > 0.9 and best[1] == 0
+
+
+def test_weights_are_the_log_odds_of_shares(spark):
+    rows = corpus(120)
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    counts = {x: np.zeros(L.CELLS) for x in model.langs}
+    for _, text, lang in rows:
+        for cell, _ in L.grams(*L.K.from_strings([text])):
+            np.add.at(counts[lang], cell, 1)
+    share = np.stack([(counts[x] + 0.5) / (counts[x].sum() + 0.5 * L.CELLS) for x in model.langs])
+    for b in range(model.code.shape[1]):
+        one = model.code[:, b] == 1
+        assert np.allclose(model.weights[:, b], np.log(share[one].mean(0)) - np.log(share[~one].mean(0)), atol=1e-4)
+
+
+def test_many_labels(spark):
+    """More labels than a task holds: the driver gets weights by bit, not counts by label."""
+    rows = [(i * 150 + k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}qu " * 30, f"l{k:03d}") for i in range(4) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = L.train(df)
+    assert len(model.langs) == 150 and model.weights.shape[1] < 80
+    got = {r.doc_id: r.lang_pred for r in L.predict(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) > 0.95 * len(rows)
+
+
+@pytest.mark.parametrize("k", [2, 7, 8, 40, 201, 700])
+def test_codewords_are_apart(k):
+    code = L.codewords(k)
+    assert len(np.unique(code, axis=0)) == k and (code.min(0) != code.max(0)).all()
+    if k > 7:
+        assert min((code[i] != code[j]).sum() for i in range(0, k, 7) for j in range(i)) >= 0.15 * code.shape[1]
