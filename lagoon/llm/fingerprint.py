@@ -9,7 +9,9 @@ of them. Two fingerprints that agree in a share m of bins have the estimated sim
 
 Defined cases: a null text is an empty one; texts without words have the fingerprint ``""``, whose
 likeness to itself is 1 and to any other 0. Rows of equal id follow each other by text; rows of null
-id come first. An empty table gives no rows. Extra columns are ignored.
+id come first. An empty table gives no rows. Extra columns are ignored. Ids of the report that are no whole
+numbers raise ValueError; ``fingerprints`` takes ids of any type. Rows of one id, and of null id, are one
+range: they are streamed by one task in blocks.
 """
 
 from __future__ import annotations
@@ -22,12 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.llm import textkernel as K
-from lagoon.llm.common import lean, width
+from lagoon.llm.common import lean, whole_number, width
 
 U64 = np.uint64
 BINS = 512
 BITS = 4
 EMPTY = U64(2**64 - 1)
+RANGES = 16_384  # ranges of ids at most: their bounds are in the plan; a range is streamed, whatever its size
 
 
 def _probes(bins: int) -> np.ndarray:
@@ -200,10 +203,11 @@ def edited_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     once, by ranges of ids; the few rows that begin a range also go to the range before, so that
     every row meets its successor without a global window.
     """
+    whole_number(docs, id_col)
     fp = Fingerprinter(**shape)
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    parts = max(1, min(4096, 2 * width(spark)))
+    parts = max(1, min(RANGES, 2 * width(spark)))
     bounds, least, rows = _bounds(base, "id", parts)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     if not rows:

@@ -83,3 +83,48 @@ def test_empty_table_and_hex_likeness(spark):
     assert df.where(F.abs(P.hex_likeness(F.col("a"), F.col("b")) - F.col("e")) > 1e-9).count() == 0
     got = {r.doc_id: r.fingerprint for r in P.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i] for i in range(4)] == f
+
+
+def mixed(x, salt):
+    """splitmix64's finaliser on one number."""
+    m = 2**64 - 1
+    z = (x + salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & m
+    z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & m
+    z = (z ^ z >> 27) * 0x94D049BB133111EB & m
+    return z ^ z >> 31
+
+
+def plain(text, shingle=5, bins=512, bits=4):
+    """One permutation, optimal densification and packing, a value at a time."""
+    data, offsets = K.from_strings([text])
+    starts, ends, first = K.spans(K.lower(data), offsets, K.SPACED)
+    hashes, _ = K.shingles(K.word_hashes(K.lower(data), starts, ends), first, shingle)
+    low = {}
+    for h in hashes.tolist():
+        slot, value = (h >> 40) % bins, (h << 24) % 2**64
+        low[slot] = min(value, low.get(slot, value))
+    if not low:
+        return ""
+    out = 0
+    for slot in range(bins):
+        at, attempt = slot, 0
+        while at not in low:
+            at = mixed((attempt << 32) + slot, 61) % bins
+            attempt += 1
+        out = out << bits | mixed(low[at] ^ mixed(slot, 63), 65) >> (64 - bits)
+    return f"{out:0{bins * bits // 4}x}"
+
+
+@pytest.mark.parametrize("shape", [{}, {"bins": 128, "bits": 8}, {"bits": 1}, {"bits": 2, "shingle": 3}])
+def test_fingerprints_equal_a_plain_version(shape):
+    rng = random.Random(8)
+    texts = ["", " \n", "one", "One TWO", "a b c d e", "é É x", words(rng, 6), words(rng, 60), words(rng, 900), words(rng, 3000), words(rng, 40) * 3]
+    fp = P.Fingerprinter(**shape)
+    assert fp.pack(*fp.codes(*K.from_strings(texts))) == [plain(t, **shape) for t in texts]
+
+
+def test_ids_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("a", "x y"), ("b", None)], "doc_id string, text string")
+    with pytest.raises(ValueError, match="whole numbers"):
+        P.edited_report(df)
+    assert {r.doc_id: r.fingerprint == "" for r in P.fingerprints(df).collect()} == {"a": False, "b": True}
