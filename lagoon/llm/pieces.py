@@ -18,7 +18,9 @@ Decoding turns pieces to bytes, ``▁`` to spaces, and drops the space that was
 
 Defined cases: null texts have null ids; empty texts have no ids; rows of null key share one seed;
 equal rows have equal ids. Work arrays are made for about ``SLICE`` bytes of text at a time (a
-longer text takes as many as it needs).
+longer text takes as many as it needs). A unit is a run of characters without a space: its places are
+filtered one after another, all units at once, so a single unbroken unit costs about 80 microseconds a
+character whatever its length, and is one task's work.
 """
 
 from __future__ import annotations
