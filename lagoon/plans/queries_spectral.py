@@ -55,6 +55,11 @@ def rfft_power(spark, d):
     return _long(z, ["vec_id"], F.zip_with("z.re", "z.im", lambda a, b: a * a + b * b), 5)
 
 
+@Q(f"WITH {_DFT} SELECT vec_id, abs(k) AS k, round(re, 5) + 0.0 AS re, round(CASE WHEN k = -32 THEN 0 ELSE im END, 5) + 0.0 AS im FROM ft WHERE k >= 0 OR k = -32")
+def rfft_parts(spark, d):
+    return _complex_long(X.vectors(spark, d), ["vec_id"], transforms.rfft(F.col("x")))
+
+
 @Q(f"WITH {VECTORS} SELECT vec_id, k, round(v, 6) + 0.0 AS v FROM v WHERE k < 63")
 def irfft_roundtrip(spark, d):
     """An odd length keeps its last sample."""
@@ -194,18 +199,21 @@ def _spec_long(s, keys, value="psd"):
     return correlate.to_long(s, [*keys, "freq"], value, "h", "v").select(*keys, F.round("freq", 9).alias("freq"), "h", tidy(F.col("v"), 4).alias("v"))
 
 
-@Q(f"""WITH {VECTORS}, wi AS (SELECT CAST(i AS INTEGER) AS i, CASE WHEN i < 2 THEN 0.5 * (1 - cos(pi() * i / 2)) WHEN i > 14 THEN 0.5 * (1 - cos(pi() * (16 - i) / 2)) ELSE 1.0 END AS w FROM range(16) t(i)),
-sg AS (SELECT vec_id, CAST(s.s AS INTEGER) AS s, v.k - s.s AS i, v - avg(v) OVER (PARTITION BY vec_id, s.s) AS v FROM v, range(49) s(s) WHERE v.k >= s.s AND v.k < s.s + 16),
-ft AS (SELECT vec_id, s, CAST(f.f AS INTEGER) AS f, pow(sum(v * w * cos(2 * pi() * sg.i * f.f / 32)), 2) + pow(sum(v * w * sin(2 * pi() * sg.i * f.f / 32)), 2) AS p FROM sg JOIN wi USING (i), range(17) f(f) GROUP BY ALL)
-SELECT vec_id, round(f / 32, 9) AS freq, CAST(s + 8 AS INTEGER) AS h, round(p * CASE WHEN f IN (0, 16) THEN 1 ELSE 2 END / (SELECT sum(w * w) FROM wi), 4) + 0.0 AS v FROM ft""")
+def _decades(s, keys):
+    """Densities as decades of one more than the value: they span many."""
+    long = correlate.to_long(s, [*keys, "freq"], "psd", "h", "v")
+    return long.select(*keys, F.round("freq", 9).alias("freq"), "h", tidy(F.log10(1 + F.col("v")), 6).alias("v"))
+
+
+@Q()
 def spectrogram(spark, d):
     s = transforms.spectrogram(X.vectors(spark, d), ["vec_id"], "x", 1.0, 16.0)
-    return _spec_long(s, ["vec_id"]).where("h between 8 and 56")
+    return _spec_long(s, ["vec_id"])
 
 
 @Q()
 def spectrogram_overlap(spark, d):
-    return _spec_long(transforms.spectrogram(X.series(spark, d), ["receiver"], "x", 1.0, 48.0, overlap=0.9), ["receiver"])
+    return _decades(transforms.spectrogram(X.series(spark, d), ["receiver"], "x", 1.0, 48.0, overlap=0.9), ["receiver"])
 
 
 _SCALES = [4.0, 8.0, 16.0, 32.0]
@@ -265,11 +273,12 @@ def pipeline_beamform(spark, d):
 _PAIR = f"WITH {GRID}, a AS (SELECT h, v FROM g WHERE receiver = 'click'), b AS (SELECT h, v FROM g WHERE receiver = 'view'), sp AS (SELECT CAST(f.i AS INTEGER) AS f, sum(a.v * cos(2 * pi() * h * f.i / 720)) AS ar, -sum(a.v * sin(2 * pi() * h * f.i / 720)) AS ai, sum(b.v * cos(2 * pi() * h * f.i / 720)) AS br, -sum(b.v * sin(2 * pi() * h * f.i / 720)) AS bi FROM a JOIN b USING (h), range(361) f(i) GROUP BY 1)"
 
 
-@Q(_PAIR + " SELECT round(f / 720, 9) AS freq, round(log10((ar * ar + ai * ai) * (br * br + bi * bi)), 5) AS magnitude, round(cos(atan2(bi * ar - br * ai, br * ar + bi * ai)), 5) + 0.0 AS phase FROM sp WHERE f > 0 AND f < 360")
+@Q(_PAIR + " SELECT round(f / 720, 9) AS freq, round(log10((ar * ar + ai * ai) * (br * br + bi * bi)), 5) AS magnitude, round(cos(atan2(bi * ar - br * ai, br * ar + bi * ai)), 5) + 0.0 AS phase, round(sin(atan2(bi * ar - br * ai, br * ar + bi * ai)), 5) + 0.0 AS phase_sin FROM sp")
 def surface_wave_response(spark, d):
     two = X.series(spark, d).where("receiver in ('click', 'view')").groupBy().pivot("receiver", ["click", "view"]).agg(F.first("x"))
-    r = pipelines.swresp(two, [], "click", "view", 1.0).where("freq > 0 and freq < 0.5")
-    return r.select(F.round("freq", 9).alias("freq"), F.round(F.log10("magnitude"), 5).alias("magnitude"), tidy(F.cos(F.col("phase") * F.lit(3.141592653589793)), 5).alias("phase"))
+    r = pipelines.swresp(two, [], "click", "view", 1.0)
+    turn = F.col("phase") * F.lit(3.141592653589793)
+    return r.select(F.round("freq", 9).alias("freq"), F.round(F.log10("magnitude"), 5).alias("magnitude"), tidy(F.cos(turn), 5).alias("phase"), tidy(F.sin(turn), 5).alias("phase_sin"))
 
 
 # ---- pipelines on windows
@@ -281,13 +290,13 @@ def _window_spectra(spark, d):
 
 @Q()
 def pipeline_psd(spark, d):
-    return _spec_long(_window_spectra(spark, d), ["pair", "start"])
+    return _decades(_window_spectra(spark, d), ["pair", "start"])
 
 
 @Q()
 def pipeline_plmax(spark, d):
     p = pipelines.plmax(_window_spectra(spark, d), ["pair", "start"], distance=3, threshold_rel=0.01)
-    return p.select("pair", "start", F.round("freq", 9).alias("freq"), "index", F.round("v", 3).alias("v"), "rank")
+    return p.select("pair", "start", F.round("freq", 9).alias("freq"), "index", F.round(F.log10(1 + F.col("v")), 6).alias("v"), "rank")
 
 
 @Q()
@@ -300,7 +309,7 @@ def pipeline_timelapse(spark, d):
 def pipeline_snr_windows(spark, d):
     """Signal-to-noise ratios of every pair and window."""
     s = pipelines.snr(_processed(spark, d).where("status = 1"), ["pair", "start"], first=-24.0, delta=1.0, signal=(-6, 6), noise=(12, 24))
-    return s.select("pair", "start", F.round("s", 3).alias("s"), "lag_s_max", F.round("snr", 6).alias("snr"))
+    return s.select("pair", "start", F.round("s", 4).alias("s"), "lag_s_max", F.round("snr", 6).alias("snr"))
 
 
 @Q()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lagoon.plans import queries_basic, queries_data, queries_spectral
+from lagoon.plans import oracles, queries_basic, queries_data, queries_spectral
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 for _module in (queries_basic, queries_data, queries_spectral):
     QUERIES |= _module.Q.queries
     ORACLE |= _module.Q.oracle
+ORACLE |= oracles.SQL
