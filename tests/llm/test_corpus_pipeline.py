@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lagoon.llm.entry import tokenizer_path
+from lagoon.llm.line_dedup import MAX_RATIO, MIN_PAGES
 from tests.llm.test_line_dedup import brute as brute_lines
 from tests.llm.test_near_dedup import brute as brute_near
 from tests.llm.test_quality_rules import brute as brute_rules
@@ -66,7 +67,7 @@ def test_stages_and_run(spark, sf_dir):
 
     cleaned = stages["line_dedup"](spark, ruled, sf_dir)
     texts = {r.doc_id: r.text for r in cleaned.collect()}
-    expect = {r[0]: r[4] for r in brute_lines([(r[0], r[3], r[1]) for r in after.values()], 0.1, 5)}
+    expect = {r[0]: r[4] for r in brute_lines([(r[0], r[3], r[1]) for r in after.values()], MAX_RATIO, MIN_PAGES)}
     assert cleaned.columns == columns and texts == expect and texts != {i: r[1] for i, r in after.items()}
     assert all(r.n_chars == len(r.text) for r in cleaned.collect())
 
