@@ -100,30 +100,41 @@ def ramp_length(n: Column, *, max_percentage: float | None = None, max_length: f
     return F.least(size.cast("int"), F.floor(n / 2).cast("int"))
 
 
-def window_value(i: Column, n: Column, ramp: Column, side: str = "both") -> Column:
-    """Hann window at sample ``i`` of ``n``: rising over the first ``ramp``, falling over the last."""
-    up = F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(math.pi) * i / ramp)
-    down = F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(math.pi) * (ramp + i - (n - ramp)) / ramp)
+#: value of a window's rise of ``r`` samples at the share ``t`` of it, from 0 (begin) to 1 (top)
+RAMPS = {
+    "hann": lambda t, r: F.lit(0.5) - F.lit(0.5) * F.cos(F.lit(math.pi) * t),
+    "hamming": lambda t, r: F.lit(0.54) - F.lit(0.46) * F.cos(F.lit(math.pi) * t),
+    "blackman": lambda t, r: F.lit(0.42) - F.lit(0.5) * F.cos(F.lit(math.pi) * t) + F.lit(0.08) * F.cos(F.lit(2 * math.pi) * t),
+    "cosine": lambda t, r: F.sin(F.lit(math.pi) * (t * r + 0.5) / (2 * r + 1)),
+    "bartlett": lambda t, r: t,
+    "boxcar": lambda t, r: t * 0.0 + 1.0,
+}
+
+
+def window_value(i: Column, n: Column, ramp: Column, side: str = "both", kind: str = "hann") -> Column:
+    """Window at sample ``i`` of ``n``: rising over the first ``ramp``, falling over the last."""
+    if side not in ("left", "right", "both"):
+        raise ValueError("side: left, right or both")
+    if kind not in RAMPS:
+        raise ValueError(f"no such window: {kind}")
     w = F.lit(1.0)
     if side in ("right", "both"):
-        w = F.when((ramp > 0) & (i >= n - ramp), down).otherwise(w)
+        w = F.when((ramp > 0) & (i >= n - ramp), RAMPS[kind]((n - i) / ramp, ramp)).otherwise(w)
     if side in ("left", "both"):
-        w = F.when((ramp > 0) & (i < ramp), up).otherwise(w)
-    if side not in ("left", "right", "both"):
-        raise ValueError("side: left, right or both")
+        w = F.when((ramp > 0) & (i < ramp), RAMPS[kind](i / ramp, ramp)).otherwise(w)
     return w
 
 
-def window(n: Column, side: str = "both", **length) -> Column:
+def window(n: Column, side: str = "both", kind: str = "hann", **length) -> Column:
     return let(F.struct(n.alias("n"), ramp_length(n, **length).alias("r")), lambda s: F.transform(
-        F.sequence(F.lit(0), s["n"] - 1), lambda i: window_value(i, s["n"], s["r"], side)
+        F.sequence(F.lit(0), s["n"] - 1), lambda i: window_value(i, s["n"], s["r"], side, kind)
     ))
 
 
-def taper(x: Column, side: str = "both", **length) -> Column:
+def taper(x: Column, side: str = "both", kind: str = "hann", **length) -> Column:
     return let(x, lambda a: let(
         F.struct(F.size(a).alias("n"), ramp_length(F.size(a), **length).alias("r")),
-        lambda s: F.transform(a, lambda v, i: v * window_value(i, s["n"], s["r"], side)),
+        lambda s: F.transform(a, lambda v, i: v * window_value(i, s["n"], s["r"], side, kind)),
     ))
 
 

@@ -96,6 +96,20 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(analytic(x))
 
 
+def resample(x: np.ndarray, n: int) -> np.ndarray:
+    """Fourier resampling to ``n`` samples of the same span, along the last axis."""
+    m = x.shape[-1]
+    s = np.fft.rfft(x)
+    k = min(m, n) // 2 + 1
+    out = np.zeros((*x.shape[:-1], n // 2 + 1), complex)
+    out[..., :k] = s[..., :k]
+    if min(m, n) % 2 == 0 and m != n:
+        out[..., k - 1] *= 2 if n < m else 0.5
+        if n < m:
+            out[..., k - 1] = out[..., k - 1].real
+    return np.fft.irfft(out, n) * n / m
+
+
 def places(n: int, ratio: float) -> np.ndarray:
     """Where the samples of a series of ``n`` lie that is ``ratio`` times as dense, in old samples."""
     return np.minimum(np.arange(int(np.floor((n - 1) * ratio + 1e-9)) + 1) / ratio, n - 1)

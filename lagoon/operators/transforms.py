@@ -68,20 +68,7 @@ def causal_filter(x: Column, frequency: float | tuple[float, float], btype: str,
 
 def resample(x: Column, n: int) -> Column:
     """Fourier resampling to ``n`` samples of the same span."""
-
-    def run(a):
-        m = a.shape[-1]
-        s = np.fft.rfft(a)
-        k = min(m, n) // 2 + 1
-        out = np.zeros((len(a), n // 2 + 1), complex)
-        out[:, :k] = s[:, :k]
-        if min(m, n) % 2 == 0 and m != n:
-            out[:, k - 1] *= 2 if n < m else 0.5
-            if n < m:
-                out[:, k - 1] = out[:, k - 1].real
-        return np.fft.irfft(out, n) * n / m
-
-    return unary(run, x)
+    return unary(lambda a: fourier.resample(a, n), x)
 
 
 def interpolate_linear(x: Column, factor: int) -> Column:

@@ -22,8 +22,9 @@ im AS (SELECT a.key, t.i, sum(a.v * hk.h) AS im FROM {src} a, range({n}) t(i), h
 env AS (SELECT key, i, sqrt(a.v * a.v + im.im * im.im) AS v FROM {src} a JOIN im USING (key, i))"""
 
 
-def _pass(name: str, src: str, sos) -> str:
-    """``name(key, i, y)``: the sections over ``src(key, i, v)``, from the steady state of the first value."""
+def _pass(name: str, src: str, sos, steady: bool = True) -> str:
+    """``name(key, i, y)``: the sections over ``src(key, i, v)``, from the steady state of the first value or
+    from rest."""
 
     def stage(x: str, states: list[tuple[str, str]] | None) -> tuple[list[str], str]:
         """Nested selects of the sections; without states those of a constant input."""
@@ -32,7 +33,8 @@ def _pass(name: str, src: str, sos) -> str:
             b0, b1, b2, _, a1, a2 = (repr(float(c)) for c in section)
             k1, k2 = (repr(float(c)) for c in filters._steady(section))
             v = "v" if k == 0 else f"y{k - 1}"
-            s1, s2 = (f"{k1} * {v}", f"{k2} * {v}") if states is None else states[k]
+            rest = (f"{k1} * {v}", f"{k2} * {v}") if steady else ("0.0", "0.0")
+            s1, s2 = rest if states is None else states[k]
             q = f"SELECT *, {b0} * {v} + {s1} AS y{k}, {s1} AS p{k}, {s2} AS q{k} FROM ({q})"
             outs.append(f"{b1} * {v} - {a1} * y{k} + q{k} AS s{k}, {b2} * {v} - {a2} * y{k} AS t{k}")
         return outs, q
@@ -161,3 +163,25 @@ wv AS (SELECT a.receiver, kn.s, a.h + kn.u AS i, sum(a.v * kn.re) AS re, sum(a.v
 SQL["cwt"] = f"WITH {GRID}, {_wavelet(_SCALES)} SELECT receiver, round(1 / s, 9) AS freq, CAST(i AS INTEGER) AS h, round(re, 3) + 0.0 AS re, round(im, 3) + 0.0 AS im FROM wv"
 _FINE = [s for s in spectral.scales(1.0, 1.5, 1.0, 24) if 0.01 <= 1 / s <= 0.4]
 SQL["scaleogram"] = f"WITH {GRID}, {_wavelet(_FINE)} SELECT receiver, round(1 / s, 9) AS freq, CAST(i AS INTEGER) AS h, round(sqrt(re * re + im * im), 4) + 0.0 AS v FROM wv"
+
+# ---- streams: clicks, views and errors as the components 1, 2 and Z of a station
+
+_ARRAY = "CASE receiver WHEN 'click' THEN '1' WHEN 'view' THEN '2' WHEN 'error' THEN 'Z' END"
+_MERGED = GRID + """, mk AS (SELECT *, lead(h) OVER w AS h2, lead(v) OVER w AS v2 FROM e WINDOW w AS (PARTITION BY receiver ORDER BY h)), mx AS (SELECT *, unnest(range(0, coalesce(h2 - h, 1))) AS i FROM mk),
+mg AS (SELECT receiver, CAST(h + i AS INTEGER) AS h, CASE WHEN i = 0 THEN v ELSE v + (v2 - v) * i / (h2 - h) END AS v FROM mx)"""
+SQL["op_stream_merge"] = f"WITH {_MERGED} SELECT receiver, h, round(v, 5) + 0.0 AS v FROM mg"
+SQL["op_stream_running_rms"] = f"WITH {GRID} SELECT receiver, CAST(h // 7 AS INTEGER) AS k, TIMESTAMP '2024-01-01' + to_hours(CAST(h // 7 * 7 + 3 AS BIGINT)) AS time, round(sqrt(avg(v * v)), 5) AS rms FROM g GROUP BY ALL"
+_TURN = """nn AS (SELECT i, a.v * cos(radians(30)) + b.v * cos(radians(120)) AS n, a.v * sin(radians(30)) + b.v * sin(radians(120)) AS e FROM {x} a JOIN {x} b USING (i) WHERE a.key = '1' AND b.key = '2'),
+rr AS (SELECT 'R' AS key, i, -n * cos(radians(250.39)) - e * sin(radians(250.39)) AS v, n * sin(radians(250.39)) - e * cos(radians(250.39)) AS t FROM nn)"""
+SQL["op_stream_rotate"] = f"""WITH {GRID}, sr AS (SELECT {_ARRAY} AS key, h AS i, v FROM g), {_TURN.format(x="sr")}
+SELECT CASE c WHEN 0 THEN 'XX.STA.00.BHR' WHEN 1 THEN 'XX.STA.00.BHT' ELSE 'XX.STA.00.BHZ' END AS receiver, CAST(rr.i AS INTEGER) AS h, round(CASE c WHEN 0 THEN rr.v WHEN 1 THEN rr.t ELSE z.v END, 5) + 0.0 AS v
+FROM rr JOIN sr z ON z.i = rr.i AND z.key = 'Z', range(3) q(c)"""
+SQL["op_stream_response"] = SQL["op_remove_response"]
+_HIGH, _LOW = (filters.butterworth(4, f, k, 1.0) for f, k in ((0.05, "highpass"), (0.2, "lowpass")))
+SQL["op_process_recipe"] = f"""WITH RECURSIVE {_MERGED}, sr AS (SELECT {_ARRAY} AS key, h - 24 AS i, v - avg(v) OVER (PARTITION BY receiver) AS v FROM mg WHERE receiver IN ('click', 'view', 'error') QUALIFY h BETWEEN 24 AND 695),
+{_pass("hp", "sr", _HIGH, False)}, hv AS (SELECT key, i, y AS v FROM hp), {_TURN.format(x="hv")},
+pl AS (SELECT CAST(i AS INTEGER) AS k, i / 2 AS t FROM range(1343) r(i)), lx AS (SELECT pl.k, pl.t - rr.i AS d, v FROM rr, pl WHERE rr.i BETWEEN floor(pl.t) - 19 AND floor(pl.t) + 20),
+li AS (SELECT 'R' AS key, k AS i, sum(v * {_SINC.format(x="d")} * {_SINC.format(x="(d / 20)")}) AS v FROM lx GROUP BY k), {_pass("lp", "li", _LOW, False)},
+lm AS (SELECT i, y - avg(y) OVER () AS v FROM lp) SELECT 'XX.STA.00.BHR' AS receiver, CAST(i AS INTEGER) AS k, round(v * ({_ramp("i", 1343, 60)}), 4) + 0.0 AS v FROM lm"""
+_KINDS = {"hann": "0.5 - 0.5 * cos(pi() * t / 6)", "hamming": "0.54 - 0.46 * cos(pi() * t / 6)", "blackman": "0.42 - 0.5 * cos(pi() * t / 6) + 0.08 * cos(2 * pi() * t / 6)", "cosine": "sin(pi() * (t + 0.5) / 13)", "bartlett": "t / 6", "boxcar": "1.0"}
+SQL["window_types"] = "WITH k AS (SELECT CAST(k AS INTEGER) AS k, least(k, 64 - k) AS t FROM range(64) q(k)) SELECT k, " + ", ".join(f"CASE WHEN t < 6 OR k >= 58 THEN round({x}, 8) + 0.0 ELSE 1.0 END AS {n}" for n, x in _KINDS.items()) + " FROM k"

@@ -12,7 +12,7 @@ from lagoon.plans import correlation
 from lagoon.plans import fixtures as X
 from lagoon.plans.queries_basic import _STATION
 from lagoon.plans.register import GRID, VECTORS, Registry
-from lagoon.sources import store, waveforms
+from lagoon.sources import operations, store, waveforms
 
 Q = Registry()
 N, DELTA = X.HOURS, X.HOUR
@@ -407,3 +407,75 @@ def op_remove_response(spark, d):
 def op_remove_sensitivity(spark, d):
     x = waveforms.apply_operations(X.vectors(spark, d).select("vec_id", "x"), "x", [("remove_sensitivity", {"gain": 4})])
     return correlate.to_long(x, ["vec_id"], "x").select("vec_id", "k", tidy(F.col("v"), 6).alias("v"))
+
+
+# ---- operations on streams
+
+def _station(spark, d, gaps: bool = False):
+    """Clicks, views and errors as the components 1, 2 and Z of a station; whole, or in runs with gaps."""
+    channel = F.create_map(*[F.lit(v) for k in (("click", "BH1"), ("view", "BH2"), ("error", "BHZ")) for v in k])[F.col("receiver")]
+    named = F.concat(F.lit("XX.STA.00."), channel)
+    rows = X.traces(spark, d) if gaps else _whole(spark, d)
+    return rows.withColumn("receiver", named).where("receiver is not null")
+
+
+def _whole(spark, d):
+    start = F.expr(f"timestamp_ntz'{X.ORIGIN}'")
+    return X.series(spark, d).select("receiver", start.alias("starttime"), F.lit(DELTA).alias("delta"), F.size("x").alias("npts"), F.col("x").alias("data"))
+
+
+def _inventory(spark):
+    rows = [("XX.STA.00.BH1", 30.0, 0.0), ("XX.STA.00.BH2", 120.0, 0.0), ("XX.STA.00.BHZ", 0.0, -90.0)]
+    return spark.createDataFrame(rows, "receiver string, azimuth double, dip double")
+
+
+def _trace_long(t, digits, step="h"):
+    hour = F.floor(times.seconds(F.expr(f"timestamp_ntz'{X.ORIGIN}'"), F.col("starttime")) / F.col("delta")).cast("int")
+    x = t.select("receiver", hour.alias("_0"), F.posexplode("data").alias("_k", "v"))
+    return x.select("receiver", (F.col("_0") + F.col("_k")).alias(step), tidy(F.col("v"), digits).alias("v"))
+
+
+@Q()
+def op_stream_merge(spark, d):
+    return _trace_long(operations.process(X.traces(spark, d), [("merge", {"method": 1, "fill_value": "interpolate"})]), 5)
+
+
+@Q()
+def op_stream_running_rms(spark, d):
+    t = operations.process(_whole(spark, d), [("running_rms", {"window": 7 * DELTA})])
+    x = t.select("receiver", "starttime", "delta", F.posexplode("data").alias("k", "v"))
+    return x.select("receiver", "k", waveforms.after(F.col("starttime"), F.col("k") * F.col("delta")).alias("time"), F.round("v", 5).alias("rms"))
+
+
+@Q()
+def op_stream_rotate(spark, d):
+    ops = [("rotate", {"method": "->ZNE"}), ("rotate", {"method": "NE->RT", "back_azimuth": 250.39}), ("select", {"channel": "BH?"})]
+    return _trace_long(operations.process(_station(spark, d), ops, inventory=_inventory(spark)), 5)
+
+
+@Q()
+def op_stream_response(spark, d):
+    t = _whole(spark, d)
+    inventory = t.select("receiver", F.array(F.lit(0.0), F.lit(0.0)).alias("zeros"), F.array(*[F.lit(v) for v in (-1e-4, 1e-4, -1e-4, -1e-4)]).alias("poles"), F.lit(2.0).alias("gain"))
+    return _trace_long(operations.process(t, [("attach_response", {}), ("remove_response", {"output": "VEL"})], inventory=inventory), 3)
+
+
+@Q()
+def op_process_recipe(spark, d):
+    """A recipe as correlation runs use it: merged, filtered, rotated, resampled, trimmed and tapered."""
+    ops = [
+        ("merge", {"method": 1, "fill_value": "interpolate", "interpolation_samples": 0}), ("detrend", {"type": "demean"}), ("trim", {}),
+        ("filter", {"type": "highpass", "freq": 0.05 / DELTA}), ("rotate", {"method": "->ZNE"}), ("rotate", {"method": "NE->RT", "back_azimuth": 250.39}),
+        ("select", {"channel": "BHR"}), ("interpolate", {"sampling_rate": 2 / DELTA, "method": "lanczos", "a": 20}), ("filter", {"type": "lowpass", "freq": 0.4 / DELTA}),
+        ("detrend", {"type": "demean"}), ("taper", {"type": "cosine", "max_percentage": 0.05, "max_length": 30.0 * DELTA}),
+    ]
+    at = lambda h: waveforms.after(F.expr(f"timestamp_ntz'{X.ORIGIN}'"), F.lit(h * DELTA))
+    t = operations.process(_station(spark, d, True), ops, starttime=at(24), endtime=at(695), inventory=_inventory(spark), strict=True)
+    return t.select("receiver", F.posexplode("data").alias("k", "v")).select("receiver", "k", tidy(F.col("v"), 4).alias("v"))
+
+
+@Q()
+def window_types(spark, d):
+    kinds = list(A.RAMPS)
+    one = spark.range(1).select(F.posexplode(F.arrays_zip(*[A.window(F.lit(64), kind=c, max_length=6.0).alias(c) for c in kinds])).alias("k", "w"))
+    return one.select("k", *[tidy(F.col(f"w.{c}"), 8).alias(c) for c in kinds])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagoon.functions import names, times
-from lagoon.sources import waveforms
+from lagoon.sources import operations, waveforms
 
 
 @dataclass
@@ -22,7 +22,7 @@ class WaveformSource:
     archive_path: str | None = None
     max_gap: float = 300.0
     force_write: bool = False
-    operations: dict[str, list] = field(default_factory=dict)
+    operations: dict[str, list] = field(default_factory=dict)  # of operations on streams, by channel
 
     def __str__(self) -> str:
         return f"WaveformSource({len(self.tables)} tables, archive={self.archive_path}, max_gap={self.max_gap})"
@@ -38,27 +38,50 @@ class WaveformSource:
             found.append(p.join(seconds, F.col("receiver") == F.col("_r"), "left").drop("_r"))
         return waveforms.waterfall(found, ["receiver"], F.col("_s") >= least).drop("_s")
 
-    def processed(self, receiver: str, start: Column, stop: Column, rate: float, buffer: float = 0.05, strict: bool = False) -> DataFrame:
+    def processed(
+        self, receiver: str, start: Column, stop: Column, rate: float, buffer: float = 0.05, strict: bool = False, inventory: DataFrame | None = None, substitute: bool = True,
+    ) -> DataFrame:
         """Windows after the operations of their channel, at the expected sampling rate only and no
-        shorter than the window (by two samples at most where not strict)."""
-        w = self.window(receiver, start, stop, buffer).withColumn("_c", names.channel(F.col("receiver")))
-        known = list(self.operations)
+        shorter than the window (by two samples at most where not strict).
+
+        Gaps that ``max_gap`` lets in are closed first: by the recipe's own merge, else by straight lines. A
+        channel that ends in R or T is made of its station's three components (``substitute``), which its
+        recipe rotates; stations that lack one give nothing. Channels without a recipe are only merged.
+        """
+        close = ("merge", {"fill_value": "interpolate"})
+        run = lambda rows, recipe: operations.process(rows, recipe, starttime=start, endtime=stop, inventory=inventory)
+        traces = lambda pattern: self.window(pattern, start, stop, buffer).drop("source")
+        channel = names.channel(F.col("receiver"))
         done = None
-        for c in known:
-            x = waveforms.apply_operations(w.where(F.col("_c") == c), "data", self.operations[c])
+        for c, ops in self.operations.items():
+            recipe = ops if any(op[0] == "merge" for op in ops if not callable(op)) else [close, *ops]
+            if substitute and c[-1] in "RT":
+                if receiver != "%" and not receiver.endswith((c, "%")):
+                    continue
+                pattern = receiver if receiver.endswith("%") else receiver[:-1] + "_"
+                station = F.substring("receiver", 1, F.length("receiver") - 1)
+                parts = traces(pattern).where(F.substring(channel, 1, 2) == c[:2]).where(F.right(channel, F.lit(1)).isin(*"12ZNE"))
+                parts = waveforms.three_components(parts.withColumn("_s", station), "_s", "receiver").drop("_s")
+                x = run(parts, recipe).where(channel == c)
+            else:
+                x = run(traces(receiver).where(channel == c), recipe)
+            x = x.select(*operations.TRACE)
             done = x if done is None else done.unionByName(x)
-        rest = w.where(~F.col("_c").isin(known)) if known else w
+        known = list(self.operations)
+        rest = run(traces(receiver).where(~channel.isin(known)) if known else traces(receiver), [close])
         done = rest if done is None else done.unionByName(rest)
-        done = done.withColumn("npts", F.size("data"))
         short = times.seconds(start, stop) / F.col("delta") - F.col("npts")
-        return done.where((F.abs(F.col("delta") * rate - 1) < 1e-9) & (short <= (0 if strict else 2))).drop("_c")
+        return done.where((F.abs(F.col("delta") * rate - 1) < 1e-9) & (short <= (0 if strict else 2)))
 
     def pair(self, name: str, start: Column, stop: Column, rate: float, **options) -> DataFrame:
         """One row (pair, xa, xb) where both receivers of ``A-B`` have a window."""
         a, b = name.split("-")
-        x = self.processed(a, start, stop, rate, **options).select(F.col("data").alias("xa"))
-        y = self.processed(b, start, stop, rate, **options).select(F.col("data").alias("xb"))
-        return x.join(y).select(F.lit(name).alias("pair"), "xa", "xb")  # one trace on either side
+        one = lambda r, x: self.processed(r, start, stop, rate, **options).where(F.col("receiver") == r).select(F.lit(name).alias("pair"), F.col("data").alias(x))
+        return one(a, "xa").join(one(b, "xb"), "pair")
+
+    def write_back(self, receiver: str, start: Column, stop: Column) -> None:
+        """Archives the day slices of a window that a later source than the archive gave."""
+        self.store(self.window(receiver, start, stop, 0.0).where("source > 0").drop("source"))
 
     def store(self, traces: DataFrame, seconds: float = 86400.0) -> None:
         """Archives day slices; of incomplete days only where forced."""

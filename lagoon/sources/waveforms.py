@@ -5,6 +5,8 @@ A trace row is ``receiver, starttime, delta, npts, data``; the rows of a receive
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -243,8 +245,8 @@ def list_operations() -> list[str]:
 def apply_operations(df: DataFrame, column: str, operations: list, strict: bool = False) -> DataFrame:
     """``df`` with operations applied to a series column in order.
 
-    An operation is (name, params) or any callable of a column. Unknown names are skipped, or raise
-    where ``strict``. Each step is a projection of its own: neighbouring native ones are merged by
+    An operation is (name, params) or any callable of a column. Unknown names are skipped with a warning,
+    or raise where ``strict``. Each step is a projection of its own: neighbouring native ones are merged by
     Catalyst, kernels run where they stand.
     """
     from lagoon.operators import transforms
@@ -262,6 +264,7 @@ def apply_operations(df: DataFrame, column: str, operations: list, strict: bool
             if name not in known:
                 if strict:
                     raise ValueError(f"no such operation: {name}")
+                warnings.warn(f"skipped, no such operation: {name!r}", UserWarning, stacklevel=2)
                 continue
             steps = known[name](**params)
         for step in steps:
