@@ -48,6 +48,16 @@ def correlate(x: np.ndarray, y: np.ndarray, normalize: bool = False) -> np.ndarr
     return correlate_spectra(transformed(x, size), transformed(y, size), n, size, normalize)
 
 
+def circular(x: np.ndarray, y: np.ndarray, normalize: bool = False) -> np.ndarray:
+    """``correlate`` without padding: R[k] = sum_m x[(m + k) mod n] y[m], zero lag at index n // 2."""
+    r = np.fft.fftshift(np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), x.shape[-1]), axes=-1)
+    if normalize:
+        scale = np.linalg.norm(x, axis=-1) * np.linalg.norm(y, axis=-1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = r / np.where(scale > 0, scale, np.nan)[..., None]
+    return r
+
+
 def correlate2d(x: np.ndarray, y: np.ndarray, normalize: bool = True) -> np.ndarray:
     """Full 2-D correlation, (2a - 1) x (2b - 1), by the Frobenius norms."""
     a, b = x.shape[-2:]

@@ -49,18 +49,49 @@ def scales(delta: float, bandwidth: float, centre: float, count: int = 200) -> n
     return np.logspace(np.log10(2 * centre), np.log10(max(2 * centre * 1.01, centre * rate**2 / 2 if rate > 2 else 2 * centre * count / 4)), count)
 
 
-def cwt(x: np.ndarray, delta: float, scale: np.ndarray, bandwidth: float = 1.5, centre: float = 1.0):
-    """(frequencies, complex coefficients scales x samples) with a complex Morlet wavelet.
+#: wavelet -> (transform at frequency f of scale one, value at t of scale one) for bandwidth B and centre C
+WAVELETS = {
+    "cmor": (
+        lambda f, B, C: np.exp(-((np.pi * (f - C)) ** 2) * B),
+        lambda t, B, C: np.exp(2j * np.pi * C * t - t**2 / B) / np.sqrt(np.pi * B),
+    ),
+    "shan": (
+        lambda f, B, C: (np.abs(f - C) < B / 2) / np.sqrt(B) + 0.5 * (np.abs(f - C) == B / 2) / np.sqrt(B),
+        lambda t, B, C: np.sqrt(B) * np.sinc(B * t) * np.exp(2j * np.pi * C * t),
+    ),
+    "mexh": (
+        lambda f, B, C: 2 / (np.sqrt(3) * np.pi**0.25) * np.sqrt(2 * np.pi) * (2 * np.pi * f) ** 2 * np.exp(-((2 * np.pi * f) ** 2) / 2),
+        lambda t, B, C: 2 / (np.sqrt(3) * np.pi**0.25) * (1 - t**2) * np.exp(-(t**2) / 2),
+    ),
+}
 
-    psi(t) = exp(2 pi i C t) exp(-t^2 / B) / sqrt(pi B), by products of spectra with zero padding.
+
+def cwt(x: np.ndarray, delta: float, scale: np.ndarray, bandwidth: float = 1.5, centre: float = 1.0, wavelet: str = "cmor", method: str = "fft"):
+    """(frequencies, complex coefficients scales x samples), by default with a complex Morlet wavelet.
+
+    cmor: psi(t) = exp(2 pi i C t) exp(-t^2 / B) / sqrt(pi B); shan: sqrt(B) sinc(B t) exp(2 pi i C t);
+    mexh: the second derivative of a Gaussian, its centre at 0.25. ``fft``: products of spectra with zero
+    padding; ``conv``: sums with the sampled wavelet, which differ where a scale is but a few samples.
     """
     n = len(x)
+    spectrum, value = WAVELETS[wavelet]
+    centre_ = 0.25 if wavelet == "mexh" else centre
+    if method == "conv":
+        out = np.empty((len(scale), n), complex)
+        t = np.arange(1 - n, n)
+        for k, s in enumerate(scale):
+            psi = value(t / s, bandwidth, centre) / np.sqrt(s)
+            size = 1 << int(np.ceil(np.log2(max(2, 3 * n))))
+            out[k] = np.fft.ifft(np.fft.fft(x, size) * np.fft.fft(psi, size))[n - 1 : 2 * n - 1]
+        return centre_ / (scale * delta), out
+    if method != "fft":
+        raise ValueError(f"no such method: {method}")
     size = 1 << int(np.ceil(np.log2(max(2, 2 * n))))
     spec = np.fft.fft(x, size)
     f = np.fft.fftfreq(size)
     # Fourier transform of psi(t / s) / sqrt(s) for sample spacing one
-    bank = np.sqrt(scale)[:, None] * np.exp(-((np.pi * (scale[:, None] * f - centre)) ** 2) * bandwidth)
-    return centre / (scale * delta), np.fft.ifft(spec * bank, axis=-1)[:, :n]
+    bank = np.sqrt(scale)[:, None] * spectrum(scale[:, None] * f, bandwidth, centre)
+    return centre_ / (scale * delta), np.fft.ifft(spec * bank, axis=-1)[:, :n]
 
 
 def local_peaks(z: np.ndarray, distance: int = 1, relative: float = 0.0) -> list[tuple[int, int]]:

@@ -64,9 +64,19 @@ def pair_up(series: DataFrame, receiver: str = "receiver", x: str = "x", on: lis
     return j.select(names.pair(F.col("rx_a"), F.col("rx_b")).alias("pair"), "rx_a", "rx_b", *on, "xa", "xb")
 
 
-def cc(x: Column, y: Column, normalize: bool = False) -> Column:
-    """Full correlation by FFT."""
-    return binary(lambda a, b: fourier.correlate(a, b, normalize), x, y)
+def cc(x: Column, y: Column, normalize: bool = False, *, unbiased: bool = False, pad: bool = True, single: bool = False) -> Column:
+    """Full correlation by FFT. ``unbiased`` weighs lag k by n / (n - |k|); without ``pad`` it is circular,
+    n lags with zero lag at n // 2; ``single`` gives floats."""
+
+    def run(a, b):
+        n = a.shape[-1]
+        r = fourier.correlate(a, b, normalize) if pad else fourier.circular(a, b, normalize)
+        if unbiased:
+            r = r * (n / (n - np.abs(np.arange(r.shape[-1]) - (n - 1 if pad else n // 2))))
+        return r
+
+    out = binary(run, x, y)
+    return out.cast("array<float>") if single else out
 
 
 def _cell_batches(n: int, clip: tuple[int, int] | None, normalize: bool):

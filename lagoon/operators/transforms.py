@@ -110,12 +110,13 @@ def spectrogram(series: DataFrame, keys: list[str], x: str, delta: float, durati
     return series.select(*keys, x).where(F.col(x).isNotNull()).mapInPandas(table_kernel(one), f"{kinds}, freq double, psd array<double>")
 
 
-def cwt(series: DataFrame, keys: list[str], x: str, delta: float, *, scale=None, bandwidth: float = 1.5, centre: float = 1.0, magnitude: bool = False, freq_lim: tuple[float, float] | None = None) -> DataFrame:
-    """Rows (keys, freq, re, im), or (keys, freq, mag): complex Morlet wavelet coefficients."""
+def cwt(series: DataFrame, keys: list[str], x: str, delta: float, *, scale=None, bandwidth: float = 1.5, centre: float = 1.0, magnitude: bool = False, freq_lim: tuple[float, float] | None = None, wavelet: str = "cmor", method: str = "fft") -> DataFrame:
+    """Rows (keys, freq, re, im), or (keys, freq, mag): wavelet coefficients, of a complex Morlet wavelet by
+    default (``wavelet`` cmor, shan or mexh; ``method`` fft or conv)."""
     s = np.asarray(scale if scale is not None else spectral.scales(delta, bandwidth, centre), dtype=float)
 
     def one(row):
-        freq, z = spectral.cwt(np.asarray(row[x], dtype=float), delta, s, bandwidth, centre)
+        freq, z = spectral.cwt(np.asarray(row[x], dtype=float), delta, s, bandwidth, centre, wavelet, method)
         for f, c in zip(freq, z, strict=True):
             if freq_lim is None or freq_lim[0] <= f <= freq_lim[1]:
                 value = {"mag": np.abs(c)} if magnitude else {"re": c.real, "im": c.imag}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from lagoon.kernels import filters, spectral
 from lagoon.plans.queries_basic import _HITS, _UNBIASED, COUNT, THR
 from lagoon.plans.queries_data import _PLAN
-from lagoon.plans.queries_spectral import _SCALES
+from lagoon.plans.queries_spectral import _COUPLES, _FIT, _NEXT, _PERIODS, _SCALES
 from lagoon.plans.register import CROSS, GRID, VECTORS
 
 SQL: dict[str, str] = {}
@@ -185,3 +185,29 @@ li AS (SELECT 'R' AS key, k AS i, sum(v * {_SINC.format(x="d")} * {_SINC.format(
 lm AS (SELECT i, y - avg(y) OVER () AS v FROM lp) SELECT 'XX.STA.00.BHR' AS receiver, CAST(i AS INTEGER) AS k, round(v * ({_ramp("i", 1343, 60)}), 4) + 0.0 AS v FROM lm"""
 _KINDS = {"hann": "0.5 - 0.5 * cos(pi() * t / 6)", "hamming": "0.54 - 0.46 * cos(pi() * t / 6)", "blackman": "0.42 - 0.5 * cos(pi() * t / 6) + 0.08 * cos(2 * pi() * t / 6)", "cosine": "sin(pi() * (t + 0.5) / 13)", "bartlett": "t / 6", "boxcar": "1.0"}
 SQL["window_types"] = "WITH k AS (SELECT CAST(k AS INTEGER) AS k, least(k, 64 - k) AS t FROM range(64) q(k)) SELECT k, " + ", ".join(f"CASE WHEN t < 6 OR k >= 58 THEN round({x}, 8) + 0.0 ELSE 1.0 END AS {n}" for n, x in _KINDS.items()) + " FROM k"
+
+# ---- options
+
+SQL["cc_options"] = f"""WITH {_NEXT}, xy AS (SELECT p.vec_id, a.k AS i, b.k AS j, a.v * b.v AS v, na.n * nb.n AS n FROM p JOIN v a ON a.vec_id = p.vec_id JOIN v b ON b.vec_id = p.nx JOIN nm na ON na.vec_id = p.vec_id JOIN nm nb ON nb.vec_id = p.nx)
+SELECT vec_id, i - j AS lag, round(sum(v) / any_value(n) * 64 / (64 - abs(i - j)), 6) + 0.0 AS v, 'unbiased' AS kind FROM xy GROUP BY 1, 2
+UNION ALL SELECT vec_id, (i - j + 96) % 64 - 32 AS lag, round(sum(v), 6) + 0.0 AS v, 'circular' AS kind FROM xy GROUP BY 1, 2"""
+SQL["lombscargle_periods"] = f"""WITH {GRID}, x AS (SELECT receiver, h AS t, v - avg(v) OVER (PARTITION BY receiver) AS v FROM e),
+fq AS (SELECT 'period' AS kind, x, 2 * pi() / x AS w FROM (SELECT unnest({_PERIODS}) AS x) UNION ALL SELECT 'angular', x, x FROM (SELECT unnest([0.2, 0.5]) AS x)), w AS (SELECT * EXCLUDE (x.v), x.v AS v FROM x CROSS JOIN fq),
+ta AS (SELECT receiver, kind, x, any_value(w) AS w, atan2(sum(sin(2 * w * t)), sum(cos(2 * w * t))) / 2 / any_value(w) AS tau FROM w GROUP BY 1, 2, 3),
+p AS (SELECT w.receiver, w.kind, w.x, 0.5 * (pow(sum(v * cos(w.w * (t - tau))), 2) / sum(pow(cos(w.w * (t - tau)), 2)) + pow(sum(v * sin(w.w * (t - tau))), 2) / sum(pow(sin(w.w * (t - tau)), 2))) AS p, sum(v * v) AS vv, count(*) AS n
+  FROM w JOIN ta ON ta.receiver = w.receiver AND ta.kind = w.kind AND ta.x = w.x GROUP BY 1, 2, 3)
+SELECT receiver, kind, CAST(x AS DOUBLE) AS x, round(sqrt(4 * p / n), 6) AS amplitude, round(2 * p / vv, 8) AS share FROM p"""
+_LISTED = ", ".join(repr(float(x)) for x in _SCALES)
+SQL["cwt_conv"] = f"""WITH {GRID}, sc AS (SELECT CAST(unnest([{_LISTED}]) AS DOUBLE) AS s), tt AS (SELECT s, CAST(u AS INTEGER) AS u, u / s AS t FROM sc, range(-719, 720) q(u)),
+kn AS (SELECT 'cmor' AS wavelet, s, u, 1.0 AS c, cos(2 * pi() * t) * exp(-t * t / 1.5) / sqrt(pi() * 1.5 * s) AS re, sin(2 * pi() * t) * exp(-t * t / 1.5) / sqrt(pi() * 1.5 * s) AS im FROM tt
+  UNION ALL SELECT 'mexh', s, u, 0.25, 2 / (sqrt(3) * pow(pi(), 0.25)) * (1 - t * t) * exp(-t * t / 2) / sqrt(s), 0.0 FROM tt)
+SELECT a.receiver, kn.wavelet, round(any_value(kn.c) / kn.s, 9) AS freq, CAST(a.h + kn.u AS INTEGER) AS h, round(sum(a.v * kn.re), 3) + 0.0 AS re, round(sum(a.v * kn.im), 3) + 0.0 AS im
+FROM g a, kn WHERE a.h + kn.u BETWEEN 0 AND 719 GROUP BY a.receiver, kn.wavelet, kn.s, a.h + kn.u"""
+SQL["plane_wave_envelope"] = f"""WITH {CROSS}, {_COUPLES}, wc AS (SELECT a.receiver AS rx_a, b.receiver AS rx_b, CAST(a.h // 120 AS INTEGER) AS time, a.h - b.h AS lag, sum(a.v * b.v) AS cc FROM g a JOIN g b ON a.receiver < b.receiver AND a.h // 120 = b.h // 120 GROUP BY ALL),
+wk AS (SELECT rx_a || '|' || rx_b || '|' || time AS key, lag + 119 AS i, cc - avg(cc) OVER (PARTITION BY rx_a, rx_b, time) AS v FROM wc), {_envelope("wk", 239)},
+tk AS (SELECT key, i - 119 AS lag, row_number() OVER (PARTITION BY key ORDER BY round(v, 5) DESC, i) AS k FROM env),
+dl AS (SELECT split_part(key, '|', 1) AS rx_a, split_part(key, '|', 2) AS rx_b, CAST(split_part(key, '|', 3) AS INTEGER) AS time, CAST(lag AS DOUBLE) AS tau FROM tk WHERE k = 1), {_FIT}"""
+_DIGEST = VECTORS + """, rh AS (SELECT vec_id, any_value(label) AS label, sha256(concat_ws('|', CAST(vec_id AS VARCHAR), string_agg(CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY k))) AS h FROM v GROUP BY 1),
+rd AS (SELECT label, """ + ", ".join(f"CAST(('0x' || substr(h, {1 + 15 * k}, 15)) AS BIGINT) AS d{k}" for k in range(4)) + " FROM rh)"
+_SUMS = "sha256(concat_ws('|', CAST(count(*) AS VARCHAR), " + ", ".join(f"CAST(sum(d{k}) AS VARCHAR)" for k in range(4)) + ")) AS hash"
+SQL["dataset_hash"] = f"WITH {_DIGEST} SELECT label, {_SUMS} FROM rd GROUP BY label UNION ALL SELECT NULL, {_SUMS} FROM rd"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagoon.functions import arrays as A
+from lagoon.functions import hashing
 from lagoon.functions.core import tidy
 from lagoon.kernels import spectral
 from lagoon.operators import correlate, detect, matrix, transforms
@@ -180,6 +181,7 @@ def peak_local_max(spark, d):
 # ---- spectra of uneven samples
 
 _FREQS = [1 / 24, 1 / 12, 1 / 36, 0.1]
+_PERIODS = [24.0, 12.5, 7.3]
 
 
 @Q(f"""WITH {GRID}, x AS (SELECT receiver, h AS t, v - avg(v) OVER (PARTITION BY receiver) AS v FROM e), w AS (SELECT *, 2 * pi() * f AS w FROM x, (SELECT CAST(unnest({_FREQS}) AS DOUBLE) AS f)),
@@ -316,3 +318,45 @@ def pipeline_snr_windows(spark, d):
 def unbiased_envelope(spark, d):
     x = _clipped(spark, d).withColumn("cc", A.demean(F.col("cc"))).withColumn("x", transforms.envelope(F.col("cc")))
     return _long(x, ["pair"], F.col("x"), 1, "lag", -168)
+
+
+# ---- options
+
+@Q()
+def cc_options(spark, d):
+    """Unbiased, and circular without padding."""
+    p = X.vector_pairs(spark, d).select("vec_id", correlate.cc(F.col("x"), F.col("y"), True, unbiased=True).alias("u"), correlate.cc(F.col("x"), F.col("y"), pad=False).alias("c"))
+    u = _long(p, ["vec_id"], F.col("u"), 6, "lag", -63).withColumn("kind", F.lit("unbiased"))
+    return u.union(_long(p, ["vec_id"], F.col("c"), 6, "lag", -32).withColumn("kind", F.lit("circular"))).withColumn("lag", F.col("lag").cast("long"))
+
+
+@Q()
+def lombscargle_periods(spark, d):
+    c = X.cells(spark, d).select("receiver", F.col("h").cast("double").alias("t"), "v")
+    j = transforms.lombscargle(c, ["receiver"], "t", "v", _PERIODS, invert=True, more=True)
+    a = transforms.lombscargle(c, ["receiver"], "t", "v", [0.2, 0.5], angular=True, more=True)
+    return j.withColumn("kind", F.lit("period")).union(a.withColumn("kind", F.lit("angular"))).select("receiver", "kind", F.col("freq").alias("x"), F.round("amplitude", 6).alias("amplitude"), F.round("share", 8).alias("share"))
+
+
+@Q()
+def cwt_conv(spark, d):
+    s = transforms.cwt(X.series(spark, d), ["receiver"], "x", 1.0, scale=_SCALES, method="conv")
+    m = transforms.cwt(X.series(spark, d), ["receiver"], "x", 1.0, scale=_SCALES, wavelet="mexh", method="conv")
+    both = s.withColumn("wavelet", F.lit("cmor")).union(m.withColumn("wavelet", F.lit("mexh")))
+    p = both.select("receiver", "wavelet", "freq", F.posexplode(F.arrays_zip("re", "im")).alias("h", "p"))
+    return p.select("receiver", "wavelet", F.round("freq", 9).alias("freq"), "h", tidy(F.col("p.re"), 3).alias("re"), tidy(F.col("p.im"), 3).alias("im"))
+
+
+@Q()
+def plane_wave_envelope(spark, d):
+    w = X.grid(spark, d).withColumn("time", F.floor(F.col("h") / 120).cast("int"))
+    s = correlate.to_series(w, ["receiver", "time"], "h", "v")
+    p = correlate.pair_up(s, on=["time"]).withColumn("cc", correlate.cc(F.col("xa"), F.col("xb"))).withColumn("cc", A.demean(F.col("cc")))
+    return _beam(SeriesFrame(p, "cc").plane_wave_estimate(_geometry(spark), ["time"], envelope=True))
+
+
+@Q()
+def dataset_hash(spark, d):
+    """Hashes of the vectors of a label and (label NULL) of all."""
+    v = X.vectors(spark, d)
+    return hashing.hash_table(v, ["vec_id"], "x", ["label"]).union(hashing.hash_table(v, ["vec_id"], "x").select(F.lit(None).cast("int").alias("label"), "hash"))

@@ -122,9 +122,11 @@ class SeriesFrame:
         """A scalar column over (i, j) mirrored at the diagonal."""
         return matrix.tri_mirror(self.df, keys, i, j, {self.column: odd}, k)
 
-    def plane_wave_estimate(self, geometry: DataFrame, keys: list[str]) -> DataFrame:
-        """Plane waves from correlations of couples: rows (keys, rx_a, rx_b, correlation)."""
-        tau = self.df.select(*keys, "rx_a", "rx_b", correlate.shift(self.x, self.delta).alias("tau"))
+    def plane_wave_estimate(self, geometry: DataFrame, keys: list[str], envelope: bool = False) -> DataFrame:
+        """Plane waves from correlations of couples: rows (keys, rx_a, rx_b, correlation). Delays are those
+        of the largest absolute value, or of the largest of the ``envelope``."""
+        x = self.df.withColumn("_x", transforms.envelope(self.x) if envelope else A.absolute(self.x))
+        tau = x.select(*keys, "rx_a", "rx_b", correlate.shift(F.col("_x"), self.delta).cast("double").alias("tau"))
         return matrix.plane_wave(tau.join(geometry, ["rx_a", "rx_b"]), keys)
 
     def spectrogram(self, keys: list[str], duration: float, **options) -> DataFrame:

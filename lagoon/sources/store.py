@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lagoon.functions import hashing
+from lagoon.sources import operations
 
 
 def _dealt(data: DataFrame, time: str, pair: str) -> DataFrame:
@@ -55,17 +56,38 @@ def read_metadata(spark: SparkSession, path: str) -> dict:
     return {r.key: json.loads(r.value) for r in spark.read.parquet(f"{path}/meta").collect()}  # a few attributes
 
 
-def validate(metadata: dict, metadata_hash: str | None = None, required: tuple[str, ...] = ("title", "institution", "author", "source")) -> bool:
-    """Whether required attributes are there and the hash is theirs (and the one expected)."""
+def validate(
+    metadata: dict, metadata_hash: str | None = None, required: tuple[str, ...] = ("title", "institution", "author", "source"), *,
+    preprocess_hash: str | None = None, version: str | None = None, columns: dict[str, str] | None = None, schema=None,
+) -> bool:
+    """Whether required attributes are there and the hash is theirs (and the one expected).
+
+    Further gates where given: the hash of the ``preprocess`` recipes (JSON, whose own hash must hold), the
+    version that wrote the table, and columns by name and type that a ``schema`` must have.
+    """
     own = metadata.get("sha256_hash_metadata")
-    return all(k in metadata for k in required) and own == hashing.hash_object(metadata) and (metadata_hash is None or own == metadata_hash)
+    if not all(k in metadata for k in required) or own != hashing.hash_object(metadata) or (metadata_hash is not None and own != metadata_hash):
+        return False
+    if preprocess_hash is not None:
+        try:
+            if operations.operations_to_dict(metadata.get("preprocess", "{}"))["sha256_hash"] != preprocess_hash:
+                return False
+        except ValueError:
+            return False
+    if version is not None and metadata.get("lagoon_version") != version:
+        return False
+    have = {f.name: f.dataType.simpleString() for f in schema} if schema is not None else {}
+    return columns is None or all(have.get(c) == kind for c, kind in columns.items())
 
 
 def read(spark: SparkSession, path: str, extract: bool = False, **checks) -> DataFrame | None:
     """The table, or None where its metadata are not valid; ``extract`` hides what is not done."""
-    if not validate(read_metadata(spark, path), **checks):
-        return None
     data = spark.read.parquet(f"{path}/xc")
+    if not validate(read_metadata(spark, path), schema=data.schema, **checks):
+        return None
+    for f in data.schema:  # spans of time are read as seconds
+        if f.dataType.typeName().startswith("interval day") or f.dataType.simpleString().startswith("interval day"):
+            data = data.withColumn(f.name, F.extract(F.lit("DAY"), f.name) * 86400.0 + F.extract(F.lit("HOUR"), f.name) * 3600 + F.extract(F.lit("MINUTE"), f.name) * 60 + F.extract(F.lit("SECOND"), f.name).cast("double"))
     return _masked(data) if extract else data
 
 
