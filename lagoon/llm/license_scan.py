@@ -7,10 +7,11 @@ anchors that continue a template in order, with gaps of at most ``MAX_GAP`` word
 chained, and a chain's covered share of its template is that template's score. A template whose
 best chain covers at least ``MIN_COVER`` adds its label. Base phrases are templates that need full
 cover; their places are read from the same stream: a phrase stands where the match reaches its length
-in a state that holds it.
+in a state that holds it. Places of base phrases are confirmed word by word; anchors rest on the 64-bit
+hashes by which words are recognised.
 
 Only runs of words that the templates use are streamed: a word outside their vocabulary resets the
-match, so it needs no step. Words are recognised by hash, vectorised over a batch, and confirmed.
+match, so it needs no step. Words are recognised by hash, vectorised over a batch.
 
 Defined cases: null and empty texts have no words, empty labels, null places and score 0. Repeated
 rows give repeated answers. Other columns are ignored. Memory grows with one text at a time.
@@ -36,7 +37,8 @@ MIN_COVER = 0.75
 # Base phrases and labels, which the contract of the query names.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Passages and notices of public licences, each with the label that it adds.
+# Passages and notices of public licences, each with the label that it adds. The passages of
+# MIT, ISC, zlib and the BSD licences are their whole texts, without names and numbers.
 TEMPLATES: list[tuple[str, str]] = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
     ("mit", "licensed under the mit license"),
@@ -54,6 +56,20 @@ TEMPLATES: list[tuple[str, str]] = [
     ("cc-by-sa", "licensed under a creative commons attribution sharealike international license"),
     ("cc-by-nc", "licensed under a creative commons attribution noncommercial international license"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
+    ("zlib", "the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("zlib", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
 ]
 
 

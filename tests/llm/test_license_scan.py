@@ -103,3 +103,68 @@ def test_every_notice_of_a_text_has_a_span():
     assert found == [(70, 70 + n), (140 + n, 140 + 2 * n), (140 + 2 * n, 140 + 3 * n)]
     assert {(label, f, e) for f, e in found} <= {s[:3] for s in many[7]}
     assert many[5] == one[5] and many[6] == one[6] == 1.0
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
+
+
+def test_a_whole_licence_is_covered():
+    data, off = K.from_strings([MIT])
+    row = next(iter(S.Scanner().report(data, off)))
+    covered = set()
+    for label, first, end, _ in row[7]:
+        if label == "mit":
+            covered |= set(range(first, end))
+    assert row[5].split(",") == ["mit"] and len(covered) >= row[0] - 8  # the title and the owner's line are no passage
+
+
+def plain_chain(anchors, size, gap):
+    """The most words of a template that anchors cover in order, by trying every subset of a few."""
+    best = 0
+    for mask in range(1, 1 << len(anchors)):
+        chosen = sorted(a for k, a in enumerate(anchors) if mask >> k & 1)
+        ok, total = True, 0
+        for k, (start, at, length) in enumerate(chosen):
+            if k:
+                s0, a0, n0 = chosen[k - 1]
+                ok &= s0 + n0 <= start <= s0 + n0 + gap and a0 + n0 <= at <= a0 + n0 + gap
+            total += length
+        best = max(best, total if ok else 0)
+    return min(1.0, best / size)
+
+
+def test_chains_against_every_subset():
+    """Edited copies of a passage whose matches do not overlap: the best chain is the best subset."""
+    rng = random.Random(14)
+    words = [f"t{k}" for k in range(60)]
+    scanner = S.Scanner({}, [("x", " ".join(words))])
+    for _ in range(60):
+        text = list(words)
+        for _ in range(rng.randrange(1, 5)):
+            at = rng.randrange(len(text))
+            change = rng.randrange(3)
+            text[at : at + rng.choice([0, 1, 30]) * (change > 0)] = [f"n{rng.randrange(9)}" for _ in range(rng.choice([1, 2, 30]) * (change < 2))]
+        tokens = np.array([scanner.vocab.get(w, -1) for w in text])
+        found, run = [], 0
+        for i in range(len(text)):  # maximal runs that follow the template
+            run = run + 1 if run and tokens[i] >= 0 and text[i] == f"t{int(text[i - 1][1:]) + 1}" else int(text[i][0] == "t")
+            follows = i + 1 < len(text) and run and text[i + 1] == f"t{int(text[i][1:]) + 1}"
+            if run >= S.MIN_MATCH and not follows:
+                found.append((i + 1 - run, int(text[i][1:]) + 1 - run, run))
+        _, anchors = scanner.scan(tokens)
+        chains = scanner.chains(anchors)
+        got = max((c for c, _, _ in chains.get(0, [])), default=0.0)
+        assert abs(got - plain_chain(found, 60, S.MAX_GAP)) < 1e-9, text
