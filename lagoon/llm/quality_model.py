@@ -3,7 +3,7 @@
 Statistics of a whole text (shares of byte classes, word lengths, repetition of words and word pairs,
 lines, entropy) are computed from its bytes, vectorised over a batch. The trees are grown on the driver
 in numpy over binned statistics of at most about ``MAX_ROWS`` labelled rows, chosen by a hash of the
-id; nothing else is bounded. They are flattened into arrays of complete binary trees, so that
+id, one of each id and label however often its documents are repeated; nothing else is bounded. They are flattened into arrays of complete binary trees, so that
 scoring is a vectorised descent of all rows at once, without a Python step per row.
 
 Defined cases: null and empty texts have the statistics of an empty text and get a score like others.
@@ -206,12 +206,14 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def run(batches):
         for batch in batches:
-            x = stats(*K.buffers(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "x"])
+            x = stats(*K.buffers(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "y", "x"])
 
     # the labels are a bounded sample of two numbers a row: broadcast, so that texts are not shuffled
     picked = docs.select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).join(F.broadcast(use), F.col("_d") == F.col("_i"))
-    got = picked.select("_y", "_t").mapInArrow(lean(run), "y double, x binary").collect()
+    # one row of each id and label, the smallest, so that repeated documents add nothing
+    once = picked.select(F.xxhash64("_i").alias("h"), "_y", "_t").mapInArrow(lean(run), "h long, y double, x binary").groupBy("h", "y").agg(F.min("x").alias("x"))
+    got = once.select("y", "x").collect()
     if not got:
         return Trees(4, 0.0)
     rows = sorted((r.x, r.y) for r in got)  # an order of its own: sums of floats depend on it

@@ -1,11 +1,15 @@
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from lagoon.llm import quality_model as Q
 from lagoon.llm import textkernel as K
+from lagoon.llm.quality_rules import STOP_WORDS
 
 
 def auc(y, s):
@@ -86,3 +90,51 @@ def test_no_labels_one_class_empty(spark):
     one = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
     assert min(r.score for r in Q.report(df, one).collect()) > 0.99
     assert Q.report(df.limit(0), one).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of one text, word by word."""
+    raw = text.encode()
+    kinds = [sum(Q._KIND[b] == k for b in raw) for k in range(len(Q.KINDS))]
+    n = max(len(raw), 1)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(raw).values())
+    words = re.findall(rb"[^\x20\x09-\x0d]+", raw)
+    low = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+    some = max(len(words), 1)
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / some
+    share = lambda x: len(set(x)) / len(x) if x else 1.0
+    runs = lambda k: [tuple(low[i : i + k]) for i in range(len(low) - k + 1)] if len(low) >= k else ([tuple(low)] if low else [])
+    upper = [sum(65 <= b <= 90 for b in w) for w in words]
+    same = [i > 0 and low[i] == low[i - 1] for i in range(len(low))]
+    shout = [u >= 2 and 2 * u > len(w) for u, w in zip(upper, words, strict=True)]
+    tagged = [Q._KIND[w[-1]] in (8, 9) or (Q._KIND[w[-1]] == 7 and s) for w, s in zip(words, shout, strict=True)]
+    odd = [a or b or c for a, b, c in zip(same, shout, tagged, strict=True)]
+    worst = max((sum(odd[i : i + 100]) / len(odd[i : i + 100]) for i in range(0, len(odd), 100)), default=0.0)
+    lines = [x for x in bytes(b + 32 if 65 <= b <= 90 else b for b in raw).split(b"\n") if x]
+    stops = {w.encode() for w in STOP_WORDS}
+    return [
+        *(k / n for k in kinds), entropy, math.log1p(len(text)), math.log1p(len(words)), mean, math.sqrt(max(sum(v * v for v in lengths) / some - mean**2, 0)), max(lengths, default=0),
+        share(low), share(runs(2)), share(runs(4)), sum(same) / some, sum(w in stops for w in low) / some, sum(65 <= w[0] <= 90 for w in words) / some, sum(shout) / some, sum(tagged) / some,
+        len(text) / max(len(lines), 1), share(lines), len(words) / (1 + kinds[Q.KINDS.index("stop")]), worst,
+    ]
+
+
+def test_statistics_equal_a_plain_version():
+    rng = random.Random(21)
+    pool = ["the", "The", "Der", "été", "WORD!!", "AB", "x#", "a|", "ok!", "...", "12,5", "語語", "café", "(y)"]
+    texts = ["", " ", "\n\n", "one", "A", "é", "x\n\ny\nx", "WOW!! WOW!! wow"]
+    texts += ["".join(rng.choice(pool) + rng.choice([" ", " ", "\n", "\t", "  "]) for _ in range(rng.choice([1, 3, 4, 99, 100, 101, 350]))) for _ in range(60)]
+    got = Q.Statistics()(*K.from_strings(texts))
+    assert got.shape[1] == len(Q.FEATURES)
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, plain_statistics(t), rtol=1e-5, atol=1e-5), (t, [(f, a, b) for f, a, b in zip(Q.FEATURES, row, plain_statistics(t), strict=True) if abs(a - b) > 1e-4])
+
+
+def test_repeated_documents_add_nothing(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["the house", "GO!! NOW!!", "is old"][: 1 + 2 * (i % 2)]) for _ in range(40))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in rows], "doc_id long, quality int")
+    one, many = (spark.createDataFrame(rows * k, "doc_id long, text string") for k in (1, 3))
+    a, b = Q.train(one, labels), Q.train(many.repartition(7), labels)
+    assert np.array_equal(a.leaf, b.leaf) and np.array_equal(a.threshold, b.threshold)
