@@ -1,4 +1,5 @@
-"""Command line: ``python -m lagoon.cli snr|ct|psd|plmax|timelapse|swresp|beamform|list --xc PATH ... --out PATH``."""
+"""Command line: ``python -m lagoon.cli snr|ct|psd|plmax|timelapse|swresp|beamform|list --xc PATH ... --out PATH``,
+or ``run --config FILE``."""
 
 from __future__ import annotations
 
@@ -9,14 +10,15 @@ from pyspark.sql import functions as F
 
 from lagoon.functions import names, times
 from lagoon.operators import correlate, matrix
-from lagoon.plans import pipelines
+from lagoon.plans import pipelines, production
 from lagoon.sources import client, store
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lagoon")
-    p.add_argument("command", choices=["list", "snr", "ct", "psd", "plmax", "timelapse", "swresp", "beamform"])
-    p.add_argument("--xc", nargs="+", required=True, help="stored correlation tables (for ct: a table of ratios)")
+    p.add_argument("command", choices=["run", "list", "snr", "ct", "psd", "plmax", "timelapse", "swresp", "beamform"])
+    p.add_argument("--config", help="run: JSON file that says what to correlate")
+    p.add_argument("--xc", nargs="+", default=[], help="stored correlation tables (for ct: a table of ratios)")
     p.add_argument("--out", help="folder of the result")
     p.add_argument("--pair", default="%", help="LIKE pattern of pairs")
     p.add_argument("--start", help="first time, included")
@@ -85,6 +87,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     a = parser().parse_args(argv)
     spark = spark or SparkSession.builder.appName(f"lagoon-{a.command}").getOrCreate()
     spark.sparkContext.setLogLevel("DEBUG" if a.debug else "WARN")
+    if a.command == "run":
+        print(production.run_file(spark, a.config))
+        return
+    if not a.xc:
+        raise SystemExit("--xc names no table")
     out = compute(spark, a)
     if a.out:
         out.write.mode("append" if a.update else "overwrite").parquet(a.out)

@@ -44,34 +44,14 @@ class WaveformSource:
         """Windows after the operations of their channel, at the expected sampling rate only and no
         shorter than the window (by two samples at most where not strict).
 
-        Gaps that ``max_gap`` lets in are closed first: by the recipe's own merge, else by straight lines. A
-        channel that ends in R or T is made of its station's three components (``substitute``), which its
-        recipe rotates; stations that lack one give nothing. Channels without a recipe are only merged.
+        Channels pass their recipes as in ``operations.process_channels``: gaps that ``max_gap`` lets in are
+        closed, and a receiver whose channel ends in R or T is made of its station's components.
         """
-        close = ("merge", {"fill_value": "interpolate"})
-        run = lambda rows, recipe: operations.process(rows, recipe, starttime=start, endtime=stop, inventory=inventory)
-        traces = lambda pattern: self.window(pattern, start, stop, buffer).drop("source")
-        channel = names.channel(F.col("receiver"))
-        done = None
-        for c, ops in self.operations.items():
-            recipe = ops if any(op[0] == "merge" for op in ops if not callable(op)) else [close, *ops]
-            if substitute and c[-1] in "RT":
-                if receiver != "%" and not receiver.endswith((c, "%")):
-                    continue
-                pattern = receiver if receiver.endswith("%") else receiver[:-1] + "_"
-                station = F.substring("receiver", 1, F.length("receiver") - 1)
-                parts = traces(pattern).where(F.substring(channel, 1, 2) == c[:2]).where(F.right(channel, F.lit(1)).isin(*"12ZNE"))
-                parts = waveforms.three_components(parts.withColumn("_s", station), "_s", "receiver").drop("_s")
-                x = run(parts, recipe).where(channel == c)
-            else:
-                x = run(traces(receiver).where(channel == c), recipe)
-            x = x.select(*operations.TRACE)
-            done = x if done is None else done.unionByName(x)
-        known = list(self.operations)
-        rest = run(traces(receiver).where(~channel.isin(known)) if known else traces(receiver), [close])
-        done = rest if done is None else done.unionByName(rest)
+        turned = substitute and receiver[-1] in "RT"
+        rows = self.window(receiver[:-1] + "_" if turned else receiver, start, stop, buffer).drop("source")
+        done = operations.process_channels(rows, self.operations, starttime=start, endtime=stop, inventory=inventory, substitute=substitute)
         short = times.seconds(start, stop) / F.col("delta") - F.col("npts")
-        return done.where((F.abs(F.col("delta") * rate - 1) < 1e-9) & (short <= (0 if strict else 2)))
+        return done.where(F.col("receiver").like(receiver) & (F.abs(F.col("delta") * rate - 1) < 1e-9) & (short <= (0 if strict else 2)))
 
     def pair(self, name: str, start: Column, stop: Column, rate: float, **options) -> DataFrame:
         """One row (pair, xa, xb) where both receivers of ``A-B`` have a window."""

@@ -6,6 +6,9 @@ may mix rates. Unknown names are skipped with a warning, or raise where ``strict
 
 An inventory is a table (receiver, azimuth, dip, zeros, poles, gain): degrees, and zeros and poles in
 rad/s as arrays of real and imaginary parts in turn; columns that are not needed may lack.
+
+Further columns are keys that stay, such as the number of a window: traces that differ in one are never
+merged or rotated together, so many windows pass through a recipe at once.
 """
 
 from __future__ import annotations
@@ -35,6 +38,10 @@ BAND_CODES = "FGDCESHBMLVURPTQ"
 SLOW_BANDS = ((100.0, "U"), (10.0, "V"), (1.0, "L"))
 
 
+def _extras(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in TRACE and c != "response"]
+
+
 def _data(df: DataFrame, x: Column, delta: Column | None = None) -> DataFrame:
     """``df`` with other samples (and step); ``npts`` follows."""
     df = df.withColumn("data", x)
@@ -48,7 +55,7 @@ def merge(df: DataFrame, method: int = 1, fill_value: str | float | None = None,
     if method != 1 or interpolation_samples:
         raise ValueError("merge takes method 1 without samples of interpolation across overlaps")
     p = F.array_sort(F.collect_list(F.struct("starttime", F.col("npts").alias("n"), F.col("data").alias("v"))))
-    sets = df.where("npts > 0").groupBy("receiver", "delta").agg(p.alias("_p"))
+    sets = df.where("npts > 0").groupBy("receiver", "delta", *_extras(df)).agg(p.alias("_p"))
     at = lambda p, q: F.round(times.seconds(p[0]["starttime"], q["starttime"]) / F.col("delta")).cast("int")
 
     def joined(parts: Column) -> Column:
@@ -78,7 +85,7 @@ def merge(df: DataFrame, method: int = 1, fill_value: str | float | None = None,
         return let(placed, beyond)
 
     out = sets.withColumn("starttime", F.col("_p")[0]["starttime"]).withColumn("data", let(F.col("_p"), whole))
-    return out.withColumn("npts", F.size("data")).select(*TRACE)
+    return out.withColumn("npts", F.size("data")).select(*TRACE, *_extras(df))
 
 
 def select(df: DataFrame, network: str | None = None, station: str | None = None, location: str | None = None, channel: str | None = None, component: str | None = None, sampling_rate: float | None = None) -> DataFrame:
@@ -102,7 +109,7 @@ def trim(df: DataFrame, starttime: Column | None = None, endtime: Column | None
     """Samples from ``starttime`` to ``endtime``, both included; traces outside go."""
     if starttime is None or endtime is None:
         raise ValueError("trim needs the start and the end of the window")
-    return waveforms.get_waveforms(df, "%", starttime, endtime)
+    return waveforms.get_waveforms(df, "%", starttime, endtime, keep=[c for c in df.columns if c not in TRACE])
 
 
 def _stem(c: str = "receiver") -> Column:
@@ -114,7 +121,8 @@ def rotate(df: DataFrame, method: str = "->ZNE", back_azimuth: float | None = No
     azimuths and dips (without one: 1 and N north, 2 and E east, Z up); stations that lack a component
     go. ``NE->RT``: radial and transverse for a back azimuth in degrees; other components stay."""
     comp = F.right(F.col("receiver"), F.lit(1))
-    by = ["_stem", "starttime", "delta", "npts"]
+    extras = _extras(df)
+    by = ["_stem", "starttime", "delta", "npts", *extras]
     if method == "NE->RT":
         if back_azimuth is None:
             raise ValueError("NE->RT needs a back azimuth")
@@ -122,8 +130,8 @@ def rotate(df: DataFrame, method: str = "->ZNE", back_azimuth: float | None = No
         two = rows.where(F.col("_c").isin("N", "E")).groupBy(*by).agg(*[F.max(F.when(F.col("_c") == c, F.struct("data")))["data"].alias(c) for c in "NE"]).where("N is not null and E is not null")
         r, t = waveforms.rotate(F.col("N"), F.col("E"), F.lit(float(back_azimuth)))
         turned = two.select(*by, F.explode(F.array(F.struct(F.lit("R").alias("c"), r.alias("data")), F.struct(F.lit("T").alias("c"), t.alias("data")))).alias("_x"))
-        turned = turned.select(F.concat("_stem", "_x.c").alias("receiver"), "starttime", "delta", "npts", "_x.data")
-        return turned.unionByName(df.where(~comp.isin("N", "E")).select(*TRACE))
+        turned = turned.select(F.concat("_stem", "_x.c").alias("receiver"), "starttime", "delta", "npts", "_x.data", *extras)
+        return turned.unionByName(df.where(~comp.isin("N", "E")).select(*TRACE, *extras))
     if method != "->ZNE":
         raise ValueError(f"no such rotation: {method}")
     if inventory is None:
@@ -144,7 +152,7 @@ def rotate(df: DataFrame, method: str = "->ZNE", back_azimuth: float | None = No
     v = [F.col("_p")[i]["v"] for i in range(3)]
     mixed = lambda w: F.transform(v[0], lambda x, k: w[0] * x + w[1] * F.get(v[1], k) + w[2] * F.get(v[2], k))
     out = three.withColumn("_w", inverse).select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), mixed(F.col("_w")[j]).alias("data")) for j, c in enumerate("NEZ")])).alias("_x"))
-    return out.select(F.concat("_stem", "_x.c").alias("receiver"), "starttime", "delta", "npts", "_x.data")
+    return out.select(F.concat("_stem", "_x.c").alias("receiver"), "starttime", "delta", "npts", "_x.data", *extras)
 
 
 def attach_response(df: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
@@ -333,6 +341,30 @@ def process(traces: DataFrame, operations: list, *, starttime: Column | None = N
     return traces
 
 
+def process_channels(traces: DataFrame, recipes: dict[str, list], *, starttime: Column | None = None, endtime: Column | None = None, inventory: DataFrame | None = None, substitute: bool = True) -> DataFrame:
+    """Each channel's traces after its recipe.
+
+    Gaps are closed first: by the recipe's own merge, else by straight lines. A channel that ends in R or T
+    is made of its station's three components (``substitute``), which its recipe rotates; stations that
+    lack one give nothing. Channels without a recipe are only merged.
+    """
+    close = ("merge", {"fill_value": "interpolate"})
+    extras = _extras(traces)
+    run = lambda rows, ops: process(rows, ops, starttime=starttime, endtime=endtime, inventory=inventory).select(*TRACE, *extras)
+    channel = names.channel(F.col("receiver"))
+    parts = []
+    for c, ops in filter_operations(recipes).items() if "sha256_hash" in recipes else recipes.items():
+        recipe = ops if any(op[0] == "merge" for op in ops if not callable(op)) else [close, *ops]
+        if substitute and c[-1] in "RT":
+            three = traces.where((F.substring(channel, 1, 2) == c[:2]) & F.right(channel, F.lit(1)).isin(*"12ZNE")).withColumn("_s", _stem())
+            three = waveforms.three_components(three, ["_s", *extras], "receiver").drop("_s")
+            parts.append(run(three, recipe).where(channel == c))
+        else:
+            parts.append(run(traces.where(channel == c), recipe))
+    parts.append(run(traces.where(~channel.isin(list(recipes))) if recipes else traces, [close]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def filter_operations(recipes: dict) -> dict:
     """The recipes of SEED channels: three characters that begin with a band code."""
     return {c: ops for c, ops in recipes.items() if len(c) == 3 and c[0] in BAND_CODES}

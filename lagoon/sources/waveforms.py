@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lagoon.functions import arrays as A
 from lagoon.functions import times
+from lagoon.functions.core import let
 
 
 def after(start: Column, seconds: Column) -> Column:
@@ -29,18 +30,19 @@ def end_time(start: Column, delta: Column, npts: Column) -> Column:
     return after(start, (npts - 1) * delta)
 
 
-def get_waveforms(traces: DataFrame, receiver: str, start: Column, stop: Column, buffer: float = 0.0) -> DataFrame:
+def get_waveforms(traces: DataFrame, receiver: str, start: Column, stop: Column, buffer: float = 0.0, keep: list[str] | None = None) -> DataFrame:
     """Samples of the traces of ``receiver`` (% is a wildcard) within start .. stop, widened on both
-    sides by ``buffer`` times the span."""
+    sides by ``buffer`` times the span. Columns ``keep`` stay, and start and stop may be made of them."""
     extra = times.seconds(start, stop) * buffer
     lo, hi = after(start, -extra), after(stop, extra)
-    t = traces.withColumn("_end", end_time(F.col("starttime"), F.col("delta"), F.col("npts")))
-    t = t.where(F.col("receiver").like(receiver) & (F.col("starttime") <= hi) & (F.col("_end") >= lo))
-    first = F.greatest(F.lit(0), F.ceil(_samples(times.seconds(F.col("starttime"), lo), F.col("delta")))).cast("int")
-    last = F.least(F.col("npts") - 1, F.floor(_samples(times.seconds(F.col("starttime"), hi), F.col("delta")))).cast("int")
-    t = t.withColumn("_a", first).withColumn("_n", last - first + 1).where("_n > 0")
+    # bounds in samples, each worked out once a row
+    span = F.struct(times.seconds(F.col("starttime"), lo).alias("lo"), times.seconds(F.col("starttime"), hi).alias("hi"))
+    first = lambda s: F.greatest(F.lit(0), F.ceil(_samples(s["lo"], F.col("delta")))).cast("int")
+    last = lambda s: F.least(F.col("npts") - 1, F.floor(_samples(s["hi"], F.col("delta")))).cast("int")
+    bounds = let(span, lambda s: let(first(s), lambda a: F.struct(a.alias("a"), (last(s) - a + 1).alias("n"))))
+    t = traces.where(F.col("receiver").like(receiver) & (F.col("starttime") <= hi)).withColumn("_w", bounds).where("_w.n > 0").withColumn("_a", F.col("_w.a")).withColumn("_n", F.col("_w.n"))
     moved = after(F.col("starttime"), F.col("_a") * F.col("delta"))
-    return t.select("receiver", moved.alias("starttime"), "delta", F.col("_n").alias("npts"), F.slice("data", F.col("_a") + 1, F.col("_n")).alias("data"))
+    return t.select("receiver", moved.alias("starttime"), "delta", F.col("_n").alias("npts"), F.slice("data", F.col("_a") + 1, F.col("_n")).alias("data"), *(keep or []))
 
 
 def waterfall(sources: list[DataFrame], keys: list[str], complete: Column) -> DataFrame:
@@ -144,7 +146,7 @@ def rotate(north: Column, east: Column, back_azimuth: Column) -> tuple[Column, C
     return r, t
 
 
-def three_components(series: DataFrame, station: str, channel: str, needed: int = 3) -> DataFrame:
+def three_components(series: DataFrame, station: str | list[str], channel: str, needed: int = 3) -> DataFrame:
     """Rows of stations that have all components."""
     n = F.size(F.collect_set(channel).over(Window.partitionBy(station)))
     return series.withColumn("_n", n).where(F.col("_n") == needed).drop("_n")
