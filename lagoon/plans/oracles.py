@@ -184,7 +184,7 @@ pl AS (SELECT CAST(i AS INTEGER) AS k, i / 2 AS t FROM range(1343) r(i)), lx AS
 li AS (SELECT 'R' AS key, k AS i, sum(v * {_SINC.format(x="d")} * {_SINC.format(x="(d / 20)")}) AS v FROM lx GROUP BY k), {_pass("lp", "li", _LOW, False)},
 lm AS (SELECT i, y - avg(y) OVER () AS v FROM lp) SELECT 'XX.STA.00.BHR' AS receiver, CAST(i AS INTEGER) AS k, round(v * ({_ramp("i", 1343, 60)}), 4) + 0.0 AS v FROM lm"""
 _KINDS = {"hann": "0.5 - 0.5 * cos(pi() * t / 6)", "hamming": "0.54 - 0.46 * cos(pi() * t / 6)", "blackman": "0.42 - 0.5 * cos(pi() * t / 6) + 0.08 * cos(2 * pi() * t / 6)", "cosine": "sin(pi() * (t + 0.5) / 13)", "bartlett": "t / 6", "boxcar": "1.0"}
-SQL["window_types"] = "WITH k AS (SELECT CAST(k AS INTEGER) AS k, least(k, 64 - k) AS t FROM range(64) q(k)) SELECT k, " + ", ".join(f"CASE WHEN t < 6 OR k >= 58 THEN round({x}, 8) + 0.0 ELSE 1.0 END AS {n}" for n, x in _KINDS.items()) + " FROM k"
+SQL["window_types"] = "WITH k AS (SELECT CAST(k AS INTEGER) AS k, least(k, 64 - k) AS t FROM range(64) q(k)) SELECT k, " + ", ".join(f"CAST(CASE WHEN t < 6 OR k >= 58 THEN round({x}, 8) + 0.0 ELSE 1.0 END AS DOUBLE) AS {n}" for n, x in _KINDS.items()) + " FROM k"
 
 # ---- options
 
