@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -48,6 +50,34 @@ def correlate(x: np.ndarray, y: np.ndarray, normalize: bool = False) -> np.ndarr
     return correlate_spectra(transformed(x, size), transformed(y, size), n, size, normalize)
 
 
+def _direct(x: np.ndarray, y: np.ndarray, k: int) -> tuple[float, float]:
+    """Correlation of two series at lag ``k``, and the same of absolute values, each rounded once."""
+    n = len(x)
+    p = x[max(k, 0) : n + min(k, 0)] * y[max(-k, 0) : n - max(k, 0)]
+    p = p[p != 0]
+    return math.fsum(p), math.fsum(np.abs(p))
+
+
+def peak_lag(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Lag of the largest correlation of each row; of equal ones the first.
+
+    Equal sums leave a transform with different errors. Lags within these errors of the largest are summed
+    directly, and sums that differ by no more than their products' rounding count as equal.
+    """
+    n, eps = x.shape[-1], np.finfo(float).eps
+    r = correlate(x, y)
+    scale = np.linalg.norm(x, axis=-1) * np.linalg.norm(y, axis=-1)
+    out = np.full(len(r), np.nan)
+    for i, row in enumerate(r):
+        at = np.flatnonzero(row >= row.max() - 32 * eps * np.log2(2 * n) * scale[i])
+        if len(at) > 1 and scale[i] > 0:
+            sums, sizes = np.array([_direct(x[i], y[i], k) for k in at - (n - 1)]).T
+            at = at[sums >= sums.max() - 2 * eps * sizes.max()]
+        if len(at):
+            out[i] = at[0] - (n - 1)
+    return out
+
+
 def circular(x: np.ndarray, y: np.ndarray, normalize: bool = False) -> np.ndarray:
     """``correlate`` without padding: R[k] = sum_m x[(m + k) mod n] y[m], zero lag at index n // 2."""
     r = np.fft.fftshift(np.fft.irfft(np.fft.rfft(x) * np.conj(np.fft.rfft(y)), x.shape[-1]), axes=-1)

@@ -160,6 +160,11 @@ def shift(full: Column, delta: float = 1.0) -> Column:
     return (A.argmax(full) - F.floor(F.size(full) / 2)) * F.lit(delta)
 
 
+def delay(x: Column, y: Column, delta: float = 1.0) -> Column:
+    """``shift`` of the full correlation of two series; equal sums are found equal."""
+    return binary(fourier.peak_lag, x, y, "double") * F.lit(delta)
+
+
 def shift_and_max(full: Column, delta: float = 1.0) -> Column:
     return F.struct(shift(full, delta).alias("shift"), F.array_max(full).alias("cc_max"))
 

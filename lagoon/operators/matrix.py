@@ -25,14 +25,19 @@ def norm2d(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
     return cells.withColumn(value, F.when(n > 0, F.col(value) / n))
 
 
-def plane_wave(delays: DataFrame, keys: list[str], dx: str = "dx", dy: str = "dy", tau: str = "tau") -> DataFrame:
+def plane_wave(delays: DataFrame, keys: list[str], dx: str = "dx", dy: str = "dy", tau: str = "tau", n_pairs: int | None = None) -> DataFrame:
     """Least-squares slowness of a plane wave from couples' distances (m) and delays (s).
 
     Rows (keys, s_x, s_y in s/km, doa in degrees, vel in km/s, err in s^2). The normal equations are
-    sums over couples, solved in closed form; a singular geometry gives NULL.
+    sums over couples whose delay is known, solved in closed form; a singular geometry gives NULL. A wave
+    without slowness, which is everywhere at once, has infinite velocity. With ``n_pairs`` only keys that
+    have so many delays are fitted.
     """
-    x, y, t = F.col(dx), F.col(dy), F.col(tau)
-    s = delays.groupBy(*keys).agg(*[F.sum(e).alias(n) for n, e in {"xx": x * x, "xy": x * y, "yy": y * y, "xt": x * t, "yt": y * t, "tt": t * t}.items()])
+    t = F.col(tau)
+    x, y = F.when(t.isNotNull(), F.col(dx)), F.when(t.isNotNull(), F.col(dy))
+    s = delays.groupBy(*keys).agg(F.count(t).alias("_n"), *[F.sum(e).alias(n) for n, e in {"xx": x * x, "xy": x * y, "yy": y * y, "xt": x * t, "yt": y * t, "tt": t * t}.items()])
+    if n_pairs is not None:
+        s = s.where(F.col("_n") == n_pairs)
     det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
     sx = (F.col("yy") * F.col("xt") - F.col("xy") * F.col("yt")) / F.nullif(det, F.lit(0.0))
     sy = (F.col("xx") * F.col("yt") - F.col("xy") * F.col("xt")) / F.nullif(det, F.lit(0.0))
@@ -42,7 +47,7 @@ def plane_wave(delays: DataFrame, keys: list[str], dx: str = "dx", dy: str = "dy
     doa = F.pmod(F.degrees(F.atan2("_sx", "_sy")) + 360, F.lit(360.0))
     return s.select(
         *keys, (F.col("_sx") * 1000).alias("s_x"), (F.col("_sy") * 1000).alias("s_y"),
-        F.when(norm == 0, F.lit(0.0)).otherwise(doa).alias("doa"), F.when(norm > 0, 1 / (norm * 1000)).alias("vel"), F.greatest(err, F.lit(0.0)).alias("err"),
+        F.when(norm == 0, F.lit(0.0)).otherwise(doa).alias("doa"), F.when(norm == 0, F.lit(float("inf"))).otherwise(1 / F.nullif(norm * 1000, F.lit(0.0))).alias("vel"), F.greatest(err, F.lit(0.0)).alias("err"),
     )
 
 

@@ -90,8 +90,7 @@ def timelapse(spec: DataFrame, pair: str, time: str, bands: list[tuple[float, fl
 def beamform(shifts: DataFrame, geometry: DataFrame, time: str, n_pairs: int) -> DataFrame:
     """Plane-wave fits of the times that have all pairs; ``shifts``: (time, rx_a, rx_b, tau)."""
     j = shifts.join(F.broadcast(geometry), ["rx_a", "rx_b"])  # an array's couples: a few rows
-    full = j.groupBy(time).agg(F.count("*").alias("_n")).where(F.col("_n") == n_pairs).select(time)
-    return matrix.plane_wave(j.join(full, time, "left_semi"), [time])
+    return matrix.plane_wave(j, [time], n_pairs=n_pairs)
 
 
 def swresp(two: DataFrame, keys: list[str], x: str, y: str, delta: float) -> DataFrame:
