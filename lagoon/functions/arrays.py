@@ -171,9 +171,20 @@ def values(pairs: Column) -> Column:
     return F.transform(pairs, lambda p: p["v"])
 
 
-def argmax(x: Column) -> Column:
-    """Index of the largest element, the first of equal ones."""
-    return let(x, lambda a: F.array_position(a, F.array_max(a)) - 1)
+def argmax(x: Column, digits: int | None = None) -> Column:
+    """Index of the largest element, the first of equal ones.
+
+    With ``digits`` elements are equal that agree to so many decimals, or to 13 significant digits of the
+    largest, as equal values do that come out of transforms.
+    """
+    if digits is None:
+        return let(x, lambda a: F.array_position(a, F.array_max(a)) - 1)
+
+    def first(a: Column) -> Column:
+        top = F.array_max(a)
+        return let(top - F.abs(top) * 1e-13, lambda low: F.array_position(F.transform(a, lambda v: v >= low), F.lit(True)) - 1)
+
+    return let(F.transform(x, lambda v: F.round(v, digits)), first)
 
 
 def has_nan(x: Column) -> Column:

@@ -155,9 +155,9 @@ def cc_long(grid: DataFrame, receiver: str, step: str, value: str, max_lag: int)
     )
 
 
-def shift(full: Column, delta: float = 1.0) -> Column:
-    """Delay at the largest correlation; of equal ones the first."""
-    return (A.argmax(full) - F.floor(F.size(full) / 2)) * F.lit(delta)
+def shift(full: Column, delta: float = 1.0, digits: int | None = None) -> Column:
+    """Delay at the largest correlation; of equal ones (to ``digits`` decimals, see ``argmax``) the first."""
+    return (A.argmax(full, digits) - F.floor(F.size(full) / 2)) * F.lit(delta)
 
 
 def delay(x: Column, y: Column, delta: float = 1.0) -> Column:

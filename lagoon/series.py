@@ -122,12 +122,13 @@ class SeriesFrame:
         """A scalar column over (i, j) mirrored at the diagonal."""
         return matrix.tri_mirror(self.df, keys, i, j, {self.column: odd}, k)
 
-    def plane_wave_estimate(self, geometry: DataFrame, keys: list[str], envelope: bool = False) -> DataFrame:
+    def plane_wave_estimate(self, geometry: DataFrame, keys: list[str], envelope: bool = False, *, n_pairs: int | None = None, digits: int | None = None) -> DataFrame:
         """Plane waves from correlations of couples: rows (keys, rx_a, rx_b, correlation). Delays are those
-        of the largest absolute value, or of the largest of the ``envelope``."""
+        of the largest absolute value, or of the largest of the ``envelope``; of values equal to ``digits``
+        decimals the first. With ``n_pairs`` only keys that have so many delays are fitted."""
         x = self.df.withColumn("_x", transforms.envelope(self.x) if envelope else A.absolute(self.x))
-        tau = x.select(*keys, "rx_a", "rx_b", correlate.shift(F.col("_x"), self.delta).cast("double").alias("tau"))
-        return matrix.plane_wave(tau.join(geometry, ["rx_a", "rx_b"]), keys)
+        tau = x.select(*keys, "rx_a", "rx_b", correlate.shift(F.col("_x"), self.delta, digits).cast("double").alias("tau"))
+        return matrix.plane_wave(tau.join(geometry, ["rx_a", "rx_b"]), keys, n_pairs=n_pairs)
 
     def spectrogram(self, keys: list[str], duration: float, **options) -> DataFrame:
         return transforms.spectrogram(self.df, keys, self.column, self.delta, duration, **options)

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
+from lagoon.functions import arrays as A
 from lagoon.kernels import fourier
 from lagoon.operators import matrix
 from lagoon.plans import registry
@@ -59,3 +60,31 @@ def test_plane_wave_of_known_delays(spark):
     fits = {r.t: r for r in matrix.plane_wave(d, ["t"]).collect()}
     assert all(abs(r.s_x - 0.4) < 1e-9 and abs(r.s_y + 0.3) < 1e-9 for r in fits.values()) and len(fits) == 2
     assert [r.t for r in matrix.plane_wave(d, ["t"], n_pairs=6).collect()] == [0]
+
+
+def test_envelope_beam_of_a_wave_everywhere_at_once(spark, tmp_path):
+    got, want = both(spark, tmp_path, "plane_wave_envelope", lambda h, t: 12.34)
+    assert got == want == [(i, 0.0, 0.0, 0.0, math.inf, 0.0) for i in range(6)]
+
+
+def test_envelope_beam_needs_all_receivers(spark, tmp_path):
+    got, want = both(spark, tmp_path, "plane_wave_envelope", lambda h, t: float((h * 7 + len(t)) % 11 + 1), TYPES[:4])
+    assert got == want == []
+
+
+def test_envelope_beam_of_equal_peaks(spark, tmp_path):
+    """Windows that read the same backwards have envelopes with equal peaks at opposite lags."""
+    rng = np.random.default_rng(1)
+    half = {(w, t): set(rng.choice(60, 6, replace=False).tolist()) for w in range(6) for t in TYPES}
+    for size in (1.0, 12.34):
+        folder = tmp_path / str(int(size))
+        folder.mkdir()
+        got, want = both(spark, folder, "plane_wave_envelope", lambda h, t, s=size: s if min(h % 120, 119 - h % 120) in half[h // 120, t] else None)
+        assert got == want and len(got) == 6
+
+
+def test_argmax_of_nearly_equal_values(spark):
+    rows = [("noise", [1.0, 3.0, 3.0 + 4e-16 * 3]), ("decimals", [0.0, 2.000001, 2.000004]), ("apart", [0.0, 2.0, 2.0001]), ("large", [1e12, 1e12 + 0.01, 5.0]), ("negative", [-4e12, -3e12 - 0.01, -3e12]), ("gap", [None, 1.0, 2.0]), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, x array<double>")
+    got = {r.k: r.i for r in df.select("k", A.argmax(F.col("x"), 5).alias("i")).collect()}
+    assert got == {"noise": 1, "decimals": 1, "apart": 2, "large": 0, "negative": 1, "gap": 2, "none": None}
